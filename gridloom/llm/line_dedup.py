@@ -33,7 +33,7 @@ def line_spread(lines: DataFrame, min_sites: int = MIN_SITES, log_registers: int
     sure = spread.where(F.col("estimate") > min_sites + band).select("h1", "h2", "first")
     near = spread.where(F.col("estimate") <= min_sites + band)
     exact = (
-        lines.select("h1", "h2", "site").join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").distinct()
+        lines.select("h1", "h2", "site").distinct().join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     )
     return sure.unionAll(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
