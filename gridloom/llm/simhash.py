@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, co
     found = connected_components(materialise(links(groups, max_bits)))
     named = found.join(groups.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component"))
     joined = found.join(named, "root").select(F.col("node").alias("fp"), "component")
-    ids = groups.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # a table of its own, so that Spark can split the task of a fingerprint that very many documents have
+    ids = materialise(groups.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
