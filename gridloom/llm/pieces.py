@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import bounded_batches
 
 #: Words whose pieces, and pairs of pieces whose verdict, a worker keeps at most; then it starts anew.
-CACHE_WORDS, CACHE_PAIRS = 1_000_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 500_000, 300_000
+#: Texts that are cut into words at once.
+TEXTS = 512
 MARK = "▁"
 #: Field numbers of the public model format.
 _TRAINER, _NORMALIZER, _PIECE = 2, 3, 1
@@ -95,8 +97,8 @@ class Encoder:
         value = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([value[i]]) if i in value else t.replace(MARK, " ").encode("utf-8") for i, t in enumerate(self.text)]
         self.least = min(self.score.values(), default=0.0) - 10.0
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.cache: dict[str, bytes] = {}
 
     def marked(self, text: str) -> str:
         text = text.replace(" ", MARK)
@@ -116,26 +118,24 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def beside(self, a: str, b: str) -> bool:
-        """Whether two pieces are the encoding of their text."""
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
+    def beside(self, key: int, a: str, b: str) -> bool:
+        """Whether two pieces, or one after nothing, are the encoding of their text; remembered under ``key``."""
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct marked words, by a depth-first walk of their trie.
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct marked words (as 32-bit numbers), by a depth-first walk of their trie.
 
         Sorted words are the trie in depth-first order: what a word begins
         with as the one before it keeps its forward states.
         """
-        out: dict[str, tuple[int, ...]] = {}
+        out: dict[str, bytes] = {}
         last = ""
-        back: list[tuple[float, int]] = [(0.0, 0)]  # at each position: score, and where the last piece begins
-        ids, scores, lengths, bpe, beside, pairs = self.ids, self.score, self.lengths, self.kind == _BPE, self.beside, self.pairs
+        # at each position: score, where the last piece begins, and its number (a character without a piece: its code beyond all ids)
+        back: list[tuple[float, int, int]] = [(0.0, 0, 1 << 24)]
+        ids, scores, lengths, bpe, beside, pairs, beyond = self.ids, self.score, self.lengths, self.kind == _BPE, self.beside, self.pairs, 1 << 22
         for word in sorted(words):
             same = 0
             for x, y in zip(last, word, strict=False):
@@ -150,29 +150,35 @@ class Encoder:
                     if start < 0:
                         continue
                     piece = word[start:end]
-                    if piece not in ids:
+                    number = ids.get(piece)
+                    if number is None:
                         continue
+                    state = back[start]
                     if bpe:
-                        before = word[back[start][1] : start]
-                        known = pairs.get((before, piece))
-                        if known if known is not None else beside(before, piece):
-                            found = (0.0, start)
+                        key = state[2] << 25 | number
+                        known = pairs.get(key)
+                        if known if known is not None else beside(key, word[state[1] : start], piece):
+                            found = (0.0, start, number)
                             break  # no other piece fits
                     else:
-                        s = back[start][0] + scores[piece]
+                        s = state[0] + scores[piece]
                         if found is None or s > found[0]:
-                            found = (s, start)
-                if not bpe:
-                    s = back[end - 1][0] + scores.get(word[end - 1], self.least)
+                            found = (s, start, number)
+                if found is None or not bpe:
+                    c = word[end - 1]
+                    s = back[end - 1][0] + scores.get(c, self.least)
                     if found is None or s > found[0]:
-                        found = (s, end - 1)
-                back.append(found or (0.0, end - 1))  # a character alone is what is left
+                        found = (s, end - 1, ids.get(c, beyond + ord(c)))
+                back.append(found)
             cut, end = [], len(word)
             while end:
-                start = back[end][1]
-                cut.append(word[start:end])
-                end = start
-            out[word] = tuple(i for piece in reversed(cut) for i in self.of(piece))
+                state = back[end]
+                if state[2] < beyond:
+                    cut.append(state[2])
+                else:
+                    cut += reversed(self.of(word[state[1] : end]))
+                end = state[1]
+            out[word] = array("i", reversed(cut)).tobytes()
             last = word
         return out
 
@@ -193,7 +199,7 @@ class Encoder:
             fresh = {w for ws in split if ws for w in ws}
         self.cache |= self.encode_words(fresh)
         cache = self.cache
-        return [None if ws is None else np.fromiter(chain.from_iterable(map(cache.__getitem__, ws)), np.int32) for ws in split]
+        return [None if ws is None else np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.int32) for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: pieces joined, runs of byte pieces as UTF-8, marks as spaces, without the leading mark."""
@@ -222,8 +228,8 @@ def _run(docs: DataFrame, model_path: str, keep: list[str], digest: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_for(held.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                b = whole.slice(k, 2048)
+            for k in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(k, TEXTS)
                 texts = b.column(b.num_columns - 1).to_pylist()
                 ids = enc.encode(texts)
                 cols, names = list(b.columns[:-1]), list(b.schema.names[:-1])

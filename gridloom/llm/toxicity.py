@@ -18,6 +18,8 @@ from gridloom.llm.common import bounded_batches, crc_mod, materialise, sample_of
 SAMPLE_ROWS, VOCABULARY, LEAST_DOCS = 12_000, 4_000, 4
 #: Lengths of the beginnings and endings of words that are features beside whole words.
 HEADS, TAILS = (4, 5, 6, 7, 8), (4, 5)
+#: Features that a task counts before it passes the counts on.
+FLUSH = 200_000
 #: Numbers of distinct words with one beginning that count.
 SEVERAL = (2, 3, 5)
 #: Weight of squared score changes under swaps, and of squared weights.
@@ -153,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     c = seen.setdefault(m, [0, 0])
                     c[0] += 1
                     c[1] += toxic
-            if len(seen) > 1_000_000:
-                yield _counts(seen)
-                seen = {}
+                if len(seen) > FLUSH:
+                    yield _counts(seen)
+                    seen = {}
         yield _counts(seen)
 
     sums = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
