@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, materialise, sample_of
+from gridloom.llm.common import bounded_batches, materialise, returning, sample_of
 from gridloom.llm.vectors import component_type, matrix, valid
 
 #: Curves; projected dimensions of a curve, and bits of each.
@@ -148,7 +148,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(held.value.keys(x, c)), b.column(0), salt, b.column(2), raw], names=["curve", "key", "vec_id", "salt", "query", "raw"])
 
     ordered = ["curve", "key", "vec_id", "salt"]
-    keys = rows.where(F.size("v") == d).mapInArrow(keyed, "curve int, key long, vec_id long, salt long, query boolean, raw binary")
+    keys = rows.where(F.size("v") == d).mapInArrow(returning(keyed), "curve int, key long, vec_id long, salt long, query boolean, raw binary")
     parts = max(CURVES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_keys = keys.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered).select("curve", "vec_id", "query", "raw", F.spark_partition_id().alias("part"))
 
@@ -173,7 +173,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
         if held_rows:
             yield out()
 
-    blocks = materialise(sorted_keys.mapInArrow(packed, "curve int, part int, seq int, ids binary, raw binary, qids binary, qraw binary"))
+    blocks = materialise(sorted_keys.mapInArrow(returning(packed), "curve int, part int, seq int, ids binary, raw binary, qids binary, qraw binary"))
     # a row for each curve and partition comes to the driver: how many blocks lie before
     counts = sorted((r["curve"], r["part"], r["n"]) for r in blocks.groupBy("curve", "part").agg(F.count("*").alias("n")).collect())
     before, total = [], {}
@@ -220,7 +220,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
         if best:
             yield out()
 
-    found = met.mapInArrow(scored, "query_id long, ids array<long>, far array<double>")
+    found = met.mapInArrow(returning(scored), "query_id long, ids array<long>, far array<double>")
     pairs = found.select("query_id", F.zip_with("far", "ids", lambda a, b: F.struct(a.alias("far"), b.alias("id"))).alias("near"))
     # k for each query and task
     ranked = pairs.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,24 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def returning(kernel):
+    """A kernel for mapInArrow that hands freed memory back when its task ends.
+
+    Workers are used again: what their allocators keep would add up over the
+    stages of a job.
+    """
+
+    @functools.wraps(kernel)
+    def run(batches):
+        yield from kernel(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

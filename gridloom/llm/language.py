@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, crc_mod, sample_of
+from gridloom.llm.common import bounded_batches, crc_mod, returning, sample_of
 
 #: Labelled rows that the classifiers are fitted on, about.
 SAMPLE_ROWS = 12_000
@@ -151,7 +151,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     sums: dict[str, np.ndarray] = {}
     some: list[tuple[str, np.ndarray, np.ndarray]] = []
     stride = 1
-    for i, r in enumerate(sample.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").toLocalIterator()):
+    for i, r in enumerate(sample.select("text", "lang").mapInArrow(returning(run), "lang string, at binary, n binary").toLocalIterator()):
         at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.int64)
         sums.setdefault(r["lang"], np.zeros(BUCKETS, np.int64))[at] += n
         if i % stride == 0:
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             out = [held.value.predict(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(returning(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def identify_held_out(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

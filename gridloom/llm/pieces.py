@@ -13,10 +13,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches
+from gridloom.llm.common import bounded_batches, returning
 
 #: Words whose pieces, and pairs of pieces whose verdict, a worker keeps at most; then it starts anew.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 300_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 200_000
 #: Texts that are cut into words at once.
 TEXTS = 512
 MARK = "▁"
@@ -253,7 +253,7 @@ def _run(docs: DataFrame, model_path: str, keep: list[str], digest: bool) -> Dat
 
     taken = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("gl_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kinds}, n_ids long, " + ("ids_md5 string, decoded_md5 string, same boolean" if digest else "ids array<int>"))
+    return taken.mapInArrow(returning(run), f"{kinds}, n_ids long, " + ("ids_md5 string, decoded_md5 string, same boolean" if digest else "ids array<int>"))
 
 
 def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, crc_mod, sample_of
+from gridloom.llm.common import bounded_batches, crc_mod, returning, sample_of
 
 #: Labelled rows to fit on, about; bins of a feature and, in a pair, of each of the two.
 SAMPLE_ROWS, BINS, PAIR_BINS = 12_000, 48, 8
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             rows = [features(t.as_py()).tolist() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x array<double>").collect()  # sample_rows rows, about
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", "quality").mapInArrow(returning(run), "doc_id long, quality int, x array<double>").collect()  # sample_rows rows, about
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["quality"] for r in rows], float))
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
             s = held.value.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(returning(run), "doc_id long, score double, predicted int")
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, connected_components, materialise
+from gridloom.llm.common import bounded_batches, connected_components, materialise, returning
 
 SEED = 42
 #: Fingerprints link at so many differing bits or fewer.
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, size: int, column: str = "text") -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("t")).mapInArrow(returning(run), "doc_id long, fp long")
 
 
 def _mask(lo: int, hi: int) -> int:
@@ -148,7 +148,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 keys = bucket_keys(v[k : k + 4096].view(np.uint64), max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v[k : k + 4096], keys.shape[1])), pa.array(keys.reshape(-1).view(np.int64))], names=["fp", "key"])
 
-    keys = materialise(fps.select("fp").mapInArrow(keyed, "fp long, key long"))
+    keys = materialise(fps.select("fp").mapInArrow(returning(keyed), "fp long, key long"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     full = materialise(keys.join(sizes, "key"))
 
@@ -161,7 +161,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 out += [(int(part[i]), int(part[j])) for i, j in bucket_links(part.view(np.uint64), max_bits)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    small = full.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(linked, "a long, b long")
+    small = full.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(returning(linked), "a long, b long")
     # Within two bits: the same fingerprint once one bit, or none, of each is turned. Everyone who reaches a value links to the least.
     big = full.where(F.col("n") > BUCKET).select("fp").distinct()
     turned = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))

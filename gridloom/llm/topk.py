@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, materialise
+from gridloom.llm.common import bounded_batches, materialise, returning
 from gridloom.llm.vectors import matrix, valid
 
 #: Rows of a shard and of a leaf, and queries that travel together.
@@ -184,8 +184,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
         for d, ids, x in by_length(batches, PACK, True):
             yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["d", "qids", "qrows"])
 
-    shards = materialise(rows.mapInArrow(sharded, "d int, seq int, " + ", ".join(f"{p} binary" for p in parts)).withColumn("part", F.spark_partition_id()))
-    packs = materialise(rows.where("query").mapInArrow(asking, "d int, qids binary, qrows binary").withColumn("pack", F.monotonically_increasing_id()))
+    shards = materialise(rows.mapInArrow(returning(sharded), "d int, seq int, " + ", ".join(f"{p} binary" for p in parts)).withColumn("part", F.spark_partition_id()))
+    packs = materialise(rows.where("query").mapInArrow(returning(asking), "d int, qids binary, qrows binary").withColumn("pack", F.monotonically_increasing_id()))
     # a row for each length and input partition comes to the driver: how many shards lie before
     before, total = [], {}
     for c in sorted(shards.groupBy("d", "part").agg(F.count("*").alias("n")).collect()):
@@ -236,7 +236,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
         once = F.aggregate("near", F.expr("cast(array() as array<struct<s:bigint,id:bigint>>)"), lambda a, x: F.when(F.size(a) < k, F.when(F.exists(a, lambda y: y["id"] == x["id"]), a).otherwise(F.concat(a, F.array(x)))).otherwise(a))
         return all_.select("query_id", "d", once.alias("near"))
 
-    probe = merged(met(packs).select(*fields).mapInArrow(kernel(True), schema))
+    probe = merged(met(packs).select(*fields).mapInArrow(returning(kernel(True)), schema))
     floors = materialise(probe.where(F.size("near") >= k).select("query_id", "d", (-F.element_at("near", k)["s"]).alias("floor")))
 
     def floored(packs: DataFrame) -> DataFrame:
@@ -248,9 +248,9 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
                     own = np.frombuffer(q, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([pack] * len(own), pa.int64()), pa.array([d] * len(own), pa.int32()), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own)], names=["pack", "d", "n", "query_id"])
 
-        each = packs.select("d", "pack", "qids").mapInArrow(ids, "pack long, d int, n int, query_id long").join(floors, ["query_id", "d"], "left")
+        each = packs.select("d", "pack", "qids").mapInArrow(returning(ids), "pack long, d int, n int, query_id long").join(floors, ["query_id", "d"], "left")
         got = each.groupBy("pack").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "floor"))), lambda x: x["floor"]).alias("floors"))
         return packs.join(got, "pack")
 
-    final = merged(met(floored(packs)).select(*fields, "floors").mapInArrow(kernel(False), schema))
+    final = merged(met(floored(packs)).select(*fields, "floors").mapInArrow(returning(kernel(False)), schema))
     return final.select("query_id", F.posexplode("near").alias("rank", "r")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("r.id").alias("vec_id"), (-F.col("r.s")).alias("score"))

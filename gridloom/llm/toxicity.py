@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, crc_mod, materialise, sample_of
+from gridloom.llm.common import bounded_batches, crc_mod, materialise, returning, sample_of
 
 #: Labelled rows to fit on, about; features of the model, at most; documents that a feature must be in.
 SAMPLE_ROWS, VOCABULARY, LEAST_DOCS = 12_000, 4_000, 4
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     sums = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, t = sums["n"] or 0, sums["t"] or 0
-    counts = sample.select("text", "toxic").mapInArrow(count, "m string, d long, k long").groupBy("m").agg(F.sum("d").alias("d"), F.sum("k").alias("k")).where(F.col("d") >= LEAST_DOCS)
+    counts = sample.select("text", "toxic").mapInArrow(returning(count), "m string, d long, k long").groupBy("m").agg(F.sum("d").alias("d"), F.sum("k").alias("k")).where(F.col("d") >= LEAST_DOCS)
     share = t / n if n else 0.0
     z = F.abs(F.col("k") - F.col("d") * share) / F.sqrt(F.col("d") * (share * (1 - share)) + 1e-9)
     best = [r["m"] for r in counts.orderBy(z.desc(), "m").limit(VOCABULARY).collect()]
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, pa.list_(pa.string())), pa.array(before, pa.list_(pa.list_(pa.string()))), pa.array(after, pa.list_(pa.list_(pa.string())))], names=["doc_id", "toxic", "words", "before", "after"])
 
     rows, pairs = [], []
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, toxic int, words array<string>, before array<array<string>>, after array<array<string>>").collect()  # sample_rows rows, about
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(returning(read), "doc_id long, toxic int, words array<string>, before array<array<string>>, after array<array<string>>").collect()  # sample_rows rows, about
     for r in sorted(got, key=lambda r: (r["doc_id"], r["words"])):
         rows.append((r["words"], r["toxic"]))
         pairs += list(zip(r["before"], r["after"], strict=True))
@@ -219,8 +219,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, k
     if keep is not None:
         taken = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("gl_text"))
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-        return taken.mapInArrow(run_all, f"{kinds}, gl_score double")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+        return taken.mapInArrow(returning(run_all), f"{kinds}, gl_score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(returning(run), "doc_id long, score double, predicted int")
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
