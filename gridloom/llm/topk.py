@@ -90,8 +90,12 @@ def search(tree: Tree, query_id: int, q: np.ndarray, k: int, best: list[tuple[in
     """
     length = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
     qf = q.astype(np.float64)
-    # the slack covers the rounding of centres and radii
-    bound = lambda n: float(tree.centre[n] @ qf) + length * float(tree.radius[n]) * (1 + 1e-9) + 1e-6 * (1 + length)
+
+    def bound(n: int) -> float:
+        c, r = tree.centre[n], float(tree.radius[n])
+        # the slack covers the rounding of centres, radii and products at any size of components
+        return float(c @ qf) + length * (r + 1e-9 * (r + float(np.sqrt(c @ c)))) + 1e-6
+
     heap = [(-bound(0), 0)]
     seen = 0
     while heap and (leaves is None or seen < leaves):

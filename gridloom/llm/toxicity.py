@@ -16,6 +16,8 @@ from gridloom.llm.common import bounded_batches, crc_mod, materialise, returning
 
 #: Labelled rows to fit on, about; features of the model, at most; documents that a feature must be in.
 SAMPLE_ROWS, VOCABULARY, LEAST_DOCS = 12_000, 4_000, 4
+#: Standard errors by which a feature's share of toxic documents must be off the usual one.
+LEAST_Z = 3.0
 #: Lengths of the beginnings and endings of words that are features beside whole words.
 HEADS, TAILS = (4, 5, 6, 7, 8), (4, 5)
 #: Features that a task counts before it passes the counts on.
@@ -138,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on about ``sample_rows`` rows of ``labels`` (doc_id, toxic) and their texts.
 
     The vocabulary: features of LEAST_DOCS sampled documents or more whose
-    share among toxic and other documents differs most by its standard error,
-    VOCABULARY at most, and the identity terms.
+    share of toxic documents is off by LEAST_Z standard errors or more, the
+    furthest first, VOCABULARY at most, and the identity terms.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -165,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counts = sample.select("text", "toxic").mapInArrow(returning(count), "m string, d long, k long").groupBy("m").agg(F.sum("d").alias("d"), F.sum("k").alias("k")).where(F.col("d") >= LEAST_DOCS)
     share = t / n if n else 0.0
     z = F.abs(F.col("k") - F.col("d") * share) / F.sqrt(F.col("d") * (share * (1 - share)) + 1e-9)
-    best = [r["m"] for r in counts.orderBy(z.desc(), "m").limit(VOCABULARY).collect()]
+    best = [r["m"] for r in counts.where(z >= LEAST_Z).orderBy(z.desc(), "m").limit(VOCABULARY).collect()]
     held = spark.sparkContext.broadcast(set(best) | {x for g in IDENTITY for x in g})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
