@@ -393,7 +393,7 @@ def test_top_products_exact(spark, spread):
     x, _ = vectors(spark, 900)
     x = x * np.float32(spread)
     df = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(x)], VEC).repartition(5)
-    q = np.floor(256 * x.astype(float)).astype(object)
+    q = np.floor(256 * x.astype(float)).astype(np.int64).astype(object)
     got = defaultdict(list)
     for r in topk.top_products(df, F.col("vec_id") % 50 == 0).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
