@@ -490,41 +490,43 @@ def _area(a: int, b: int, c: int) -> str:
     return "(sqrt(" + " + ".join(f"{k} * {k}" for k in n) + ") / 2)"
 
 
-_PS = tuple(geo.point(k) for k in range(4))
+def _ps():
+    return tuple(geo.point(k) for k in range(4))
+
 _AREAS = " + ".join(_area(*[i for i in range(4) if i != k]) for k in range(4))
 _EDGES = ", ".join(_dist(a, b) for a in range(4) for b in range(a + 1, 4))
 
 
 @query("tetra_volume", _TP + f" SELECT e, round({_V6} / 6, 3) + 0.0 AS volume FROM T")
 def tetra_volume(spark, d):
-    return rel.tetra_points(spark, d).select("e", (F.round(geo.six_volume(*_PS) / 6, 3) + 0.0).alias("volume"))
+    return rel.tetra_points(spark, d).select("e", (F.round(geo.six_volume(*_ps()) / 6, 3) + 0.0).alias("volume"))
 
 
 @query("triangle_areas", _TP + f" SELECT e, round({_area(0, 1, 2)}, 4) AS area, round({_area(0, 1, 2)}, 2) AS heron FROM T")
 def triangle_areas(spark, d):
-    return rel.tetra_points(spark, d).select("e", F.round(geo.triangle_area(*_PS[:3]), 4).alias("area"), F.round(geo.heron_area(*_PS[:3]), 2).alias("heron"))
+    return rel.tetra_points(spark, d).select("e", F.round(geo.triangle_area(*_ps()[:3]), 4).alias("area"), F.round(geo.heron_area(*_ps()[:3]), 2).alias("heron"))
 
 
 @query("edge_lengths", _TP + f" SELECT e, round(least({_EDGES}), 6) AS shortest, round(greatest({_EDGES}), 6) AS longest FROM T")
 def edge_lengths(spark, d):
-    return rel.tetra_points(spark, d).select("e", F.round(F.least(*geo.edges(_PS)), 6).alias("shortest"), F.round(F.greatest(*geo.edges(_PS)), 6).alias("longest"))
+    return rel.tetra_points(spark, d).select("e", F.round(F.least(*geo.edges(_ps())), 6).alias("shortest"), F.round(F.greatest(*geo.edges(_ps())), 6).alias("longest"))
 
 
 @query("tetra_quality", _TP + f" SELECT e, round(abs({_V6}) / (2 * ({_AREAS})) * 2 * sqrt(6) / greatest({_EDGES}), 6) AS quality FROM T")
 def tetra_quality(spark, d):
-    return rel.tetra_points(spark, d).select("e", F.round(geo.quality(_PS), 6).alias("quality"))
+    return rel.tetra_points(spark, d).select("e", F.round(geo.quality(_ps()), 6).alias("quality"))
 
 
 @query("inscribed_radius", _TP + f" SELECT e, round(abs({_V6}) / (2 * ({_AREAS})), 5) AS r FROM T")
 def inscribed_radius(spark, d):
-    return rel.tetra_points(spark, d).select("e", F.round(geo.inscribed_radius(_PS), 5).alias("r"))
+    return rel.tetra_points(spark, d).select("e", F.round(geo.inscribed_radius(_ps()), 5).alias("r"))
 
 
 @query("circumcentre_is_equidistant", _TP + f" SELECT e, true AS equidistant FROM T WHERE {_V6} <> 0")
 def circumcentre_is_equidistant(spark, d):
-    c = geo.circum_center(_PS)
-    ds = [geo.distance(c, p) for p in _PS]
-    return rel.tetra_points(spark, d).where(geo.six_volume(*_PS) != 0).select("e", (F.greatest(*ds) - F.least(*ds) <= 1e-6 * F.greatest(*ds)).alias("equidistant"))
+    c = geo.circum_center(_ps())
+    ds = [geo.distance(c, p) for p in _ps()]
+    return rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0).select("e", (F.greatest(*ds) - F.least(*ds) <= 1e-6 * F.greatest(*ds)).alias("equidistant"))
 
 
 @query("tetra_centroid", _TP + " SELECT e, " + ", ".join(f"({c}0 + {c}1 + {c}2 + {c}3) / 4 AS {c}" for c in "xyz") + " FROM T")
@@ -534,8 +536,8 @@ def tetra_centroid(spark, d):
 
 @query("dihedral_angles")
 def dihedral_angles(spark, d):
-    a = geo.dihedrals(_PS)
-    return rel.tetra_points(spark, d).where(geo.six_volume(*_PS) != 0).select("e", F.round(F.least(*a), 4).alias("smallest"), F.round(F.greatest(*a), 4).alias("largest"))
+    a = geo.dihedrals(_ps())
+    return rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0).select("e", F.round(F.least(*a), 4).alias("smallest"), F.round(F.greatest(*a), 4).alias("largest"))
 
 
 _K = "greatest(0.0, least(1.0, (" + " + ".join(f"({c}0 - {c}1) * ({c}2 - {c}1)" for c in "xyz") + ") / (" + " + ".join(f"({c}2 - {c}1) * ({c}2 - {c}1)" for c in "xyz") + ")))"
@@ -543,18 +545,18 @@ _K = "greatest(0.0, least(1.0, (" + " + ".join(f"({c}0 - {c}1) * ({c}2 - {c}1)"
 
 @query("closest_on_segment", _TP + f", K AS (SELECT *, {_K} AS k FROM T) SELECT e, " + ", ".join(f"round({c}1 + k * ({c}2 - {c}1), 5) + 0.0 AS {c}" for c in "xyz") + " FROM K")
 def closest_on_segment(spark, d):
-    c = geo.closest_on_segment(_PS[0], _PS[1], _PS[2])
+    c = geo.closest_on_segment(_ps()[0], _ps()[1], _ps()[2])
     return rel.tetra_points(spark, d).select("e", *[(F.round(v, 5) + 0.0).alias(k) for k, v in zip("xyz", c, strict=True)])
 
 
 @query("plane_distance", _TP + f" SELECT e, round(abs({_V6}) / (2 * {_area(0, 1, 2)}), 5) AS h FROM T")
 def plane_distance(spark, d):
-    return rel.tetra_points(spark, d).select("e", F.round(F.abs(geo.plane_distance(_PS[3], *_PS[:3])), 5).alias("h"))
+    return rel.tetra_points(spark, d).select("e", F.round(F.abs(geo.plane_distance(_ps()[3], *_ps()[:3])), 5).alias("h"))
 
 
 @query("apex_height", _TP + f" SELECT e, round(({_dist(0, 1)} + {_dist(1, 2)} + {_dist(2, 0)}) / 3 * sqrt(2.0 / 3), 5) AS h FROM T")
 def apex_height(spark, d):
-    return rel.tetra_points(spark, d).select("e", F.round(geo.plane_distance(geo.apex(*_PS[:3]), *_PS[:3]), 5).alias("h"))
+    return rel.tetra_points(spark, d).select("e", F.round(geo.plane_distance(geo.apex(*_ps()[:3]), *_ps()[:3]), 5).alias("h"))
 
 
 # ---- meshes ---------------------------------------------------------------------------------------------------
@@ -611,7 +613,7 @@ def internal_nodes(spark, d):
 
 @query("worst_elements", _FW + f" SELECT e, round(abs({_V6}), 3) AS q FROM Fn WHERE round(abs({_V6}), 3) < 1000000 ORDER BY 2, 1 LIMIT 25")
 def worst_elements(spark, d):
-    return mesh.worst(_fan(spark, d).select("e", F.round(F.abs(geo.six_volume(*_PS)), 3).alias("q")), "q", 1e6, 25)
+    return mesh.worst(_fan(spark, d).select("e", F.round(F.abs(geo.six_volume(*_ps())), 3).alias("q")), "q", 1e6, 25)
 
 
 _G = []
