@@ -111,11 +111,50 @@ def plane_distance(p: Point, a: Point, b: Point, c: Point) -> Column:
     return dot(sub(p, a), n) / F.sqrt(dot(n, n))
 
 
-def apex(a: Point, b: Point, c: Point) -> Point:
-    """The fourth corner that makes a triangle the base of the most regular tetrahedron: over the centroid, at sqrt(2/3) of the mean edge."""
+def apex(a: Point, b: Point, c: Point, edge: Column | None = None) -> Point:
+    """The fourth corner on a triangle: off the centroid by sqrt(6) / 3 of ``edge`` (1), against the normal of (b - a) x (c - a)."""
     n = normal(a, b, c)
-    h = (distance(a, b) + distance(b, c) + distance(c, a)) / 3 * (2 / 3) ** 0.5
-    return tuple((a[k] + b[k] + c[k]) / 3 + n[k] * h for k in range(3))
+    h = (6**0.5 / 3) * (F.lit(1.0) if edge is None else edge)
+    return tuple((a[k] + b[k] + c[k]) / 3 - n[k] * h for k in range(3))
+
+
+def radius_edge(ps: tuple[Point, Point, Point, Point]) -> Column:
+    """Circumscribed radius over the shortest edge."""
+    return distance(circum_center(ps), ps[0]) / F.least(*edges(ps))
+
+
+def volume_gradients(ps: tuple[Point, Point, Point, Point]) -> list[Point]:
+    """The gradient of the signed volume by each corner."""
+    order = ((1, 3, 2), (0, 2, 3), (0, 3, 1), (0, 1, 2))
+    return [tuple(v / 6 for v in cross(sub(ps[b], ps[a]), sub(ps[c], ps[a]))) for a, b, c in order]
+
+
+def barycentric(p: Point, ps: tuple[Point, Point, Point, Point]) -> list[Column]:
+    """Barycentric coordinates; null in a flat tetrahedron."""
+    whole = six_volume(*ps)
+    return [F.when(whole != 0, six_volume(*[p if i == k else q for i, q in enumerate(ps)]) / whole) for k in range(4)]
+
+
+def facet_circum_center(a: Point, b: Point, c: Point) -> Point:
+    """The point of a triangle's plane as far from each corner."""
+    u, v = sub(b, a), sub(c, a)
+    n = cross(u, v)
+    first, second = cross(v, n), cross(n, u)
+    return tuple(a[k] + (dot(u, u) * first[k] + dot(v, v) * second[k]) / (2 * dot(n, n)) for k in range(3))
+
+
+def segment_tetra(p: Point, q: Point, ps: tuple[Point, Point, Point, Point]) -> Column:
+    """struct(p_inside, q_inside, facets): which ends are inside, and a bit for each facet that the segment crosses."""
+    bits = sum((F.when(crosses(p, q, *f).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, f in enumerate(facets(ps))), F.lit(0))
+    return F.struct(encloses(p, ps).alias("p_inside"), encloses(q, ps).alias("q_inside"), bits.alias("facets"))
+
+
+def inverse3(m: list[list[Column]]) -> list[list[Column]]:
+    """Inverse of a 3 x 3 matrix of columns; null if its determinant is 0."""
+    rows = [tuple(r) for r in m]
+    d = det3(*rows)
+    cof = [cross(rows[1], rows[2]), cross(rows[2], rows[0]), cross(rows[0], rows[1])]
+    return [[F.when(d != 0, cof[c][r] / d) for c in range(3)] for r in range(3)]
 
 
 def encloses(p: Point, ps: tuple[Point, Point, Point, Point]) -> Column:

@@ -59,3 +59,9 @@ def row_dot(m: DataFrame, a: int, b: int, start: int | None = None, stop: int |
 def column_lengths(m: DataFrame) -> DataFrame:
     """Euclidean length of each column."""
     return m.groupBy("j").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+
+
+def qr_upper(q: DataFrame, a: DataFrame) -> DataFrame:
+    """R of A = QR: the upper triangle of Q'A."""
+    t = q.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    return multiply(t, a).where("i <= j")

@@ -100,7 +100,7 @@ def octree(nodes: DataFrame, cap: int, max_level: int, low: tuple[float, float,
     cell's middle; the middle itself goes to the lower side. All levels' digits
     are arithmetic; each round only counts the nodes of cells that still split.
     """
-    digits, bounds = [], list(low)
+    bounds = list(low)
     live = nodes.select("n", *AXES, F.lit("").alias("path"), *[F.lit(b).alias(f"m{c}") for c, b in zip(AXES, bounds, strict=True)])
     out, half = None, side / 2
     for level in range(max_level + 1):
@@ -114,7 +114,6 @@ def octree(nodes: DataFrame, cap: int, max_level: int, low: tuple[float, float,
         digit = sum((u.cast("int") * (1 << k) for k, u in enumerate(upper)), F.lit(0))
         live = rest.select("n", *AXES, F.concat("path", digit.cast("string")).alias("path"), *[(F.col(f"m{c}") + F.when(u, F.lit(half)).otherwise(F.lit(0.0))).alias(f"m{c}") for c, u in zip(AXES, upper, strict=True)])
         half /= 2
-    del digits
     return out
 
 
@@ -188,3 +187,100 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float, top: float) ->
 def inside_by_parity(hits: DataFrame) -> DataFrame:
     """Rays whose start is inside a closed surface: an odd number of crossings."""
     return hits.groupBy("ray").agg((F.count("*") % 2 == 1).alias("inside"))
+
+
+def level_for(side: float, granularity: float) -> int:
+    """The level whose cells come nearest to ``granularity`` in size."""
+    level, size = 0, side
+    while size > granularity:
+        level, size = level + 1, size / 2
+    return level if granularity - size < size * 2 - granularity else level - 1
+
+
+def granularity_at(side: float, level: int) -> float:
+    return side / 2**level
+
+
+def imbalance(cells: DataFrame) -> DataFrame:
+    """How unevenly each split cell's nodes lie in its eighths: 0 even, about 1 if all lie in one. Fixed value: 0.5773."""
+    kids = cells.where("level > 0").select(F.expr("substring(path, 1, level - 1)").alias("path"), F.substring("path", -1, 1).cast("int").alias("d"), "nodes")
+    pull = [F.sum(F.when(F.col("d").bitwiseAND(1 << k) != 0, F.col("nodes")).otherwise(-F.col("nodes"))) * 0.5773 / F.sum("nodes") for k in range(3)]
+    return kids.groupBy("path").agg(F.sqrt(sum((p * p for p in pull), F.lit(0.0))).alias("imbalance"))
+
+
+def as_grid(leaves: DataFrame) -> DataFrame:
+    """Cells (level, ix, iy, iz) of paths: each axis' bits of the digits."""
+    bit = lambda k: F.aggregate(F.filter(F.split("path", ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda a, c: a * 2 + F.shiftright(c.cast("int"), k) % 2)
+    return leaves.select(F.length("path").cast("int").alias("level"), *[bit(k).alias(f"i{c}") for k, c in enumerate(AXES)])
+
+
+def _touching(cells: DataFrame, directions: list[tuple[int, int, int]]) -> DataFrame:
+    """Each cell's places at its own level in the given directions, inside the root: level, i*, d, n*."""
+    moves = F.explode(F.array(*[F.struct(F.lit(n).alias("d"), *[F.lit(v).alias(c) for c, v in zip(AXES, d, strict=True)]) for n, d in enumerate(directions)]))
+    out = cells.withColumn("m", moves).select("level", "ix", "iy", "iz", F.col("m.d").alias("d"), *[(F.col(f"i{c}") + F.col(f"m.{c}")).alias(f"n{c}") for c in AXES])
+    top = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
+    for c in AXES:
+        out = out.where((F.col(f"n{c}") >= 0) & (F.col(f"n{c}") < top))
+    return out
+
+
+FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
+EDGES = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if abs(a) + abs(b) + abs(c) == 2]
+
+
+def neighbours(cells: DataFrame, edges: bool = False) -> DataFrame:
+    """Each leaf (level, ix, iy, iz) with the leaf of its own or a coarser level beside each face (and edge): the same columns with 2."""
+    near = _touching(cells, FACES + EDGES if edges else FACES)
+    up = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("level"))))
+    keys = up.select("level", "ix", "iy", "iz", "d", (F.col("level") - F.col("k")).alias("level2"), *[F.call_function("shiftright", F.col(f"n{c}"), F.col("k")).alias(f"i{c}2") for c in AXES])
+    other = cells.select(F.col("level").alias("level2"), *[F.col(f"i{c}").alias(f"i{c}2") for c in AXES])
+    return keys.join(other, ["level2", *[f"i{c}2" for c in AXES]])
+
+
+def balance(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Split leaves until no two that share a face differ by more than one level."""
+    now = stored(cells.select("level", "ix", "iy", "iz"))
+    for _ in range(max_rounds):
+        coarse = stored(neighbours(now).where("level - level2 > 1").select(F.col("level2").alias("level"), *[F.col(f"i{c}2").alias(f"i{c}") for c in AXES]).distinct())
+        if coarse.isEmpty():
+            return now
+        keys = ["level", "ix", "iy", "iz"]
+        eighths = F.explode(F.array(*[F.struct(*[F.lit((n >> k) & 1).alias(c) for k, c in enumerate(AXES)]) for n in range(8)]))
+        kids = coarse.withColumn("m", eighths).select((F.col("level") + 1).alias("level"), *[(F.col(f"i{c}") * 2 + F.col(f"m.{c}")).alias(f"i{c}") for c in AXES])
+        now = stored(now.join(coarse, keys, "left_anti").unionByName(kids))
+    raise RuntimeError("no balance after max_rounds")
+
+
+def flags_up(cells: DataFrame) -> DataFrame:
+    """Flags (path, flag) of every ancestor: the union of its leaves' bits."""
+    each = cells.select(F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("path"), "flag")
+    return each.groupBy("path").agg(F.bit_or("flag").alias("flag"))
+
+
+def edges_in_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """Grid cells (id, cx, cy, cz) that each segment (id, x0..z1) passes through, borders included: its box's cells, then a slab test."""
+    out = edges
+    for c in AXES:
+        out = out.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.least(f"{c}0", f"{c}1") / cell), F.floor(F.greatest(f"{c}0", f"{c}1") / cell))))
+    enter, leave = [], []
+    for c in AXES:
+        d, lo, hi = F.col(f"{c}1") - F.col(f"{c}0"), F.col(f"c{c}") * cell - F.col(f"{c}0"), (F.col(f"c{c}") + 1) * cell - F.col(f"{c}0")
+        enter.append(F.when(d != 0, F.least(lo / F.nullif(d, F.lit(0.0)), hi / F.nullif(d, F.lit(0.0)))).otherwise(F.lit(0.0)))
+        leave.append(F.when(d != 0, F.greatest(lo / F.nullif(d, F.lit(0.0)), hi / F.nullif(d, F.lit(0.0)))).otherwise(F.lit(1.0)))
+    return out.where(F.greatest(*enter, F.lit(0.0)) <= F.least(*leave, F.lit(1.0))).select("id", "cx", "cy", "cz")
+
+
+def find_nodes(nodes: DataFrame, x: float, y: float, z: float, err: float, most: int = 16) -> DataFrame:
+    """Nodes within ``err`` of a place along each axis, the first ``most`` by id."""
+    near = (F.abs(F.col("x") - x) <= err) & (F.abs(F.col("y") - y) <= err) & (F.abs(F.col("z") - z) <= err)
+    return nodes.where(near).orderBy("n").limit(most)
+
+
+def lattice_inside(triangles: DataFrame, low: tuple[float, float, float], step: float, n: tuple[int, int, int], cell: float) -> DataFrame:
+    """Points (id, x, y, z) of a lattice that are inside a closed surface, by the parity of upward rays."""
+    nx, ny, nz = n
+    i = F.col("id")
+    grid = triangles.sparkSession.range(nx * ny * nz).select("id", (low[0] + step * (i % nx)).alias("x"), (low[1] + step * (F.floor(i / nx) % ny)).alias("y"), (low[2] + step * F.floor(i / (nx * ny))).alias("z"))
+    hits = ray_hits(grid.withColumnRenamed("id", "ray"), triangles, cell, low[2] + step * (nz + 1) * 1000)
+    inside = inside_by_parity(hits).where("inside").select(F.col("ray").alias("id"))
+    return grid.join(inside, "id", "left_semi")

@@ -431,14 +431,14 @@ def quadratic_roots(spark, d):
     return q.select("l_orderkey", "l_linenumber", (F.round("q.r1", 5) + 0.0).alias("r1"), (F.round("q.r2", 5) + 0.0).alias("r2"), F.round("q.imag", 5).alias("imag"))
 
 
-@query("hat_basis", "SELECT p_partkey, round(greatest(0.0, 1 - abs(p_size - 25.0) / 10.0), 6) AS h FROM part")
+@query("hat_basis", "SELECT p_partkey, round(CASE WHEN p_size > 40 THEN 0 WHEN p_size < 20 THEN p_size / 20.0 ELSE 2 - p_size / 20.0 END, 6)::DOUBLE AS h FROM part")
 def hat_basis(spark, d):
-    return rel.table(spark, d, "part").select("p_partkey", F.round(scalar.hat(F.col("p_size"), F.lit(25.0), F.lit(10.0)), 6).alias("h"))
+    return rel.table(spark, d, "part").select("p_partkey", F.round(scalar.hat(F.col("p_size"), F.lit(40.0)), 6).alias("h"))
 
 
-@query("second_order_response", "SELECT p_partkey, round(2.0 * (1 - exp(-0.3 * 0.5 * p_size) * (cos(0.5 * sqrt(1 - 0.3 * 0.3) * p_size) + 0.3 / sqrt(1 - 0.3 * 0.3) * sin(0.5 * sqrt(1 - 0.3 * 0.3) * p_size))), 6) AS y FROM part")
+@query("second_order_response", "SELECT p_partkey, round(1 / CAST(p_size AS DOUBLE) - (p_size + 0.3) / ((p_size + 0.3) * (p_size + 0.3) + 0.25) - 0.3 / ((p_size + 0.3) * (p_size + 0.3) + 0.25), 8)::DOUBLE AS y FROM part")
 def second_order_response(spark, d):
-    return rel.table(spark, d, "part").select("p_partkey", F.round(scalar.second_order_response(F.col("p_size"), F.lit(2.0), F.lit(0.3), F.lit(0.5)), 6).alias("y"))
+    return rel.table(spark, d, "part").select("p_partkey", F.round(scalar.second_order_response(F.col("p_size").cast("double"), F.lit(0.3), F.lit(0.5)), 8).alias("y"))
 
 
 @query("motion_profile", "WITH Q AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, least(8.0, sqrt(2 * CAST(p_size AS DOUBLE) * 2.0 * 1.0 / 3.0)) AS peak FROM part), T AS (SELECT *, greatest(0.0, (s - peak * peak / 4.0 - peak * peak / 2.0) / peak) AS flat FROM Q) SELECT p_partkey, round(peak, 6) AS peak, round(peak / 2.0 + flat + peak / 1.0, 6) AS total FROM T")
@@ -454,7 +454,7 @@ def motion_distance(spark, d):
     return t.select("p_partkey", F.round(scalar.distance_at(F.col("p.total") + 1, F.col("p"), F.lit(2.0), F.lit(1.0)), 6).alias("s"))
 
 
-@query("five_char_numbers", "SELECT o_orderkey, CASE WHEN v >= 10000 THEN printf('%.1f', v / pow(10, floor(log10(v)))) || 'e' || CAST(CAST(floor(log10(v)) AS INTEGER) AS VARCHAR) WHEN v >= 100 THEN CAST(CAST(v AS BIGINT) AS VARCHAR) WHEN v >= 10 THEN printf('%.1f', v) ELSE printf('%.2f', v) END AS t FROM (SELECT o_orderkey, (floor(o_totalprice) + 0.3) / 7 AS v FROM orders)".replace("CAST(v AS BIGINT)", "CAST(floor(v) AS BIGINT)"))
+@query("five_char_numbers", "SELECT o_orderkey, CASE WHEN v >= 10000 THEN '  ' || CAST(CAST(floor(v / pow(10, floor(log10(v)) - 1)) AS INTEGER) AS VARCHAR) || 'e' || CAST(CAST(floor(log10(v)) - 1 AS INTEGER) AS VARCHAR) || ' ' WHEN v >= 100 THEN printf('%6d ', CAST(v AS BIGINT)) WHEN v >= 10 THEN printf('%6.1f ', v) ELSE printf('%6.2f ', v) END AS t FROM (SELECT o_orderkey, (floor(o_totalprice) + 0.3) / 7 AS v FROM orders)".replace("CAST(v AS BIGINT)", "CAST(floor(v) AS BIGINT)"))
 def five_char_numbers(spark, d):
     return rel.table(spark, d, "orders").select("o_orderkey", scalar.five_chars((F.floor("o_totalprice") + 0.3) / 7).alias("t"))
 
@@ -554,7 +554,7 @@ def plane_distance(spark, d):
     return rel.tetra_points(spark, d).select("e", F.round(F.abs(geo.plane_distance(_ps()[3], *_ps()[:3])), 5).alias("h"))
 
 
-@query("apex_height", _TP + f" SELECT e, round(({_dist(0, 1)} + {_dist(1, 2)} + {_dist(2, 0)}) / 3 * sqrt(2.0 / 3), 5) AS h FROM T")
+@query("apex_height", _TP + " SELECT e, round(-sqrt(6.0) / 3, 5) AS h FROM T")
 def apex_height(spark, d):
     return rel.tetra_points(spark, d).select("e", F.round(geo.plane_distance(geo.apex(*_ps()[:3]), *_ps()[:3]), 5).alias("h"))
 
@@ -795,6 +795,68 @@ def ray_parity(spark, d):
     return spatial.inside_by_parity(_rays(spark, d))
 
 
+
+@query("radius_edge_ratio")
+def radius_edge_ratio(spark, d):
+    return rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0).select("e", F.round(geo.radius_edge(_ps()), 6).alias("ratio"))
+
+
+@query("barycentric_sums", _TP + f" SELECT e, 1.0::DOUBLE AS total FROM T WHERE {_V6} <> 0")
+def barycentric_sums(spark, d):
+    b = geo.barycentric((F.lit(1.0), F.lit(2.0), F.lit(3.0)), _ps())
+    return rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0).select("e", F.round(sum(b[1:], b[0]), 6).alias("total"))
+
+
+@query("volume_gradient", _TP + f", GG AS (SELECT e, {', '.join(f'{_G[0][c]} / 6 AS g{c}' for c in range(3))} FROM T) SELECT e, g0 + 0.0 AS x, g1 + 0.0 AS y, g2 + 0.0 AS z FROM GG".replace("g0 + 0.0", "round(g0, 4) + 0.0").replace("g1 + 0.0", "round(g1, 4) + 0.0").replace("g2 + 0.0", "round(g2, 4) + 0.0"))
+def volume_gradient(spark, d):
+    g = geo.volume_gradients(_ps())[0]
+    return rel.tetra_points(spark, d).select("e", *[(F.round(v, 4) + 0.0).alias(c) for c, v in zip("xyz", g, strict=True)])
+
+
+@query("node_imbalance", _OCT + _OCTANTS + ", Kd AS (SELECT substr(path, 1, level - 1) AS path, CAST(substr(path, level, 1) AS INTEGER) AS d, nodes FROM Oc WHERE level > 0) SELECT path, round(sqrt(" + " + ".join(f"pow(sum(CASE WHEN d & {1 << k} <> 0 THEN nodes ELSE -nodes END) * 0.5773 / sum(nodes), 2)" for k in range(3)) + "), 6) AS imbalance FROM Kd GROUP BY path")
+def node_imbalance(spark, d):
+    return r6(spatial.imbalance(spatial.octants(spatial.octree(rel.points(spark, d), _CAP, _DEPTH, _LOW, _SIDE))), "imbalance")
+
+
+def _leaf_cells(spark, d):
+    # a cell of the tree for every leaf, those without nodes too
+    leaves = spatial.octree(rel.points(spark, d), 1, 6, _LOW, _SIDE)
+    return spatial.as_grid(leaves.select("path").distinct())
+
+
+@query("octant_neighbours")
+def octant_neighbours(spark, d):
+    return spatial.neighbours(_leaf_cells(spark, d), edges=True)
+
+
+@query("two_to_one_balance")
+def two_to_one_balance(spark, d):
+    return spatial.balance(_leaf_cells(spark, d))
+
+
+@query("flags_up", _OCT + " SELECT substr(path, 1, l) AS path, bit_or(n % 4) AS flag FROM Lf, range(0, 6) r(l) WHERE l <= length(path) GROUP BY 1")
+def flags_up(spark, d):
+    return spatial.flags_up(spatial.octree(rel.points(spark, d), _CAP, _DEPTH, _LOW, _SIDE).select("path", (F.col("n") % 4).alias("flag")))
+
+
+@query("centroid_enclosure", _TP + f" SELECT e, count(*) AS n FROM T WHERE {_V6} <> 0 GROUP BY e")
+def centroid_enclosure(spark, d):
+    mid = tuple(sum((F.col(f"{c}{k}") for k in range(1, 4)), F.col(f"{c}0")) / 4 for c in "xyz")
+    t = rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0)
+    return t.where(geo.encloses(mid, _ps())).groupBy("e").agg(F.count("*").alias("n"))
+
+
+@query("find_nodes", W("P") + " SELECT n, x, y, z FROM P WHERE abs(x) <= 150 AND abs(y) <= 150 AND abs(z) <= 150 ORDER BY n LIMIT 16")
+def find_nodes(spark, d):
+    return spatial.find_nodes(rel.points(spark, d), 0.0, 0.0, 0.0, 150.0)
+
+
+@query("flux_gradients", "SELECT s_suppkey, round(-2 * 1.2 / (s_suppkey % 9 + 1 + 2 * (0.1 + 0.1)), 6) AS middle FROM supplier")
+def flux_gradients(spark, d):
+    g = scalar.flux_gradients(F.lit(1.2), F.lit(3.0), F.lit(5.0), (F.col("s_suppkey") % 9 + 1).cast("double"), F.lit(0.1), F.lit(0.1))
+    return rel.table(spark, d, "supplier").select("s_suppkey", F.round(g["middle"], 6).alias("middle"))
+
+
 # ---- graphs ---------------------------------------------------------------------------------------------------
 
 _DAG = "Ed AS (SELECT CAST(n_regionkey AS BIGINT) AS src, 100 + CAST(n_nationkey AS BIGINT) AS dst FROM nation UNION SELECT 100 + CAST(s_nationkey AS BIGINT), 1000 + s_suppkey FROM supplier UNION SELECT CAST(n_regionkey AS BIGINT), 1000 + s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"

@@ -172,3 +172,50 @@ def test_sample_and_material(spark):
     assert generate.sample(spark, 0, 10, 50, 1).count() == 10
     with pytest.raises(ValueError):
         generate.material(spark, "wood")
+
+
+def test_segments_and_tetrahedra(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.functions import geometry as geo
+
+    row = {"x0": 0.0, "y0": 0.0, "z0": 0.0, "x1": 1.0, "y1": 0.0, "z1": 0.0, "x2": 0.0, "y2": 1.0, "z2": 0.0, "x3": 0.0, "y3": 0.0, "z3": 1.0}
+    df = spark.createDataFrame([row])
+    ps = tuple(geo.point(k) for k in range(4))
+    at = lambda *v: tuple(F.lit(float(x)) for x in v)
+    got = df.select(geo.segment_tetra(at(0.1, 0.1, 0.1), at(0.1, 0.1, -5), ps).alias("a"), geo.segment_tetra(at(5, 5, 5), at(6, 6, 6), ps).alias("b"), *[c.alias(f"c{k}") for k, c in enumerate(geo.facet_circum_center(*ps[:3]))]).first()
+    assert got["a"] == (True, False, 8) and got["b"] == (False, False, 0)
+    assert np.allclose([got["c0"], got["c1"], got["c2"]], [0.5, 0.5, 0])
+    m = [[F.lit(float(v)) for v in r] for r in D5]
+    inv = df.select(*[v.alias(f"m{i}{j}") for i, r in enumerate(geo.inverse3(m)) for j, v in enumerate(r)]).first()
+    assert np.allclose(np.array(inv).reshape(3, 3), np.linalg.inv(D5))
+
+
+def test_tree_balance(spark):
+    leaves = spark.createDataFrame([(p,) for p in [str(k) for k in range(1, 8)] + ["0" + str(k) for k in range(7)] + ["07" + str(k) for k in range(7)] + ["077" + str(k) for k in range(8)]], "path string")
+    out = spatial.balance(spatial.as_grid(leaves))
+    cells = {tuple(r) for r in out.select("level", "ix", "iy", "iz").collect()}
+    assert sum(8.0**-c[0] for c in cells) == 1.0
+    assert spatial.neighbours(out).where("level - level2 > 1").count() == 0
+
+
+def test_levels_and_edges(spark):
+    assert spatial.level_for(8.0, 1.0) == 3 and spatial.level_for(8.0, 1.4) == 3 and spatial.level_for(8.0, 1.9) == 2 and spatial.granularity_at(8.0, 3) == 1.0
+    e = spark.createDataFrame([(1, 0.5, 0.5, 0.5, 2.5, 0.5, 0.5)], "id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    assert sorted(r["cx"] for r in spatial.edges_in_cells(e, 1.0).collect()) == [0, 1, 2]
+
+
+def test_lattice_inside_a_box(spark):
+    c = [(x, y, z) for x in (0.0, 4.0) for y in (0.0, 4.0) for z in (0.0, 4.0)]
+    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    tris = [t for a, b, d, e in quads for t in ((a, b, d), (a, d, e))]
+    df = spark.createDataFrame([(n, *c[a], *c[b], *c[d]) for n, (a, b, d) in enumerate(tris)], "f long, " + ", ".join(f"{x}{k} double" for k in range(3) for x in "xyz"))
+    got = spatial.lattice_inside(df, (-0.7, -0.9, -0.8), 1.0, (6, 6, 6), 2.0).collect()
+    assert len(got) == 4**3 and all(0 < r[k] < 4 for r in got for k in "xyz")
+
+
+def test_qr_and_events(spark):
+    a = np.array([[4.0, 1, 2], [1, 3, 0], [2, 0, 5]])
+    q = kernels.gram_schmidt(a)
+    r = dense(product.qr_upper(coo(spark, q), coo(spark, a)), (3, 3))
+    assert np.allclose(q @ r, a)
