@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Point = tuple[Column, Column, Column]
+#: Quotients are null, not an error, where a degenerate shape makes the divisor 0.
+over = F.try_divide
 
 
 def point(suffix: object) -> Point:
@@ -44,7 +46,7 @@ def normal(a: Point, b: Point, c: Point) -> Point:
     """Unit normal; null for a degenerate triangle."""
     n = cross(sub(b, a), sub(c, a))
     length = F.sqrt(dot(n, n))
-    return tuple(F.when(length > 0, k / length) for k in n)
+    return tuple(over(k, length) for k in n)
 
 
 def det3(a: Point, b: Point, c: Point) -> Column:
@@ -63,7 +65,7 @@ def facets(ps: tuple[Point, Point, Point, Point]) -> list[tuple[Point, Point, Po
 
 def inscribed_radius(ps: tuple[Point, Point, Point, Point]) -> Column:
     area = sum((triangle_area(*f) for f in facets(ps)[1:]), triangle_area(*facets(ps)[0]))
-    return F.abs(six_volume(*ps)) / (2 * area)
+    return over(F.abs(six_volume(*ps)), 2 * area)
 
 
 def circum_center(ps: tuple[Point, Point, Point, Point]) -> Point:
@@ -71,7 +73,7 @@ def circum_center(ps: tuple[Point, Point, Point, Point]) -> Point:
     u, v, w = (sub(p, ps[0]) for p in ps[1:])
     d = 2 * det3(u, v, w)
     uv, vw, wu = cross(u, v), cross(v, w), cross(w, u)
-    return tuple(ps[0][k] + F.when(d != 0, (dot(u, u) * vw[k] + dot(v, v) * wu[k] + dot(w, w) * uv[k]) / d) for k in range(3))
+    return tuple(ps[0][k] + over(dot(u, u) * vw[k] + dot(v, v) * wu[k] + dot(w, w) * uv[k], d) for k in range(3))
 
 
 def edges(ps: tuple[Point, Point, Point, Point]) -> list[Column]:
@@ -80,12 +82,12 @@ def edges(ps: tuple[Point, Point, Point, Point]) -> list[Column]:
 
 def quality(ps: tuple[Point, Point, Point, Point]) -> Column:
     """2 sqrt(6) inscribed radius over the longest edge: 1 for the regular tetrahedron."""
-    return inscribed_radius(ps) * (2 * 6**0.5) / F.greatest(*edges(ps))
+    return over(inscribed_radius(ps) * (2 * 6**0.5), F.greatest(*edges(ps)))
 
 
 def radius_ratio(ps: tuple[Point, Point, Point, Point]) -> Column:
     """3 inscribed radius over circumscribed radius: 1 for the regular tetrahedron."""
-    return 3 * inscribed_radius(ps) / distance(circum_center(ps), ps[0])
+    return over(3 * inscribed_radius(ps), distance(circum_center(ps), ps[0]))
 
 
 def dihedrals(ps: tuple[Point, Point, Point, Point]) -> list[Column]:
@@ -95,20 +97,20 @@ def dihedrals(ps: tuple[Point, Point, Point, Point]) -> list[Column]:
         n = cross(sub(f[1], f[0]), sub(f[2], f[0]))
         out = dot(n, sub(ps[k], f[0])) > 0
         ns.append(tuple(F.when(out, -c).otherwise(c) for c in n))
-    angle = lambda a, b: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))))
+    angle = lambda a, b: F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), over(-dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))))))
     return [angle(ns[a], ns[b]) for a in range(4) for b in range(a + 1, 4)]
 
 
 def closest_on_segment(p: Point, a: Point, b: Point) -> Point:
     d = sub(b, a)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(sub(p, a), d) / dot(d, d)))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(over(dot(sub(p, a), d), dot(d, d)), F.lit(0.0))))
     return tuple(a[k] + t * d[k] for k in range(3))
 
 
 def plane_distance(p: Point, a: Point, b: Point, c: Point) -> Column:
     """Signed distance of a point to a triangle's plane."""
     n = cross(sub(b, a), sub(c, a))
-    return dot(sub(p, a), n) / F.sqrt(dot(n, n))
+    return over(dot(sub(p, a), n), F.sqrt(dot(n, n)))
 
 
 def apex(a: Point, b: Point, c: Point, edge: Column | None = None) -> Point:
@@ -120,7 +122,7 @@ def apex(a: Point, b: Point, c: Point, edge: Column | None = None) -> Point:
 
 def radius_edge(ps: tuple[Point, Point, Point, Point]) -> Column:
     """Circumscribed radius over the shortest edge."""
-    return distance(circum_center(ps), ps[0]) / F.least(*edges(ps))
+    return over(distance(circum_center(ps), ps[0]), F.least(*edges(ps)))
 
 
 def volume_gradients(ps: tuple[Point, Point, Point, Point]) -> list[Point]:
@@ -132,7 +134,7 @@ def volume_gradients(ps: tuple[Point, Point, Point, Point]) -> list[Point]:
 def barycentric(p: Point, ps: tuple[Point, Point, Point, Point]) -> list[Column]:
     """Barycentric coordinates; null in a flat tetrahedron."""
     whole = six_volume(*ps)
-    return [F.when(whole != 0, six_volume(*[p if i == k else q for i, q in enumerate(ps)]) / whole) for k in range(4)]
+    return [over(six_volume(*[p if i == k else q for i, q in enumerate(ps)]), whole) for k in range(4)]
 
 
 def facet_circum_center(a: Point, b: Point, c: Point) -> Point:
@@ -140,7 +142,7 @@ def facet_circum_center(a: Point, b: Point, c: Point) -> Point:
     u, v = sub(b, a), sub(c, a)
     n = cross(u, v)
     first, second = cross(v, n), cross(n, u)
-    return tuple(a[k] + (dot(u, u) * first[k] + dot(v, v) * second[k]) / (2 * dot(n, n)) for k in range(3))
+    return tuple(a[k] + over(dot(u, u) * first[k] + dot(v, v) * second[k], 2 * dot(n, n)) for k in range(3))
 
 
 def segment_tetra(p: Point, q: Point, ps: tuple[Point, Point, Point, Point]) -> Column:
@@ -154,7 +156,7 @@ def inverse3(m: list[list[Column]]) -> list[list[Column]]:
     rows = [tuple(r) for r in m]
     d = det3(*rows)
     cof = [cross(rows[1], rows[2]), cross(rows[2], rows[0]), cross(rows[0], rows[1])]
-    return [[F.when(d != 0, cof[c][r] / d) for c in range(3)] for r in range(3)]
+    return [[over(cof[c][r], d) for c in range(3)] for r in range(3)]
 
 
 def encloses(p: Point, ps: tuple[Point, Point, Point, Point]) -> Column:
@@ -170,7 +172,7 @@ def crosses(p: Point, q: Point, a: Point, b: Point, c: Point) -> Column:
     h = cross(d, e2)
     det = dot(e1, h)
     s = sub(p, a)
-    u = dot(s, h) / det
+    u = over(dot(s, h), det)
     k = cross(s, e1)
-    v, t = dot(d, k) / det, dot(e2, k) / det
-    return F.when((det != 0) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= 1), t)
+    v, t = over(dot(d, k), det), over(dot(e2, k), det)
+    return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= 1), t)

@@ -32,8 +32,7 @@ def second_order_response(s: Column, sigma: Column, omega: Column) -> Column:
 def motion_profile(distance: Column, speed: Column, up: Column, down: Column) -> Column:
     """struct(peak, t_up, t_flat, t_down, total) of a move that speeds up, runs and slows down; the peak is lowered if it can't be reached."""
     peak = F.least(speed, F.sqrt(2 * distance * up * down / (up + down)))
-    flat = (distance - peak * peak / (2 * up) - peak * peak / (2 * down)) / peak
-    flat = F.greatest(F.lit(0.0), flat)
+    flat = F.greatest(F.lit(0.0), F.try_divide(distance - peak * peak / (2 * up) - peak * peak / (2 * down), peak))
     return F.struct(peak.alias("peak"), (peak / up).alias("t_up"), flat.alias("t_flat"), (peak / down).alias("t_down"), (peak / up + flat + peak / down).alias("total"))
 
 
