@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as geo
-from gridloom.functions import scalar
+from gridloom.functions import scalar, shapes
 from gridloom.operators import elementwise as el
 from gridloom.operators import graph, kernels, mesh, product, reduce, spatial
 from gridloom.plans import relations as rel
-from gridloom.sources import generate, matrix_market, obj
+from gridloom.sources import generate, matrix_market, obj, text
 from gridloom.streaming.events import windowed_line_fit
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -959,3 +959,33 @@ def distinct_sample(spark, d):
 @query("event_window_fit", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(regr_slope(value, epoch_us(ts) / 1e6 - epoch_us(date_trunc('day', ts)) / 1e6), 7) + 0.0 AS b1 FROM events GROUP BY 1, 2")
 def event_window_fit(spark, d):
     return windowed_line_fit(rel.table(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", (F.round("b1", 7) + 0.0).alias("b1"))
+
+
+@query("sparse_dump", W("U") + " SELECT i, 'row(' || i || '): [' || string_agg('(' || i || ', ' || j || ', ' || printf('%.3f', v) || ')', ', ' ORDER BY j) || ']' AS value FROM U GROUP BY i")
+def sparse_dump(spark, d):
+    return text.sparse_lines(rel.usage(spark, d))
+
+
+@query("grid_text", W("U") + " SELECT i, " + " || ".join(f"coalesce(max(CASE WHEN j = {k} THEN CASE WHEN v >= 100 THEN printf('%6d ', CAST(v AS BIGINT)) WHEN v >= 10 THEN printf('%5d  ', CAST(v AS BIGINT)) ELSE printf('%4d   ', CAST(v AS BIGINT)) END END), '   -   ')" for k in range(5)) + " AS value FROM U GROUP BY i")
+def grid_text(spark, d):
+    return text.grid_lines(rel.usage(spark, d), 5)
+
+
+@query("graph_text", f"WITH {_DAG} SELECT 0 AS ord, 'digraph g {{' AS value UNION ALL SELECT 1, '  ' || src || ' -> ' || dst || ' [label=\"L\"];' FROM Ed UNION ALL SELECT 2, '}}'")
+def graph_text(spark, d):
+    return text.dot_lines(_dag(spark, d).withColumn("kind", F.lit("L")))
+
+
+@query("octree_text")
+def octree_text(spark, d):
+    return text.cell_lines(_leaf_cells(spark, d), _LOW, _SIDE)
+
+
+@query("stiffness_by_kernel", _FW + f" SELECT count(*) > 0 AS equal FROM Fn WHERE {_V6} <> 0")
+def stiffness_by_kernel(spark, d):
+    # the quadrature kernel against the closed form, relative to the greatest cell
+    fan = _fan(spark, d).where(geo.six_volume(*_ps()) != 0)
+    own = fan.select("e", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{c}{k}").alias(c) for c in ("n", "x", "y", "z")]) for k in range(4)])).alias("c")).select("e", "c.*")
+    a, b = mesh.assemble_elastic(fan, 1.0, 1.0), shapes.assemble(own, "tet4", 1.0, 1.0)
+    both = a.select("i", "j", "v", F.lit(0.0).alias("w")).unionAll(b.select("i", "j", F.lit(0.0).alias("v"), F.col("v").alias("w"))).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
+    return both.agg((F.max(F.abs(F.col("v") - F.col("w"))) <= 1e-6 * F.max(F.abs("v"))).alias("equal"))

@@ -219,3 +219,48 @@ def test_qr_and_events(spark):
     q = kernels.gram_schmidt(a)
     r = dense(product.qr_upper(coo(spark, q), coo(spark, a)), (3, 3))
     assert np.allclose(q @ r, a)
+
+
+@pytest.mark.parametrize("kind", ["tet4", "tet10", "hex8", "hex20"])
+def test_shapes_and_quadrature(kind):
+    from gridloom.functions import shapes
+
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        p = rng.random(3) / 4
+        v, d = shapes.shape(kind, p)
+        assert len(v) == shapes.NODES[kind] and np.isclose(v.sum(), 1) and np.allclose(d.sum(axis=0), 0)
+        for k in range(3):
+            e = np.eye(3)[k] * 1e-6
+            assert np.allclose((shapes.shape(kind, p + e)[0] - shapes.shape(kind, p - e)[0]) / 2e-6, d[:, k], atol=1e-6)
+    x, w = shapes.quadrature(kind, 4)
+    want = (8.0, 8 / 9) if kind[0] == "h" else (1 / 6, 2 * 2 / 5040)
+    assert np.isclose(w.sum(), want[0]) and np.isclose((w * x[:, 0] ** 2 * x[:, 1] ** 2).sum(), want[1])
+
+
+def test_element_matrices(spark):
+    from gridloom.functions import shapes
+
+    tet = np.array([[0.0, 0, 0], [2, 0, 0], [0, 3, 0], [0, 0, 4]])
+    k = shapes.element_stiffness("tet4", tet, 1.0, 2.0)
+    assert np.allclose(k, k.T) and np.allclose(k.reshape(4, 3, 4, 3).sum(axis=2), 0)
+    assert np.allclose(shapes.element_mass("tet4", tet, 5.0), 5 * 4 / 20 * (np.ones((4, 4)) + np.eye(4)))
+    rows = spark.createDataFrame([(0, i, i, *map(float, x)) for i, x in enumerate(tet)], "e long, k int, n long, x double, y double, z double")
+    assert np.allclose(dense(shapes.assemble(rows, "tet4", 1.0, 2.0), (12, 12)), k)
+    flat = spark.createDataFrame([(0, 0, 1, 2, 3, *map(float, tet.ravel()))], "e long, n0 long, n1 long, n2 long, n3 long, " + ", ".join(f"{c}{i} double" for i in range(4) for c in "xyz"))
+    assert np.allclose(dense(mesh.assemble_elastic(flat, 1.0, 2.0), (12, 12)), k)
+    h = shapes.element_stiffness("hex8", shapes.HEX * [1, 2, 3], 1.0, 1.0)
+    assert np.allclose(h, h.T) and np.linalg.matrix_rank(h, tol=1e-8) == 18
+
+
+def test_text_sinks(spark):
+    from gridloom.sources import text
+
+    m = spark.createDataFrame([(0, 0, 1.0), (0, 2, -123.0), (1, 1, 2.5)], "i long, j long, v double")
+    assert [r["value"] for r in text.grid_lines(m, 3).orderBy("i").collect()] == ["   1      -     -123 ", "   -     2.50    -   "]
+    assert text.sparse_lines(m).orderBy("i").first()["value"] == "row(0): [(0, 0, 1.000), (0, 2, -123.000)]"
+    e = spark.createDataFrame([(1, 2, "L")], "src long, dst long, kind string")
+    assert [r["value"] for r in text.dot_lines(e).orderBy("ord").collect()] == ["digraph g {", '  1 -> 2 [label="L"];', "}"]
+    c = spark.createDataFrame([(1, 0, 1, 0)], "level int, ix long, iy long, iz long")
+    lines = [r["value"] for r in text.cell_lines(c, (0.0, 0.0, 0.0), 4.0).orderBy("k").collect()]
+    assert len(lines) == 14 and lines[0] == "v  0.0 2.0 0.0" and lines[7] == "v  2.0 4.0 2.0"
