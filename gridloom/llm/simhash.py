@@ -17,8 +17,10 @@ SEED = 42
 MAX_BITS = 2
 #: Reference fingerprints of the table that every pair is held against, and of each band.
 PIVOTS, BAND_PIVOTS = 24, 20
-#: A bucket of more fingerprints goes another way, as exact: over shared neighbours.
-BUCKET = 256
+#: A bucket of more fingerprints goes another way, as exact: over shared neighbours (two bits) or in pairs of parts.
+BUCKET, WIDE_BUCKET = 256, 4096
+#: Differing bits at which texts count as near copies where no contract says otherwise: a few words changed on a page.
+NEAR_BITS = 6
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PIECE = 4 << 20
 
@@ -78,8 +80,13 @@ def bands(max_bits: int) -> list[tuple[int, int]]:
     """Pairs of masks. Two fingerprints within ``max_bits`` bits agree on both masks of one pair at least.
 
     The 64 bits fall into ``max_bits`` + 1 bands, one of which no difference
-    touches; the bits outside it fall into ``max_bits`` + 1 bands again.
+    touches; the bits outside it fall into ``max_bits`` + 1 bands again. Beyond
+    two bits, ``max_bits`` + 2 bands leave two untouched: every pair of bands.
     """
+    if max_bits > 2:
+        cut = [64 * i // (max_bits + 2) for i in range(max_bits + 3)]
+        whole = [_mask(lo, hi) for lo, hi in zip(cut, cut[1:], strict=False)]
+        return [(a, b) for i, a in enumerate(whole) for b in whole[i + 1 :]]
     k = max_bits + 1
     edges = [64 * i // k for i in range(k + 1)]
     out = []
@@ -161,16 +168,21 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 out += [(int(part[i]), int(part[j])) for i, j in bucket_links(part.view(np.uint64), max_bits)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    small = full.where(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(returning(linked), "a long, b long")
+    most = BUCKET if max_bits == 2 else WIDE_BUCKET
+    small = full.where(F.col("n") <= most).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(returning(linked), "a long, b long")
     # Within two bits: the same fingerprint once one bit, or none, of each is turned. Everyone who reaches a value links to the least.
-    big = full.where(F.col("n") > BUCKET).select("fp").distinct()
+    big = full.where(F.col("n") > most).select("fp").distinct()
     turned = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     if max_bits == 2:
         around = big.select("fp", F.explode(turned).alias("at"))
         hubs = around.groupBy("at").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("at", "b")
         more = around.join(hubs, "at").select(F.col("fp").alias("a"), "b").where("a <> b")
     else:
-        raise ValueError("links over shared neighbours are written for two bits")
+        # parts of a bucket, each pair of parts a group of its own
+        parts = F.ceil(F.col("n") / (most // 2)).cast("int")
+        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        dealt = full.where(F.col("n") > most).select("key", "fp", own.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("q"))
+        more = dealt.groupBy("key", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(returning(linked), "a long, b long")
     return small.unionAll(more)
 
 
@@ -196,7 +208,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, co
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, max_bits: int = NEAR_BITS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id.
 
     Rows that repeat this doc_id are told apart by text, then by position:

@@ -193,7 +193,7 @@ def brute_print(text, size):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(prints):
+def brute_components(prints, bits=2):
     root = {d: d for d in prints}
 
     def top(x):
@@ -203,7 +203,7 @@ def brute_components(prints):
 
     for a in prints:
         for b in prints:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 2:
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= bits:
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
     return {d: top(d) for d in prints}
@@ -224,30 +224,32 @@ def test_simhash_against_brute_force(spark):
         assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == want[r["doc_id"]]
 
 
-@pytest.mark.parametrize("cap", [256, 1])
-def test_links_hold_components(spark, monkeypatch, cap):
+@pytest.mark.parametrize("cap,bits", [(256, 2), (1, 2), (256, 6), (4, 6)])
+def test_links_hold_components(spark, monkeypatch, cap, bits):
     monkeypatch.setattr(simhash, "BUCKET", cap)
+    monkeypatch.setattr(simhash, "WIDE_BUCKET", cap)
     rng = random.Random(9)
     fps = set()
     for _ in range(12):
         x = rng.getrandbits(64)
         for _ in range(rng.randint(1, 15)):
             fps.add(x)
-            for _ in range(rng.randint(1, 3)):
+            for _ in range(rng.randint(1, bits + 1)):
                 x ^= 1 << rng.randrange(64)
     signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
-    found = common.connected_components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")))
+    found = common.connected_components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), bits))
     got = {r["node"]: r["root"] for r in found.collect()}
-    want = brute_components({s: f for s, f in signed.items()})
+    want = brute_components({s: f for s, f in signed.items()}, bits)
     group = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
     assert group({s: got.get(s, s) for s in signed}) == group(want)
 
 
-def test_masks_cover_all_pairs():
-    pairs = simhash.bands(2)
+@pytest.mark.parametrize("bits", [2, 6])
+def test_masks_cover_all_pairs(bits):
+    pairs = simhash.bands(bits)
     rng = random.Random(10)
     for _ in range(500):
-        diff = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2)))
+        diff = sum(1 << b for b in rng.sample(range(64), rng.randint(0, bits)))
         assert any(not diff & a and not diff & b for a, b in pairs)
 
 
