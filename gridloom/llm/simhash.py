@@ -19,8 +19,14 @@ MAX_BITS = 2
 PIVOTS, BAND_PIVOTS = 24, 20
 #: A bucket of more fingerprints goes another way, as exact: over shared neighbours (two bits) or in pairs of parts.
 BUCKET, WIDE_BUCKET = 256, 4096
-#: Differing bits at which texts count as near copies where no contract says otherwise: a few words changed on a page.
-NEAR_BITS = 6
+#: Shared part of two texts' shingle sets (Jaccard) from which they count as near copies where no contract says otherwise.
+SIMILARITY = 0.8
+#: Keys of a shingle set, and minima that make a key: sets at a similarity of 0.8 share no key once in 5,000 times.
+KEYS, KEY_MINIMA = 12, 3
+#: Sets that share a key and whose fingerprints differ by more are not compared: at 0.8 about 10 differ, with a deviation of 3.
+FAR_BITS = 26
+#: Sets of a group that meet in one task; WORDS shingles count as one set more. Larger groups go in parts.
+GROUP, WORDS = 512, 8192
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PIECE = 4 << 20
 
@@ -37,29 +43,64 @@ def _pieces(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """The 64-bit majority of the XXH64 hashes of a text's word shingles.
+def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
+    """The XXH64 hashes of a text's word shingles, repeats included, in runs.
 
     Only A-Z is lower-cased; ASCII white space parts words. A text of fewer
-    words than ``size`` has its whole sequence of words as its one shingle;
-    no word (or null) gives zero. A tied bit is zero.
+    words than ``size`` has its whole sequence of words as its one shingle.
     """
-    ones, n, last = np.zeros(64, np.int64), 0, []
+    any_yet, last = False, []
     digest = xxhash.xxh64_intdigest
     for words in _pieces((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)):
         words = last + words
         grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(size)), strict=False)]
         if grams:
+            any_yet = True
             h = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
             for k in range(0, len(h), 1 << 16):
-                ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            n += len(h)
+                yield h[k : k + (1 << 16)]
         last = words[-(size - 1) :] if size > 1 else []
-    if not n:
-        return digest(b" ".join(last), SEED) if last else 0
+    if not any_yet and last:
+        yield np.array([digest(b" ".join(last), SEED)], np.uint64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """The 64-bit majority of a text's shingle hashes; no word (or null) gives zero. A tied bit is zero."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, size):
+        ones += _ones(h)
+        n += len(h)
+    return _majority(ones, n)
+
+
+def sketch(text: str | None, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """A text's fingerprint, the keys of its shingle set (none without words), and the set as sorted 32-bit hashes."""
+    ones, n, sets = np.zeros(64, np.int64), 0, []
+    turns = np.random.default_rng(3).integers(0, 1 << 64, (2, KEYS * KEY_MINIMA), dtype=np.uint64)
+    least = np.full(KEYS * KEY_MINIMA, np.iinfo(np.uint64).max)
+    for h in shingle_hashes(text, size):
+        ones += _ones(h)
+        n += len(h)
+        h = np.unique(h)
+        for k in range(0, len(h), 4096):
+            least = np.minimum(least, ((h[k : k + 4096, None] ^ turns[0]) * (turns[1] | np.uint64(1))).min(axis=0))
+        sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    if not n:
+        return 0, np.zeros(0, np.int64), np.zeros(0, np.int32)
+    powers = np.cumprod(np.full(KEY_MINIMA, 0x9E3779B97F4A7C15, np.uint64))
+    keys = ((least >> np.uint64(7)).reshape(KEYS, KEY_MINIMA) * powers).sum(axis=1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64)
+    keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _majority(ones, n), keys.view(np.int64), sets[0] if len(sets) == 1 else np.unique(np.concatenate(sets))
+
+
 def fingerprints(docs: DataFrame, size: int, column: str = "text") -> DataFrame:
     """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
     bounded_batches(docs.sparkSession)
@@ -186,21 +227,120 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return small.unionAll(more)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, column: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, size: int, column: str = "text") -> DataFrame:
+    """``doc_id``, ``fp`` and ``cid`` (one for texts of equal fingerprint and keys) of every row; ``keys`` and ``shingles`` where a task meets a cid first."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            fps, cids, keys, sets = [], [], [], []
+            for t in b.column(1):
+                fp, key, found = sketch(t.as_py(), size)
+                cid = xxhash.xxh64_intdigest(key.tobytes(), fp & 0xFFFFFFFF) - (1 << 63)
+                new = cid not in seen and len(key) > 0
+                seen.add(cid)
+                fps.append(fp)
+                cids.append(cid)
+                keys.append(key if new else None)
+                sets.append(found if new else None)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(cids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
+                names=["doc_id", "fp", "cid", "keys", "shingles"],
+            )
+
+    kind = "doc_id long, fp long, cid long, keys array<long>, shingles array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("t")).mapInArrow(returning(run), kind)
+
+
+def group_links(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that hold a group's fingerprints together as all pairs of sets at ``similarity`` or more would.
+
+    Pairs whose distances to some pivot differ by more than FAR_BITS are
+    discarded, then those of such fingerprints; the sets of the others are
+    compared. Equal fingerprints hold together without a link.
+    """
+    table, sizes, links = distances(fps, _pivots(PIVOTS, 1)), np.array([len(s) for s in sets]), []
+    root = np.unique(fps, return_inverse=True)[1]
+    for i in range(len(fps) - 1):
+        j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        j = j[np.abs(table[j] - table[i]).max(axis=1, initial=0) <= FAR_BITS]
+        j = j[np.bitwise_count(fps[j] ^ fps[i]) <= FAR_BITS]
+        j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-9]
+        for k in j.tolist():
+            if root[k] != root[i]:
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if both >= similarity * (sizes[i] + sizes[k] - both) - 1e-9:
+                    links.append((i, k))
+                    root[root == root[k]] = root[i]
+    return links
+
+
+def similar_links(store: DataFrame, similarity: float, known: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) between fingerprints of ``sketches`` that, with ``known`` ones, join texts as all pairs at ``similarity`` would.
+
+    Sets that share a key form a group; ``group_links`` tells its pairs. A large
+    group meets in parts first. What is then apart from the group's largest
+    component meets all of the group, again in parts, so no pair is left out
+    that could still join something.
+    """
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for members in b.column(0):
+                fps = members.values.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = members.values.field(1).offsets.to_numpy()
+                flat = members.values.field(1).values.to_numpy(zero_copy_only=False)
+                found = group_links(fps.view(np.uint64), [flat[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([int(fps[x[i]]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def meet(members: DataFrame, *by: str) -> DataFrame:
+        lists = members.join(sets, "cid").groupBy(*by).agg(F.collect_list(F.struct("fp", "shingles")).alias("m"))
+        return lists.select("m").mapInArrow(returning(linked), "a long, b long")
+
+    def part(of: str, salt: int):
+        return F.pmod(F.xxhash64(F.lit(salt), "key", "cid"), F.col(of)).cast("int")
+
+    classes = store.where("keys is not null").dropDuplicates(["cid"]).select("cid", "fp", F.size("shingles").alias("w"), "keys")
+    keyed = materialise(classes.select("cid", "fp", "w", F.explode("keys").alias("key")))
+    weights = keyed.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.sum(1 + F.col("w") / WORDS) / GROUP).cast("int").alias("parts")).where("n > 1")
+    met = materialise(keyed.join(weights, "key"))
+    sets = materialise(store.where("keys is not null").select("cid", "shingles").join(met.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]))
+    first = materialise(meet(met.withColumn("p", part("parts", 0)), "key", "p"))
+    large = met.where("parts > 1")
+    if large.isEmpty():
+        return first
+    found = connected_components(first.unionAll(known)).withColumnRenamed("node", "fp")
+    told = materialise(large.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    roots = told.groupBy("key", "root").agg(F.sum(1 + F.col("w") / WORDS).alias("m"))
+    apart = roots.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.count("*").alias("roots"), F.ceil((F.sum("m") - F.max("m")) / (GROUP // 2)).cast("int").alias("others"))
+    # halves of a group: everyone in one of ``halves`` parts, those apart in one of ``others`` parts as well
+    dealt = materialise(told.join(apart.where("roots > 1"), "key").withColumn("halves", 2 * F.col("parts")))
+    everyone = dealt.select("key", "cid", "fp", part("halves", 1).alias("p"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("q"))
+    others = dealt.where("root <> most").select("key", "cid", "fp", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("p"), part("others", 2).alias("q"))
+    return first.unionAll(meet(everyone.unionAll(others).distinct(), "key", "p", "q"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, column: str = "text", similarity: float | None = None) -> DataFrame:
     """Every row's ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Documents link when their fingerprints differ in ``max_bits`` bits or
-    fewer; component_id is the smallest doc_id reachable, the own included.
-    Equal fingerprints are met once, so copies cost no pair.
+    fewer and, given a ``similarity``, also when their sets of shingles share
+    so large a part of their union; component_id is the smallest doc_id
+    reachable, the own included. Equal fingerprints are met once, so copies
+    cost no pair.
 
     Defined cases: null, empty and blank texts have fingerprint zero, which
     links like any other; a null doc_id never is a component_id unless all of
     its component are null; repeated rows each give a row; an empty table
     gives an empty table; further columns are not looked at.
     """
-    fps = materialise(fingerprints(docs, size, column))
+    fps = materialise(fingerprints(docs, size, column) if similarity is None else sketches(docs, size, column))
     groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(materialise(links(groups, max_bits)))
+    edges = materialise(links(groups, max_bits))
+    if similarity is not None:
+        edges = edges.unionAll(materialise(similar_links(fps, similarity, edges)))
+    found = connected_components(edges)
     named = found.join(groups.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component"))
     joined = found.join(named, "root").select(F.col("node").alias("fp"), "component")
     # a table of its own, so that Spark can split the task of a fingerprint that very many documents have
@@ -208,13 +348,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, co
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 5, max_bits: int = NEAR_BITS) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, similarity: float | None = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id.
 
     Rows that repeat this doc_id are told apart by text, then by position:
     one of them stays. A component of null doc_ids alone keeps one row too.
     """
-    parts = materialise(near_duplicates(docs, size, max_bits).select("component_id", "doc_id", "fingerprint"))
+    parts = materialise(near_duplicates(docs, size, max_bits, similarity=similarity).select("component_id", "doc_id", "fingerprint"))
     once = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gl_id")).distinct()
     kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col("gl_id")), "left_semi")
     repeated = parts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("gl_id"))

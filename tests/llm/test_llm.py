@@ -260,6 +260,39 @@ def test_long_texts_come_in_pieces(monkeypatch):
     assert simhash.fingerprint(text, 5) == want == brute_print(text, 5)
 
 
+@pytest.mark.parametrize("group", [512, 6])
+def test_similar_texts_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choices(vocabulary, k=rng.choice([3, 8, 40, 120, 300])) for _ in range(14)] + [[]]
+    rows = []
+    for i in range(260):
+        w = list(base[0] if rng.random() < 0.3 else rng.choice(base))
+        for _ in range(rng.randint(0, 4 + len(w) // 30) if w else 0):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w).upper() if rng.random() < 0.2 else "  ".join(w), None, None))
+    sets, prints = {}, {}
+    for i, t, *_ in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+        prints[i] = brute_print(t, 5)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), similarity=0.8).collect()}
+    assert got == {i: top(i) for i in sets} and 20 < len(set(got.values())) < 250
+
+
 def test_simhash_awkward(spark):
     d = awkward(spark)
     out = simhash.near_duplicates(d).collect()
