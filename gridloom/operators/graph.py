@@ -150,3 +150,14 @@ def task_edges(m: DataFrame) -> DataFrame:
 def permute_to_diagonal(m: DataFrame, matched: DataFrame) -> DataFrame:
     """Columns moved so that matched cells lie on the diagonal."""
     return m.join(matched.select(F.col("c").alias("j"), F.col("r").alias("to")), "j").select("i", F.col("to").alias("j"), "v")
+
+
+def edge_chains(edges: DataFrame, corners: DataFrame) -> DataFrame:
+    """(e, chain): the least edge that each edge (e, a, b) is linked to over shared nodes, none of them a corner (n).
+
+    Edges at a node link to the least edge there, so a node of many edges costs no pairs.
+    """
+    ends = edges.select("e", F.explode(F.array("a", "b")).alias("n")).join(corners.select("n").distinct(), "n", "left_anti")
+    hubs = ends.groupBy("n").agg(F.min("e").alias("dst"))
+    found = components(ends.join(hubs, "n").select(F.col("e").alias("src"), "dst")).withColumnRenamed("n", "e")
+    return edges.select("e").distinct().join(found, "e", "left").select("e", F.coalesce("root", "e").alias("chain"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import cross, dot, point, six_volume, sub
+from gridloom.operators.reduce import numbered
 
 
 def corners(tets: DataFrame) -> DataFrame:
@@ -127,3 +128,33 @@ def bcc_lattice(nx: int, ny: int, nz: int, spark) -> DataFrame:
             out.append((x + ux < nx if ux else y + uy < ny if uy else z + uz < nz, F.struct(ends[0].alias("n0"), ends[1].alias("n1"), centre(x, y, z).alias("n2"), centre(x + ux, y + uy, z + uz).alias("n3"))))
     tets = F.filter(F.array(*[F.when(ok, t) for ok, t in out]), lambda t: t.isNotNull())
     return cubes.select(F.explode(tets).alias("t")).select(*[F.col(f"t.n{k}").cast("bigint").alias(f"n{k}") for k in range(4)])
+
+
+def without_elements(pairs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Neighbour pairs (a, b, ...) once the elements ``gone`` (e) are deleted: none of their referrals stays."""
+    ids = gone.select(F.col("e").alias("gl_e")).distinct()
+    return pairs.join(ids, F.col("a") == F.col("gl_e"), "left_anti").join(ids, F.col("b") == F.col("gl_e"), "left_anti")
+
+
+def with_neighbours(pairs: DataFrame, more: DataFrame) -> DataFrame:
+    """Pairs (a, b) with ``more`` ones inserted, in either order; a pair that is there already stays as it is."""
+    ordered = more.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select("a", "b").unionByName(ordered.join(pairs, ["a", "b"], "left_anti"))
+
+
+def delete_nodes(store: DataFrame, gone: DataFrame) -> DataFrame:
+    """The node store (n, ...) without ``gone`` (n); other nodes keep their ids."""
+    return store.join(gone.select("n"), "n", "left_anti")
+
+
+def add_nodes(store: DataFrame, freed: DataFrame, more: DataFrame, order: list[str]) -> DataFrame:
+    """The node store (n, x, y, z) with ``more`` (x, y, z and columns of ``order``) added in that order.
+
+    New nodes take the ids of ``freed`` (n, step: when it was deleted), the
+    last deleted first, then ids beyond all that were ever given.
+    """
+    given = store.select("n", F.lit(0).alias("f")).unionAll(freed.select("n", F.lit(1))).agg(F.max("n").alias("top"), F.sum("f").alias("free")).first()
+    beyond = (-1 if given["top"] is None else given["top"]) + 1 - (given["free"] or 0)
+    slots = numbered(freed.select("n", (-F.col("step")).alias("gl_s")), ["gl_s"]).select("gl_n", "n")
+    placed = numbered(more, order).join(slots, "gl_n", "left")
+    return store.select("n", "x", "y", "z").unionByName(placed.select(F.coalesce("n", F.col("gl_n") + beyond).alias("n"), "x", "y", "z"))

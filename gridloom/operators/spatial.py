@@ -124,15 +124,19 @@ def octants(leaves: DataFrame) -> DataFrame:
     return up.groupBy("p").agg(F.sum("k").alias("nodes"), F.max((F.col("p") == F.col("path")).cast("int")).alias("leaf")).select(F.col("p").alias("path"), F.length("p").cast("bigint").alias("level"), "nodes", (F.col("leaf") == 1).alias("leaf"))
 
 
-def locate(probes: DataFrame, tree: DataFrame, low: tuple[float, float, float], side: float, max_level: int) -> DataFrame:
-    """The deepest cell of a tree (path) that holds each probe (p, x, y, z): its path to full depth, joined on every prefix."""
+def _full_path(low: tuple[float, float, float], side: float, max_level: int) -> Column:
     m, half, path = [F.lit(b) for b in low], side / 2, F.lit("")
     for _ in range(max_level):
         up = [F.col(c) > m[k] + half for k, c in enumerate(AXES)]
         path = F.concat(path, sum((u.cast("int") * (1 << k) for k, u in enumerate(up)), F.lit(0)).cast("string"))
         m = [m[k] + F.when(u, F.lit(half)).otherwise(F.lit(0.0)) for k, u in enumerate(up)]
         half /= 2
-    prefixes = probes.select("p", path.alias("gl_full")).select("p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_level)), lambda n: F.substring(F.col("gl_full"), F.lit(1), n))).alias("path"))
+    return path
+
+
+def locate(probes: DataFrame, tree: DataFrame, low: tuple[float, float, float], side: float, max_level: int) -> DataFrame:
+    """The deepest cell of a tree (path) that holds each probe (p, x, y, z): its path to full depth, joined on every prefix."""
+    prefixes = probes.select("p", _full_path(low, side, max_level).alias("gl_full")).select("p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_level)), lambda n: F.substring(F.col("gl_full"), F.lit(1), n))).alias("path"))
     return prefixes.join(tree.select("path"), "path").groupBy("p").agg(F.max_by("path", F.length("path")).alias("path"))
 
 
@@ -284,3 +288,21 @@ def lattice_inside(triangles: DataFrame, low: tuple[float, float, float], step:
     hits = ray_hits(grid.withColumnRenamed("id", "ray"), triangles, cell, low[2] + step * (nz + 1) * 1000)
     inside = inside_by_parity(hits).where("inside").select(F.col("ray").alias("id"))
     return grid.join(inside, "id", "left_semi")
+
+
+def insert_nodes(leaves: DataFrame, nodes: DataFrame, more: DataFrame, cap: int, max_level: int, low: tuple[float, float, float], side: float) -> DataFrame:
+    """Leaves (n, path) of a tree over ``nodes`` once ``more`` nodes are inserted: what a tree built over both would hold.
+
+    A new node goes to the leaf that holds it or, under a branch without such
+    a leaf, to a new one. Only nodes of leaves that now hold more than ``cap``
+    are placed anew.
+    """
+    asked = more.select("n", _full_path(low, side, max_level).alias("gl_full"))
+    probes = asked.select("n", "gl_full", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_level)), lambda k: F.substring(F.col("gl_full"), F.lit(1), k))).alias("path"))
+    met = probes.join(octants(leaves).select("path", "leaf"), "path").groupBy("n").agg(F.max_by(F.struct("path", "leaf"), F.length("path")).alias("c"))
+    depth = F.when(F.col("c").isNull(), 0).when(F.col("c.leaf"), F.length("c.path")).otherwise(F.length("c.path") + 1)
+    placed = asked.join(met, "n", "left").select("n", F.col("gl_full").substr(F.lit(1), depth).alias("path"))
+    grown = stored(leaves.select("n", "path").unionByName(placed))
+    full = grown.groupBy("path").agg(F.count("*").alias("k")).where((F.col("k") > cap) & (F.length("path") < max_level)).select("path")
+    again = nodes.unionByName(more, allowMissingColumns=True).join(grown.join(full, "path", "left_semi").select("n"), "n", "left_semi")
+    return grown.join(full, "path", "left_anti").select("n", "path").unionByName(octree(again, cap, max_level, low, side))

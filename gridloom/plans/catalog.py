@@ -989,3 +989,65 @@ def stiffness_by_kernel(spark, d):
     a, b = mesh.assemble_elastic(fan, 1.0, 1.0), shapes.assemble(own, "tet4", 1.0, 1.0)
     both = a.select("i", "j", "v", F.lit(0.0).alias("w")).unionAll(b.select("i", "j", F.lit(0.0).alias("v"), F.col("v").alias("w"))).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
     return both.agg((F.max(F.abs(F.col("v") - F.col("w"))) <= 1e-6 * F.max(F.abs("v"))).alias("equal"))
+
+
+# ---- upkeep -----------------------------------------------------------------------------------------------------
+
+
+@query("delete_elements", _FW + " SELECT a.e AS a, b.e AS b FROM Fn a JOIN Fn b ON b.e = a.e + 1 WHERE a.e % 5 <> 2 AND b.e % 5 <> 2")
+def delete_elements(spark, d):
+    fan = _fan(spark, d)
+    return mesh.without_elements(mesh.facet_neighbours(fan).select("a", "b"), fan.where("e % 5 = 2"))
+
+
+@query("insert_neighbours", _FW + " SELECT a.e AS a, b.e AS b FROM Fn a JOIN Fn b ON b.e = a.e + 1 OR b.e = a.e + 2")
+def insert_neighbours(spark, d):
+    fan = _fan(spark, d)
+    shared = mesh.shared_nodes(mesh.corners(fan)).where("shared >= 2")
+    return mesh.with_neighbours(mesh.facet_neighbours(fan), shared.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+@query(
+    "node_store",
+    W("P") + ", D AS (SELECT n, row_number() OVER (ORDER BY n DESC) - 1 AS k FROM P WHERE n % 7 = 3), A AS (SELECT -x AS x, y, z, row_number() OVER (ORDER BY n) - 1 AS k FROM P WHERE n % 3 = 0), "
+    "Z AS (SELECT max(n) + 1 AS top, count(*) FILTER (n % 7 = 3) AS free FROM P) SELECT n, x, y, z FROM P WHERE n % 7 <> 3 UNION ALL SELECT coalesce(D.n, top + A.k - free) AS n, A.x, A.y, A.z FROM A LEFT JOIN D USING (k), Z",
+)
+def node_store(spark, d):
+    p = rel.points(spark, d)
+    gone = p.where("n % 7 = 3").select("n", F.col("n").alias("step"))
+    more = p.where("n % 3 = 0").select(F.col("n").alias("at"), (-F.col("x")).alias("x"), "y", "z")
+    return mesh.add_nodes(mesh.delete_nodes(p, gone), gone, more, ["at"])
+
+
+@query("octree_insert", _OCT + " SELECT n, path FROM Lf")
+def octree_insert(spark, d):
+    p = rel.points(spark, d)
+    old, new = p.where("n % 3 <> 1"), p.where("n % 3 = 1")
+    return spatial.insert_nodes(spatial.octree(old, _CAP, _DEPTH, _LOW, _SIDE), old, new, _CAP, _DEPTH, _LOW, _SIDE)
+
+
+@query(
+    "feature_edge_chains",
+    _CP + ", Fe AS (SELECT n AS e, n AS a, near AS b FROM Cp), En AS (SELECT e, a AS n FROM Fe UNION SELECT e, b FROM Fe), Lk AS (SELECT x.e AS a, y.e AS b FROM En x JOIN En y USING (n) WHERE n % 6 <> 0), "
+    "Z AS (SELECT e, e AS r FROM Fe UNION SELECT Lk.b, Z.r FROM Z JOIN Lk ON Lk.a = Z.e) SELECT e, min(r) AS chain FROM Z GROUP BY e",
+)
+def feature_edge_chains(spark, d):
+    p = rel.points(spark, d)
+    pairs = spatial.closest_pairs(spatial.nearest(p, 60.0)).select(F.col("n").alias("e"), F.col("n").alias("a"), F.col("near").alias("b"))
+    return graph.edge_chains(pairs, p.where("n % 6 = 0"))
+
+
+_FREE = ("e % 3 <> 0", "e % 3 = 2")
+_SHARE = [f"CASE e % 3 WHEN 0 THEN 0.25 WHEN 1 THEN {0.07 if k < 1 else 0.31} ELSE {0.1 if k < 2 else 0.4} END" for k in range(4)]
+
+
+@query(
+    "biased_centroid_inside",
+    _RAY.replace("SELECT n AS ray, x + 0.37 AS qx, y + 0.21 AS qy, z AS qz FROM P", "SELECT e AS ray, " + ", ".join(" + ".join(f"{c}{k} * {w}" for k, w in enumerate(_SHARE)) + f" AS q{c}" for c in "xyz") + " FROM T")
+    + " SELECT ray, count(*) % 2 = 1 AS inside FROM Hz WHERE hz > qz GROUP BY ray",
+)
+def biased_centroid_inside(spark, d):
+    t = rel.tetra_points(spark, d)
+    free = (F.expr(_FREE[0]), F.expr(_FREE[1]), F.lit(False), F.lit(False))
+    rays = t.select(F.col("e").alias("ray"), *[v.alias(c) for c, v in zip("xyz", geo.biased_centroid(_ps(), free), strict=True)])
+    return spatial.inside_by_parity(spatial.ray_hits(rays, t.withColumnRenamed("e", "f").drop("x3", "y3", "z3"), 150.0, 5000.0))
