@@ -158,3 +158,19 @@ def add_nodes(store: DataFrame, freed: DataFrame, more: DataFrame, order: list[s
     slots = numbered(freed.select("n", (-F.col("step")).alias("gl_s")), ["gl_s"]).select("gl_n", "n")
     placed = numbered(more, order).join(slots, "gl_n", "left")
     return store.select("n", "x", "y", "z").unionByName(placed.select(F.coalesce("n", F.col("gl_n") + beyond).alias("n"), "x", "y", "z"))
+
+
+def traction(tets: DataFrame, loads: DataFrame) -> DataFrame:
+    """The load vector (i, v), three unknowns a node, of loads (e, k, tx, ty, tz) by area on the facets opposite to corners k.
+
+    A linear facet's corners take a third of its load each; loads on one facet add up.
+    """
+    met = tets.join(loads, "e")
+    out = []
+    for k in range(4):
+        own = [c for c in range(4) if c != k]
+        a, b, c = (point(q) for q in own)
+        n = cross(sub(b, a), sub(c, a))
+        third = F.sqrt(dot(n, n)) / 6
+        out.append(F.when(F.col("k") == k, F.array(*[F.struct((F.col(f"n{q}") * 3 + x).alias("i"), (F.col(f"t{axis}") * third).alias("v")) for q in own for x, axis in enumerate("xyz")])))
+    return met.select(F.explode(F.coalesce(*out)).alias("c")).groupBy("c.i").agg(F.sum("c.v").alias("v"))

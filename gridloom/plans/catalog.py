@@ -1051,3 +1051,20 @@ def biased_centroid_inside(spark, d):
     free = (F.expr(_FREE[0]), F.expr(_FREE[1]), F.lit(False), F.lit(False))
     rays = t.select(F.col("e").alias("ray"), *[v.alias(c) for c, v in zip("xyz", geo.biased_centroid(_ps(), free), strict=True)])
     return spatial.inside_by_parity(spatial.ray_hits(rays, t.withColumnRenamed("e", "f").drop("x3", "y3", "z3"), 150.0, 5000.0))
+
+
+def _third(k: int) -> str:
+    a, b, c = (q for q in range(4) if q != k)
+    u, w = ([f"({x}{q} - {x}{a})" for x in "xyz"] for q in (b, c))
+    return "sqrt(" + " + ".join(f"pow({u[p]} * {w[q]} - {u[q]} * {w[p]}, 2)" for p, q in ((1, 2), (2, 0), (0, 1))) + ") / 6"
+
+
+@query(
+    "boundary_traction",
+    _FW + ", R AS (" + " UNION ALL ".join(f"SELECT 3 * n{q} + {x} AS i, {t} * {_third(k)} AS v FROM Fn WHERE e % 4 = {k}" for k in range(4) for q in range(4) if q != k for x, t in enumerate(("1", "-2", "(e % 3)")))
+    + ") SELECT i, round(sum(v), 2) + 0.0 AS v FROM R GROUP BY i",
+)
+def boundary_traction(spark, d):
+    fan = _fan(spark, d)
+    loads = fan.select("e", F.expr("e % 4").alias("k"), F.lit(1.0).alias("tx"), F.lit(-2.0).alias("ty"), F.expr("cast(e % 3 as double)").alias("tz"))
+    return mesh.traction(fan, loads).select("i", (F.round("v", 2) + 0.0).alias("v"))
