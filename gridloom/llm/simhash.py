@@ -23,8 +23,8 @@ BUCKET, WIDE_BUCKET = 256, 4096
 SIMILARITY = 0.8
 #: Keys of a shingle set, and minima that make a key: sets at a similarity of 0.8 share no key once in 5,000 times.
 KEYS, KEY_MINIMA = 12, 3
-#: Sets that share a key and whose fingerprints differ by more are not compared: at 0.8 about 10 differ, with a deviation of 3.
-FAR_BITS = 26
+#: Slices of the hash range in which two sets' members are counted, to bound what they share.
+SLICES = 256
 #: Sets of a group that meet in one task; WORDS shingles count as one set more. Larger groups go in parts.
 GROUP, WORDS = 512, 8192
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -253,20 +253,28 @@ def sketches(docs: DataFrame, size: int, column: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("t")).mapInArrow(returning(run), kind)
 
 
+def slice_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members of each sorted set of 32-bit hashes fall into each slice of their range."""
+    cuts = (np.arange(1, SLICES) * (1 << 32) // SLICES - (1 << 31)).astype(np.int32)
+    return np.stack([np.diff(np.searchsorted(s, cuts), prepend=0, append=len(s)) for s in sets]).astype(np.int32)
+
+
 def group_links(fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that hold a group's fingerprints together as all pairs of sets at ``similarity`` or more would.
 
-    Pairs whose distances to some pivot differ by more than FAR_BITS are
-    discarded, then those of such fingerprints; the sets of the others are
-    compared. Equal fingerprints hold together without a link.
+    Two sets share no more members of a slice than either has there. Pairs
+    that sizes, or these bounds summed over the slices, keep below
+    ``similarity`` are discarded; the sets of the others are compared.
+    Fingerprints tell nothing here, as they count repeats; equal ones hold
+    together without a link.
     """
-    table, sizes, links = distances(fps, _pivots(PIVOTS, 1)), np.array([len(s) for s in sets]), []
+    table, sizes, links = slice_counts(sets), np.array([len(s) for s in sets]), []
     root = np.unique(fps, return_inverse=True)[1]
     for i in range(len(fps) - 1):
         j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        j = j[np.abs(table[j] - table[i]).max(axis=1, initial=0) <= FAR_BITS]
-        j = j[np.bitwise_count(fps[j] ^ fps[i]) <= FAR_BITS]
         j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-9]
+        most = np.minimum(table[j], table[i]).sum(axis=1)
+        j = j[most >= similarity * (sizes[j] + sizes[i] - most) - 1e-9]
         for k in j.tolist():
             if root[k] != root[i]:
                 both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))

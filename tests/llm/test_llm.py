@@ -293,6 +293,34 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, group):
     assert got == {i: top(i) for i in sets} and 20 < len(set(got.values())) < 250
 
 
+def test_copies_with_repeated_lines_are_linked(spark):
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, apart = [], 0
+    for n in range(12):
+        own, line = rng.choices(vocabulary, k=300), rng.choices(vocabulary, k=6)
+        a, b = " ".join(own), " ".join(own + line * 60)
+        rows += [(2 * n, a, None, None), (2 * n + 1, b, None, None)]
+        apart += (brute_print(a, 5) ^ brute_print(b, 5)).bit_count() > 26
+    assert apart > 0
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), similarity=0.8).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+
+
+def test_slices_discard_no_similar_pair():
+    rng = np.random.default_rng(23)
+    for n in (1, 2, 9, 300, 5000):
+        base = np.unique(rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32))
+        sets = [base, *(np.unique(np.concatenate([rng.permutation(base)[: max(1, round(len(base) * k))], rng.integers(-(1 << 31), 1 << 31, round(n * (1 - k))).astype(np.int32)])) for k in (0.5, 0.85, 0.88, 0.9, 0.92, 1.0))]
+        table = simhash.slice_counts(sets)
+        assert (table.sum(axis=1) == [len(s) for s in sets]).all()
+        for i, a in enumerate(sets):
+            for k, b in enumerate(sets):
+                assert len(np.intersect1d(a, b)) <= np.minimum(table[i], table[k]).sum()
+                pair = simhash.group_links(np.array([1, 2], np.uint64), [a, b], 0.8)
+                assert bool(pair) == (len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)))
+
+
 def test_simhash_awkward(spark):
     d = awkward(spark)
     out = simhash.near_duplicates(d).collect()
