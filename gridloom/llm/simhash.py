@@ -228,7 +228,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def sketches(docs: DataFrame, size: int, column: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` and ``cid`` (one for texts of equal fingerprint and keys) of every row; ``keys`` and ``shingles`` where a task meets a cid first."""
+    """``doc_id``, ``fp`` and ``cid`` (one for texts of equal fingerprint, keys and set) of every row; ``keys`` and ``shingles`` where a task meets a cid first."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def sketches(docs: DataFrame, size: int, column: str = "text") -> DataFrame:
             fps, cids, keys, sets = [], [], [], []
             for t in b.column(1):
                 fp, key, found = sketch(t.as_py(), size)
-                cid = xxhash.xxh64_intdigest(key.tobytes(), fp & 0xFFFFFFFF) - (1 << 63)
+                cid = xxhash.xxh64_intdigest(key.tobytes() + found.tobytes(), fp) - (1 << 63)
                 new = cid not in seen and len(key) > 0
                 seen.add(cid)
                 fps.append(fp)

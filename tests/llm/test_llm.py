@@ -307,6 +307,27 @@ def test_copies_with_repeated_lines_are_linked(spark):
     assert got == {i: i - i % 2 for i in range(24)}
 
 
+def test_texts_of_equal_keys_are_told_apart(spark):
+    rng = random.Random(24)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    upper, sets = None, None
+    while upper is None or sets is None:
+        own = rng.choices(vocabulary, k=300)
+        fp, keys, found = simhash.sketch(" ".join(own), 5)
+        for _ in range(40):
+            w = [*own[:-1], rng.choice(vocabulary)] if rng.random() < 0.5 else [*own, *rng.choices(vocabulary, k=rng.randint(1, 6))]
+            fp2, keys2, found2 = simhash.sketch(" ".join(w), 5)
+            if (keys == keys2).all() and not np.array_equal(found, found2):
+                if fp == fp2:
+                    sets = " ".join(own), " ".join(w)
+                elif (fp ^ fp2) & 0xFFFFFFFF == 0 and (fp ^ fp2).bit_count() > 2:
+                    upper = " ".join(own), " ".join(w)
+    rows = [(i, t, None, None) for i, t in enumerate([*upper, *sets])]
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), similarity=0.8).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    store = simhash.sketches(docs(spark, rows).coalesce(1), 5).collect()
+    assert len({r["cid"] for r in store}) == 4 and all(r["shingles"] for r in store)
+
+
 def test_slices_discard_no_similar_pair():
     rng = np.random.default_rng(23)
     for n in (1, 2, 9, 300, 5000):
