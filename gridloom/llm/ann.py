@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ RECALL = 0.95
 WINDOWS = (0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.1, 0.125, 0.15, 0.2, 0.3, 0.5, 1.0)
 #: Rows of a block.
 BLOCK = 512
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -113,8 +115,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     the curves follow, up to all rows where they have none.
 
     Defined cases: vectors that are null, zero, or hold a null or non-finite
-    component take no part, nor do rows whose vec_id is null or whose length
-    is not the commonest of the sample; ties go to the smaller vec_id;
+    component take no part, nor do rows whose vec_id is null; each length of
+    vector is a table of its own, with its own index, as lengths cannot be
+    held against each other; ties go to the smaller vec_id;
     rows of the query's vec_id are its own and no candidates; rows that
     repeat a vec_id count once, at the nearest; fewer candidates than ``k``
     give fewer rows; an empty table gives an empty table; further columns are
@@ -125,14 +128,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = valid(vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("query")), zero=False, keep=("query",))
+    # a row for each length that has a query
+    lengths = sorted(r["d"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.max("query").alias("asked")).where("asked").collect())
+    found = [_of_length(rows.where(F.size("v") == d), d, k, recall) for d in lengths]
+    return functools.reduce(DataFrame.unionAll, found, spark.createDataFrame([], RESULT)) if len(found) != 1 else found[0]
+
+
+def _of_length(rows: DataFrame, d: int, k: int, recall: float) -> DataFrame:
+    """As :func:`nearest`, for the valid rows (vec_id, v, query) whose vectors are of length ``d``."""
+    spark = rows.sparkSession
     kind = component_type(rows)
     sample = sample_of(rows.select("vec_id", "v"), F.col("vec_id"), SAMPLE_ROWS, 31).limit(4 * SAMPLE_ROWS).collect()
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = [len(r["v"]) for r in sample]
-    d = max(sorted(set(sizes)), key=sizes.count)
+    # rows of few vec_ids can all be missed; a sample of one row has the window at all rows
+    sample = sample or rows.select("vec_id", "v").limit(1).collect()
     sample.sort(key=lambda r: (r["vec_id"], list(r["v"])))
-    index = fit(np.array([r["v"] for r in sample if len(r["v"]) == d]), k, recall)
+    index = fit(np.array([r["v"] for r in sample]), k, recall)
     held = spark.sparkContext.broadcast(index)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +158,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(held.value.keys(x, c)), b.column(0), salt, b.column(2), raw], names=["curve", "key", "vec_id", "salt", "query", "raw"])
 
     ordered = ["curve", "key", "vec_id", "salt"]
-    keys = rows.where(F.size("v") == d).mapInArrow(returning(keyed), "curve int, key long, vec_id long, salt long, query boolean, raw binary")
+    keys = rows.mapInArrow(returning(keyed), "curve int, key long, vec_id long, salt long, query boolean, raw binary")
     parts = max(CURVES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_keys = keys.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered).select("curve", "vec_id", "query", "raw", F.spark_partition_id().alias("part"))
 
@@ -180,8 +190,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     for c, p, n in counts:
         before.append((c, p, total.get(c, 0)))
         total[c] = total.get(c, 0) + n
-    if not counts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     offset = F.broadcast(spark.createDataFrame(before, "curve int, part int, before int"))
     placed = blocks.join(offset, ["curve", "part"]).withColumn("at", F.col("before") + F.col("seq"))
     most = max(total.values())

@@ -466,6 +466,18 @@ def test_nearest_recall_and_scores(spark):
     assert hits / n >= 0.9
 
 
+def test_nearest_of_each_length(spark):
+    rng = np.random.default_rng(25)
+    x = {i: rng.normal(size=3 if i % 3 else 5).astype(np.float32) for i in range(27)} | {200: np.ones(2, np.float32)}
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist(), None) for i, v in x.items()], VEC), F.col("vec_id") % 2 == 0, k=4).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 6)))
+    for q in range(0, 27, 2):
+        far = {i: float(np.sqrt(((v.astype(float) - x[q]) ** 2).sum())) for i, v in x.items() if len(v) == len(x[q]) and i != q}
+        assert sorted(got[q]) == [(n + 1, i, round(far[i], 6)) for n, i in enumerate(sorted(far, key=lambda i: (far[i], i))[:4])]
+    assert set(got) == set(range(0, 27, 2))
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     walk = cells[np.argsort(ann.hilbert_key(cells, 3))]
