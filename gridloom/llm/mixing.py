@@ -5,16 +5,17 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import materialise
+from gridloom.operators.reduce import numbered
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Membership patterns that the flow on the driver takes at most.
+#: Membership patterns that the driver takes at most; more go the distributed way, which needs sources that do not overlap.
 MAX_PATTERNS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the seeded hash that one narrowing pass looks at, and passes.
@@ -99,8 +100,35 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequ
     return [[room[e ^ 1] for e in own] for own in lanes]
 
 
-def _ranked(df: DataFrame) -> DataFrame:
-    """Bits left of what is to be found in each pattern, narrowed to the cell that holds the boundary."""
+def _direct(patterns: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
+    """The plan of ``patterns`` (pattern, size) of one source each, without a row on the driver: every pattern fills its own source's quota.
+
+    The targets are those of :func:`targets`. Whoever the share at hand would
+    take above its limit is stopped, all at once, until none is: the same
+    sources as one by one in order, as a share only grows.
+    """
+    one = patterns.select("pattern", "size", F.element_at("pattern", 1).alias("s")).withColumn("last", F.col("s").isNull())
+    place = F.pmod(F.col("gl_n"), F.lit(len(weights))).cast("int")
+    own = numbered(one, ["last", "s"]).select("pattern", "size", (F.lit(max_repeats) * F.col("size")).alias("cap"), F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long").alias("w"))
+    own = materialise(own)
+    whole = own.agg(F.sum("size").alias("size"), F.sum("w").alias("w")).first()
+    total, used, left, stopped = whole["size"], 0, whole["w"], 0
+    while True:
+        over = F.expr(f"cast(cap as decimal(19,0)) * cast({left} as decimal(19,0)) < cast(w as decimal(19,0)) * cast({total - used} as decimal(19,0))")
+        now = own.where(over).agg(F.count("*").alias("n"), F.sum("cap").alias("cap"), F.sum("w").alias("w")).first()
+        if now["n"] == stopped:
+            break
+        used, left, stopped = now["cap"], whole["w"] - now["w"], now["n"]
+    share = F.when(over, F.col("cap").cast("double")).otherwise((F.col("w") * F.lit(total - used)).cast("double") / F.lit(float(left)))
+    words = F.least(F.floor(F.col("target") + 0.5), F.col("cap"))
+    return materialise(
+        own.withColumn("target", share).withColumn("q", words)
+        .selectExpr("pattern", "size as source_size", "target", "if(size > 0, q div size, 0L) as passes", "if(size > 0, q % size, 0L) as rest")
+    )
+
+
+def _ranked(df: DataFrame, few: bool) -> DataFrame:
+    """Bits left of what is to be found in each pattern, narrowed to the cell that holds the boundary. ``few``: patterns fit in a broadcast."""
     for k in range(_PASSES):
         shift = _BITS - _STEP * (k + 1)
         cell = F.shiftright("h", shift)
@@ -109,10 +137,26 @@ def _ranked(df: DataFrame) -> DataFrame:
         runs = by.withColumn("to", F.expr("sum(size) over (partition by pattern order by cell)"))
         edge = runs.where("to > rest and to - size <= rest").select("pattern", "cell", (F.col("rest") - F.col("to") + F.col("size")).alias("rest"))
         edge = materialise(edge.groupBy("pattern").agg(F.min(F.struct("cell", "rest")).alias("e")).select("pattern", "e.*"))
-        df = df.drop("rest").join(F.broadcast(edge), "pattern").where(cell == F.col("cell")).drop("cell")
+        df = df.drop("rest").join(F.broadcast(edge) if few else edge, "pattern").where(cell == F.col("cell")).drop("cell")
     return df
 
 
+def _planned(spark: SparkSession, found: Sequence[Row], many: bool, weights: Sequence[int], max_repeats: int) -> DataFrame:
+    """The plan of at most MAX_PATTERNS patterns, by the flow."""
+    names = sorted({s for r in found for s in r["pattern"]}, key=lambda s: (s is None, s or ""))
+    at = {s: i for i, s in enumerate(names)}
+    sizes = [0] * len(names)
+    for r in found:
+        for s in r["pattern"]:
+            sizes[at[s]] += r["size"]
+    # words of overlapping documents count for each of their sources; what is shared out is each word once
+    w = [weights[i % len(weights)] for i in range(len(names))]
+    goal = targets(sizes, w, max_repeats) if not many else _overlapping(sizes, w, sum(r["size"] for r in found), max_repeats)
+    flow = route([r["size"] for r in found], [[at[s] for s in r["pattern"]] for r in found], [int(g + 0.5) for g in goal], max_repeats)
+    plan = [(r["pattern"], sum(sizes[at[s]] for s in r["pattern"]), float(sum(goal[at[s]] for s in r["pattern"])), *(divmod(min(sum(f), max_repeats * r["size"]), r["size"]) if r["size"] else (0, 0))) for r, f in zip(found, flow, strict=True)]
+    return spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, passes long, rest long")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -129,7 +173,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
     (or an empty array) is a source of its own; rows of one doc_id in a
     source are taken or left together; a null doc_id hashes as its own
     value; an empty table gives an empty table; other columns are not looked
-    at. More than MAX_PATTERNS patterns raise an error.
+    at. More than MAX_PATTERNS patterns go without the driver where none has
+    several sources, and raise an error where some have.
 
     Returns doc_id, size, source_size, target, taken; for overlapping sources
     source_size and target are sums over the pattern.
@@ -139,33 +184,27 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats:
     own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None).cast("string"))) if many else own
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 15)
     base = materialise(docs.select("doc_id", own.alias("pattern"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.conv(digits, 16, 10).cast("long").alias("h")))
-    found = base.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    names = sorted({s for r in found for s in r["pattern"]}, key=lambda s: (s is None, s or ""))
-    at = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in found:
-        for s in r["pattern"]:
-            sizes[at[s]] += r["size"]
-    # words of overlapping documents count for each of their sources; what is shared out is each word once
-    w = [weights[i % len(weights)] for i in range(len(names))]
-    goal = targets(sizes, w, max_repeats) if not many else _overlapping(sizes, w, sum(r["size"] for r in found), max_repeats)
-    flow = route([r["size"] for r in found], [[at[s] for s in r["pattern"]] for r in found], [int(g + 0.5) for g in goal], max_repeats)
-    plan = [(r["pattern"], sum(sizes[at[s]] for s in r["pattern"]), float(sum(goal[at[s]] for s in r["pattern"])), *(divmod(min(sum(f), max_repeats * r["size"]), r["size"]) if r["size"] else (0, 0))) for r, f in zip(found, flow, strict=True)]
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, passes long, rest long"))  # MAX_PATTERNS rows at most
+    patterns = base.groupBy("pattern").agg(F.sum("size").alias("size"))
+    found = patterns.limit(MAX_PATTERNS + 1).collect()
+    few = len(found) <= MAX_PATTERNS
+    if few:
+        table = F.broadcast(_planned(docs.sparkSession, found, many, weights, max_repeats))
+    elif many and not patterns.where(F.size("pattern") > 1).isEmpty():
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns, some of several sources")
+    else:
+        table = _direct(patterns, weights, max_repeats)
     same = base.join(table, base["pattern"].eqNullSafe(table["pattern"])).select(base["pattern"].alias("pattern"), "h", "size", "rest").where("rest > 0 and size > 0")
     text = F.to_json(F.col("pattern"))
-    last = _ranked(same.select(text.alias("pattern"), "h", "size", "rest")).groupBy("pattern", "rest", "h").agg(F.sum("size").alias("size"))
+    last = _ranked(same.select(text.alias("pattern"), "h", "size", "rest"), few).groupBy("pattern", "rest", "h").agg(F.sum("size").alias("size"))
     # the document at the boundary is taken if that ends nearer
     last = last.withColumn("to", F.expr("sum(size) over (partition by pattern order by h)")).where("to - size <= rest and to > rest")
     ends = materialise(last.groupBy("pattern").agg(F.min(F.struct("h", (F.col("to") - F.col("rest") < F.col("rest") - F.col("to") + F.col("size")).alias("over"))).alias("e")).select("pattern", F.col("e.h").alias("end"), "e.over"))
-    ends = spark.createDataFrame(ends.collect(), ends.schema)  # a row for each pattern
+    ends = ends.withColumnRenamed("pattern", "p")
+    ends = F.broadcast(docs.sparkSession.createDataFrame(ends.collect(), ends.schema)) if few else ends  # a row for each pattern
     full = F.col("passes") + F.when((F.col("rest") > 0) & ((F.col("h") < F.col("end")) | (F.col("over") & (F.col("h") == F.col("end")))), 1).otherwise(0)
     return (
         base.join(table, base["pattern"].eqNullSafe(table["pattern"])).select("doc_id", "size", "source_size", "target", "passes", "rest", "h", F.to_json(base["pattern"]).alias("p"))
-        .join(F.broadcast(ends.withColumnRenamed("pattern", "p")), "p", "left")
+        .join(ends, "p", "left")
         .select("doc_id", "size", "source_size", "target", (F.col("size") * full).alias("taken"))
     )
 

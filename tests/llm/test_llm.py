@@ -136,6 +136,19 @@ def test_mixing_overlap_and_awkward(spark):
     assert mixing.mixed(d).columns == d.columns
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    rng = random.Random(26)
+    rows = [(i, " ".join(["w"] * (rng.randint(0, 40) if n else 0)), None, f"s{n}" if n < 60 else [None, "", "big"][n - 60]) for i, n in enumerate([*range(63), *(min(62, int(rng.expovariate(0.03))) for _ in range(900))])]
+    want = sorted(map(tuple, mixing.mix_sources(docs(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    assert sorted(map(tuple, mixing.mix_sources(docs(spark, rows)).collect())) == want
+    assert len({r[3] / r[2] for r in want if r[2]} - {3.0}) > 1 and any(r[3] == 3 * r[2] > 0 for r in want)
+    alone = docs(spark, rows).withColumn("source", F.array("source"))
+    assert [r[:3] + r[4:] for r in sorted(map(tuple, mixing.mix_sources(alone).collect()))] == [r[:3] + r[4:] for r in want]
+    with pytest.raises(ValueError):
+        mixing.mix_sources(alone.withColumn("source", F.when(F.col("doc_id") < 9, F.array(F.lit("a"), F.lit("b"))).otherwise(F.col("source"))))
+
+
 # ---- quality, toxicity ----------------------------------------------------------------------------------------------
 
 
