@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bounded_batches, returning
 
-#: Words whose pieces, and pairs of pieces whose verdict, a worker keeps at most; then it starts anew.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 200_000
-#: Texts that are cut into words at once.
-TEXTS = 512
+#: Words whose pieces, and pairs of pieces whose verdict, a generation of a worker's memory holds at most; it keeps two.
+CACHE_WORDS, CACHE_PAIRS = 300_000, 600_000
+#: Bytes of texts (one at least) whose words are cut, and share a trie, at once.
+TEXTS = 8 << 20
 MARK = "▁"
+#: Within this module marks are spaces: most words are then ASCII strings.
+SPACE = " "
 #: Field numbers of the public model format.
 _TRAINER, _NORMALIZER, _PIECE = 2, 3, 1
 _UNIGRAM, _BPE = 1, 2
+#: Characters of a word that are compared at once.
+_HEAD = 24
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -78,31 +84,60 @@ class Encoder:
         if self.kind not in (_UNIGRAM, _BPE):
             raise ValueError("only unigram and BPE models are taken")
         ids = range(p.get_piece_size())
-        self.ids = {p.id_to_piece(i): i for i in ids if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))}
+        own = {p.id_to_piece(i): i for i in ids if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))}
+        if any(SPACE in t for t in own):
+            raise ValueError("a piece holds a space")
+        self.ids = {t.replace(MARK, SPACE): i for t, i in own.items()}
         self.score = {t: p.get_score(i) for t, i in self.ids.items()}
-        self.text = [p.id_to_piece(i) for i in ids]
-        self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in ids if p.is_byte(i)}
+        text = [p.id_to_piece(i) for i in ids]
+        self.bytes = {int(text[i][3:5], 16): i for i in ids if p.is_byte(i)}
         self.unknown = p.unk_id()
         inner = [t for t in self.ids if len(t) > 1]
-        if any(re.search(f"[^{MARK}]{MARK}", t) for t in inner):
+        if any(re.search(f"[^{SPACE}]{SPACE}", t) for t in inner):
             raise ValueError("a piece goes over the start of a word")
         # a character in no longer piece stands alone: text may be parted at both of its sides
-        alive = "".join(re.escape(c) for c in sorted(set("".join(inner)) - {MARK}))
-        self.words = re.compile(f"{MARK}*[{alive}]+|{MARK}+|[^{alive}{MARK}]" if alive else f"{MARK}+|[^{MARK}]", re.S)
-        # lengths of the longer pieces by their last two characters, longest first
-        ends: dict[str, set[int]] = {}
-        for t in inner:
-            ends.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        alive = "".join(re.escape(c) for c in sorted(set("".join(inner)) - {SPACE}))
+        self.words = re.compile(f"{SPACE}*[{alive}]+|{SPACE}+|[^{alive}{SPACE}]" if alive else f"{SPACE}+|[^{SPACE}]", re.S)
         value = {i: b for b, i in self.bytes.items()}
-        self.raw = [bytes([value[i]]) if i in value else t.replace(MARK, " ").encode("utf-8") for i, t in enumerate(self.text)]
+        self.raw = [bytes([value[i]]) if i in value else t.replace(MARK, SPACE).encode("utf-8") for i, t in enumerate(text)]
         self.least = min(self.score.values(), default=0.0) - 10.0
         self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.build()
+
+    def build(self) -> None:
+        """The automaton of the pieces: after each prefix of a word, which longer pieces end there, the longest first."""
+        inner = [t for t in self.ids if len(t) > 1]
+        nodes = sorted({t[:k] for t in inner for k in range(len(t) + 1)} | {""}, key=len)
+        at = {t: i for i, t in enumerate(nodes)}
+        self.step: list[dict[str, int]] = [{} for _ in nodes]
+        for t in nodes[1:]:
+            self.step[at[t[:-1]]][t[-1]] = at[t]
+        # where a node's text goes on without its first characters, as far as some piece begins so
+        self.fall = [0] * len(nodes)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(nodes)
+        for i, t in enumerate(nodes):
+            if i:
+                self.fall[i] = self.follow(self.fall[at[t[:-1]]], t[-1]) if len(t) > 1 else 0
+                self.ends[i] = (((self.ids[t], len(t)),) if len(t) > 1 and t in self.ids else ()) + self.ends[self.fall[i]]
+
+    def follow(self, node: int, c: str) -> int:
+        """The automaton's next node; remembered for the characters of pieces."""
+        seen = []
+        while (to := self.step[node].get(c)) is None and node:
+            seen.append(node)
+            node = self.fall[node]
+        if to is None:
+            return 0
+        for n in seen:
+            self.step[n][c] = to
+        return to
 
     def marked(self, text: str) -> str:
-        text = text.replace(" ", MARK)
-        return MARK + text if self.dummy and text else text
+        text = text.replace(MARK, SPACE)
+        return SPACE + text if self.dummy and text else text
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by BPE: the best-scoring merge of neighbours first, the leftmost of equals."""
@@ -120,66 +155,59 @@ class Encoder:
 
     def beside(self, key: int, a: str, b: str) -> bool:
         """Whether two pieces, or one after nothing, are the encoding of their text; remembered under ``key``."""
+        known = self.old_pairs.get(key)
+        if known is None:
+            known = self.merged(a + b) == ([a, b] if a else [b])
         if len(self.pairs) >= CACHE_PAIRS:
+            self.old_pairs = dict(self.pairs)
             self.pairs.clear()
-        known = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
+        self.pairs[key] = known
         return known
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct marked words (as 32-bit numbers), by a depth-first walk of their trie.
 
         Sorted words are the trie in depth-first order: what a word begins
-        with as the one before it keeps its forward states.
+        with as the one before it keeps its forward states: the last piece
+        and where it begins, the score, the ids so far, and the place in the
+        automaton of the pieces.
         """
+        order = sorted(words)
         out: dict[str, bytes] = {}
-        last = ""
-        # at each position: score, where the last piece begins, and its number (a character without a piece: its code beyond all ids)
-        back: list[tuple[float, int, int]] = [(0.0, 0, 1 << 24)]
-        ids, scores, lengths, bpe, beside, pairs, beyond = self.ids, self.score, self.lengths, self.kind == _BPE, self.beside, self.pairs, 1 << 22
-        for word in sorted(words):
-            same = 0
-            for x, y in zip(last, word, strict=False):
-                if x != y:
-                    break
-                same += 1
-            del back[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                found = None
-                for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-                    start = end - n
-                    if start < 0:
-                        continue
-                    piece = word[start:end]
-                    number = ids.get(piece)
-                    if number is None:
-                        continue
-                    state = back[start]
-                    if bpe:
-                        key = state[2] << 25 | number
+        beyond, bpe = 1 << 22, self.kind == _BPE
+        room = max(map(len, order), default=0) + 1
+        # a character without a piece has its code beyond all ids for a number
+        number, start, total, node, done = [1 << 24] * room, [0] * room, [0.0] * room, [0] * room, [b""] * room
+        ids, step, ends, pairs, follow, beside = self.ids, self.step, self.ends, self.pairs, self.follow, self.beside
+        packed = {i: array("i", [i]).tobytes() for i in ids.values()}
+        scores = {i: self.score[t] for t, i in ids.items()}
+        for word, same in zip(order, shared_prefixes(order), strict=True):
+            state, end = node[same], same
+            for c in word[same:]:
+                begin, end = end, end + 1
+                state = step[state].get(c) or follow(state, c)
+                node[end] = state
+                if bpe:
+                    for piece, n in ends[state]:  # the longest first
+                        a = end - n
+                        key = number[a] << 25 | piece
                         known = pairs.get(key)
-                        if known if known is not None else beside(key, word[state[1] : start], piece):
-                            found = (0.0, start, number)
+                        if known if known is not None else beside(key, word[start[a] : a], word[a:end]):
+                            number[end], start[end], done[end] = piece, a, done[a] + packed[piece]
                             break  # no other piece fits
                     else:
-                        s = state[0] + scores[piece]
-                        if found is None or s > found[0]:
-                            found = (s, start, number)
-                if found is None or not bpe:
-                    c = word[end - 1]
-                    s = back[end - 1][0] + scores.get(c, self.least)
-                    if found is None or s > found[0]:
-                        found = (s, end - 1, ids.get(c, beyond + ord(c)))
-                back.append(found)
-            cut, end = [], len(word)
-            while end:
-                state = back[end]
-                if state[2] < beyond:
-                    cut.append(state[2])
-                else:
-                    cut += reversed(self.of(word[state[1] : end]))
-                end = state[1]
-            out[word] = array("i", reversed(cut)).tobytes()
-            last = word
+                        piece = ids.get(c)
+                        number[end], start[end] = beyond + ord(c) if piece is None else piece, begin
+                        done[end] = done[begin] + (array("i", self.of(c)).tobytes() if piece is None else packed[piece])
+                    continue
+                piece, a = ids.get(c), begin
+                best = total[begin] + scores.get(piece, self.least)
+                for longer, n in ends[state]:
+                    s = total[end - n] + scores[longer]
+                    if s > best or (s == best and a == begin):  # the longest of equals
+                        best, piece, a = s, longer, end - n
+                total[end], done[end] = best, done[a] + (array("i", self.of(c)).tobytes() if piece is None else packed[piece])
+            out[word] = done[end]
         return out
 
     def of(self, piece: str) -> list[int]:
@@ -193,11 +221,17 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of whole texts; None for None."""
         split = [None if t is None else self.words.findall(self.marked(t)) for t in texts]
-        fresh = {w for ws in split if ws for w in ws if w not in self.cache}
+        need: set[str] = set()
+        for ws in split:
+            if ws:
+                need.update(ws)
+        fresh = need.difference(self.cache)
         if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = {w for ws in split if ws for w in ws}
-        self.cache |= self.encode_words(fresh)
+            self.old, self.cache = self.cache, {}
+            fresh = need
+        known = fresh & self.old.keys()
+        self.cache |= {w: self.old[w] for w in known}
+        self.cache |= self.encode_words(fresh - known)
         cache = self.cache
         return [None if ws is None else np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.int32) for ws in split]
 
@@ -207,6 +241,21 @@ class Encoder:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+def shared_prefixes(order: list[str]) -> list[int]:
+    """How many characters each of the sorted words begins with as the one before it."""
+    out: list[int] = []
+    for k in range(0, len(order), 1 << 16):
+        some = order[max(0, k - 1) : k + (1 << 16)]
+        cut = np.array([w[:_HEAD] for w in some], f"U{_HEAD}").view(np.uint32).reshape(len(some), _HEAD)
+        differs = cut[1:] != cut[:-1]
+        same = np.where(differs.any(axis=1), differs.argmax(axis=1), _HEAD).tolist()
+        for i, n in enumerate(same):
+            if n == _HEAD or n > min(len(some[i]), len(some[i + 1])):  # longer words, and those that end in zero characters
+                same[i] = len(os.path.commonprefix((some[i], some[i + 1])))
+        out += same if k else [0, *same]
+    return out[: len(order)]
+
+
 _OPEN: dict[bytes, Encoder] = {}
 
 
@@ -219,6 +268,15 @@ def encoder_for(model: bytes) -> Encoder:
     return _OPEN[key]
 
 
+def by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about TEXTS bytes of the last column's text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // TEXTS)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _run(docs: DataFrame, model_path: str, keep: list[str], digest: bool) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -228,8 +286,7 @@ def _run(docs: DataFrame, model_path: str, keep: list[str], digest: bool) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_for(held.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, TEXTS):
-                b = whole.slice(k, TEXTS)
+            for b in by_bytes(whole):
                 texts = b.column(b.num_columns - 1).to_pylist()
                 ids = enc.encode(texts)
                 cols, names = list(b.columns[:-1]), list(b.schema.names[:-1])
@@ -240,7 +297,7 @@ def _run(docs: DataFrame, model_path: str, keep: list[str], digest: bool) -> Dat
                     cols += [
                         pa.array([None if x is None else hashlib.md5(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()),
                         pa.array([None if x is None else hashlib.md5(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back], pa.string()),
-                        pa.array([x == t for x, t in zip(back, texts, strict=True)], pa.bool_()),
+                        pa.array([None if x is None else x == t for x, t in zip(back, texts, strict=True)], pa.bool_()),
                     ]
                     names += ["ids_md5", "decoded_md5", "same"]
                 else:
@@ -267,6 +324,36 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
     return _run(docs, model_path, list(keep), digest=False)
 
 
+def decode(rows: DataFrame, model_path: str, column: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The texts of a table of token ids: the columns in ``keep``, and ``text``.
+
+    The inverse of :func:`encode` where a text can be given back whole (a text
+    of whole UTF-8, a mark in it as a space). Defined cases: null ids have a
+    null text, no ids the empty one; a null, negative or unknown id is an
+    error; repeated rows each give a row; an empty table gives an empty table.
+    """
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    with open(model_path, "rb") as f:
+        held = spark.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder_for(held.value)
+        for b in batches:
+            ids = b.column(b.num_columns - 1)
+            least, most = pc.min_max(ids.flatten()).values()
+            if ids.flatten().null_count or (least.is_valid and not 0 <= least.as_py() <= most.as_py() < len(enc.raw)):
+                raise ValueError("an id that the model doesn't have")
+            texts = [None if x is None else enc.decode(x) for x in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "text"])
+
+    taken = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").cast("array<int>").alias("gl_ids"))
+    return taken.mapInArrow(returning(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]), "text string"]))
+
+
 def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_ids, ids_md5 (of the ids as 32-bit little-endian numbers), decoded_md5 and same (whether decoding gives the text back)."""
+    """doc_id, n_ids, ids_md5 (of the ids as 32-bit little-endian numbers), decoded_md5 and same (whether decoding gives the text back).
+
+    Defined cases: as :func:`encode`; a null text has null digests, and a null ``same``.
+    """
     return _run(docs, model_path, ["doc_id"], digest=True)

@@ -419,22 +419,37 @@ def test_pieces_equal_the_library(model):
         assert got.tolist() == want and enc.decode(got.tolist()) == sp.decode(want)
 
 
+def test_pieces_with_small_memory(model, monkeypatch):
+    want = pieces.Encoder(model)
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 40)
+    monkeypatch.setattr(pieces, "CACHE_PAIRS", 25)
+    enc, rng = pieces.Encoder(model), random.Random(27)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choices("etaoin", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 30))) for _ in range(5)]
+        for a, b, t in zip(enc.encode(texts), want.encode(texts), texts, strict=True):
+            assert a.tolist() == b.tolist() == want.processor.encode(t)
+
+
+def test_shared_prefixes():
+    rng = random.Random(28)
+    words = sorted({"".join(rng.choices("ab\0é", k=rng.choice([0, 1, 2, 5, 30, 60]))) for _ in range(900)} | {"a" * n for n in range(50)})
+    same = pieces.shared_prefixes(words)
+    assert same == [0, *(next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:], strict=False))]
+    assert pieces.shared_prefixes([]) == []
+
+
 def test_unigram_viterbi(model):
     enc = pieces.Encoder(model)
     enc.kind = 1
-    enc.ids = {"▁": 0, "a": 1, "b": 2, "ab": 3, "ba": 4, "▁a": 5, "abab": 6}
-    enc.score = {"▁": -2.0, "a": -1.5, "b": -1.4, "ab": -2.0, "ba": -2.5, "▁a": -2.2, "abab": -4.5}
-    enc.lengths = {}
-    for t in enc.ids:
-        if len(t) > 1:
-            enc.lengths.setdefault(t[-2:], set()).add(len(t))
-    enc.lengths = {k: tuple(v) for k, v in enc.lengths.items()}
+    enc.ids = {" ": 0, "a": 1, "b": 2, "ab": 3, "ba": 4, " a": 5, "abab": 6}
+    enc.score = {" ": -2.0, "a": -1.5, "b": -1.4, "ab": -2.0, "ba": -2.5, " a": -2.2, "abab": -4.5}
+    enc.build()
 
     def best(w):
         return max(((enc.score[w[:k]] + best(w[k:])) for k in range(1, len(w) + 1) if w[:k] in enc.score), default=0.0) if w else 0.0
 
     back = {v: k for k, v in enc.ids.items()}
-    words = ["▁" + "".join(random.Random(i).choices("ab", k=i % 9)) for i in range(60)]
+    words = [" " + "".join(random.Random(i).choices("ab", k=i % 9)) for i in range(60)]
     for w, ids in enc.encode_words(set(words)).items():
         cut = [back[i] for i in np.frombuffer(ids, np.int32).tolist()]
         assert "".join(cut) == w and np.isclose(sum(enc.score[c] for c in cut), best(w))
@@ -446,6 +461,9 @@ def test_pieces_awkward(spark, model):
     for r in pieces.encode(d, queries.PIECE_MODEL, ("doc_id", "text")).collect():
         assert r["ids"] == (None if r["text"] is None else sp.encode(r["text"]))
     assert pieces.encode(docs(spark, []), queries.PIECE_MODEL).count() == 0
+    ids = pieces.encode(d, queries.PIECE_MODEL, ("doc_id", "text", "score")).withColumnRenamed("text", "was")
+    back = pieces.decode(ids, queries.PIECE_MODEL, keep=("doc_id", "was")).collect()
+    assert len(back) == 8 and all(r["text"] == r["was"] for r in back) and pieces.decode(ids.limit(0), queries.PIECE_MODEL).count() == 0
     assert all(r["same"] for r in pieces.encode_digest(d, queries.PIECE_MODEL).where("n_ids is not null").collect())
 
 
