@@ -21,8 +21,10 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 8_192, 200
 #: Recall that the window must reach on the sample, and windows that are tried (shares of all rows on either side).
 RECALL = 0.95
 WINDOWS = (0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.1, 0.125, 0.15, 0.2, 0.3, 0.5, 1.0)
-#: Rows of a block.
-BLOCK = 512
+#: Least and most rows of a block, blocks that a window has on either side where these allow, and most rows whose queries travel together.
+BLOCK, WIDE_BLOCK, SIDE, SPAN = 128, 8_192, 8, 32_768
+#: Queries that are scored against a block at once.
+CHUNK = 512
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -110,9 +112,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     projections. Each curve is range-partitioned, sorted and cut into blocks;
     a query meets the blocks within the fitted window around its own on every
     curve, its candidates are scored exactly on the original vectors in
-    double precision, and the curves' results are merged. The window is a
-    share of the rows: 0.05 per cent a side where the data have structure that
-    the curves follow, up to all rows where they have none.
+    double precision, and the curves' results are merged. Queries of
+    neighbouring blocks, a quarter of a window at most, travel together, so a
+    block is met a number of times that doesn't grow with the table. The
+    window is a share of the rows: 0.05 per cent a side where the data have
+    structure that the curves follow, up to all rows where they have none.
 
     Defined cases: vectors that are null, zero, or hold a null or non-finite
     component take no part, nor do rows whose vec_id is null; each length of
@@ -138,12 +142,15 @@ def _of_length(rows: DataFrame, d: int, k: int, recall: float) -> DataFrame:
     """As :func:`nearest`, for the valid rows (vec_id, v, query) whose vectors are of length ``d``."""
     spark = rows.sparkSession
     kind = component_type(rows)
-    sample = sample_of(rows.select("vec_id", "v"), F.col("vec_id"), SAMPLE_ROWS, 31).limit(4 * SAMPLE_ROWS).collect()
-    # rows of few vec_ids can all be missed; a sample of one row has the window at all rows
-    sample = sample or rows.select("vec_id", "v").limit(1).collect()
+    count = rows.count()
+    # rows that repeat whole are drawn together, and come once
+    sample = sample_of(rows.select("vec_id", "v"), F.xxhash64("vec_id", "v"), SAMPLE_ROWS, 31).distinct().collect()
+    # few different rows can all be missed; a sample of one row has the window at all rows
+    sample = sample or rows.agg(F.min(F.struct("vec_id", "v")).alias("r")).select("r.*").collect()
     sample.sort(key=lambda r: (r["vec_id"], list(r["v"])))
     index = fit(np.array([r["v"] for r in sample]), k, recall)
     held = spark.sparkContext.broadcast(index)
+    block = min(WIDE_BLOCK, max(BLOCK, int(index.window * count / SIDE)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
@@ -163,24 +170,34 @@ def _of_length(rows: DataFrame, d: int, k: int, recall: float) -> DataFrame:
     sorted_keys = keys.repartitionByRange(parts, *ordered).sortWithinPartitions(*ordered).select("curve", "vec_id", "query", "raw", F.spark_partition_id().alias("part"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_rows: list[tuple[int, bool, bytes]] = []
+        """Blocks of up to ``block`` rows of one curve, in order."""
         state = {"curve": None, "part": 0, "seq": 0}
+        own: list[pa.RecordBatch] = []
 
         def out() -> pa.RecordBatch:
-            q = [r for r in held_rows if r[1]]
-            own = [[state["curve"]], [state["part"]], [state["seq"]], [np.array([r[0] for r in held_rows], np.int64).tobytes()], [b"".join(r[2] for r in held_rows)], [np.array([r[0] for r in q], np.int64).tobytes()], [b"".join(r[2] for r in q)]]
+            t = pa.Table.from_batches(own)
+            asks = t.filter(t.column("query"))
+            cells = [b"".join(x.column(c).to_pylist()) if c == "raw" else x.column(c).to_numpy().astype(np.int64).tobytes() for x in (t, asks) for c in ("vec_id", "raw")]
+            row = [state["curve"], state["part"], state["seq"], *cells]
             state["seq"] += 1
-            held_rows.clear()
+            own.clear()
             kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, kinds, strict=True)], names=["curve", "part", "seq", "ids", "raw", "qids", "qraw"])
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["curve", "part", "seq", "ids", "raw", "qids", "qraw"])
 
         for b in batches:
-            for curve, vec, query, raw, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held_rows and (curve != state["curve"] or len(held_rows) >= BLOCK):
+            curves = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(curves, prepend=-1)).tolist()
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if own and state["curve"] != curves[lo]:
                     yield out()
-                state["curve"], state["part"] = curve, part
-                held_rows.append((vec, query, raw))
-        if held_rows:
+                state["curve"], state["part"] = int(curves[lo]), b.column(4)[lo].as_py()
+                while lo < hi:
+                    n = min(hi - lo, block - sum(x.num_rows for x in own))
+                    own.append(b.slice(lo, n))
+                    lo += n
+                    if sum(x.num_rows for x in own) >= block:
+                        yield out()
+        if own:
             yield out()
 
     blocks = materialise(sorted_keys.mapInArrow(returning(packed), "curve int, part int, seq int, ids binary, raw binary, qids binary, qraw binary"))
@@ -194,8 +211,12 @@ def _of_length(rows: DataFrame, d: int, k: int, recall: float) -> DataFrame:
     placed = blocks.join(offset, ["curve", "part"]).withColumn("at", F.col("before") + F.col("seq"))
     most = max(total.values())
     reach = int(np.ceil(index.window * most)) + 1
-    asked = placed.where(F.length("qids") > 0).select("curve", "qids", "qraw", F.explode(F.sequence(F.greatest(F.col("at") - reach, F.lit(0)), F.least(F.col("at") + reach, F.lit(most - 1)))).alias("at"))
-    met = asked.join(placed.select("curve", "at", "ids", "raw"), ["curve", "at"]).select("qids", "qraw", "ids", "raw")
+    span = max(1, min(reach // 4, SPAN // block))
+    packs = placed.where(F.length("qids") > 0).groupBy("curve", F.floor(F.col("at") / span).cast("long").alias("g")).agg(F.collect_list(F.struct("qids", "qraw")).alias("asks"))
+    asked = packs.select("curve", "asks", F.explode(F.sequence(F.greatest(F.col("g") * span - reach, F.lit(0)), F.least((F.col("g") + 1) * span - 1 + reach, F.lit(most - 1)))).alias("at"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # numbers of partitions are given, so that few bytes for much work are not put in few tasks
+    met = asked.repartition(tasks, "curve", "at").join(placed.select("curve", "at", "ids", "raw").repartition(tasks, "curve", "at"), ["curve", "at"]).select("asks", "ids", "raw")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -206,23 +227,31 @@ def _of_length(rows: DataFrame, d: int, k: int, recall: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(r[0], pa.int64()), pa.array(r[1], pa.list_(pa.int64())), pa.array(r[2], pa.list_(pa.float64()))], names=["query_id", "ids", "far"])
 
         for b in batches:
-            for qids, qraw, ids, raw in zip(*b.columns, strict=True):
+            for asks, ids, raw in zip(*b.columns, strict=True):
                 own = np.frombuffer(ids.as_buffer(), np.int64)
                 x = np.frombuffer(raw.as_buffer(), kind).reshape(len(own), d).astype(np.float64)
-                asks = np.frombuffer(qids.as_buffer(), np.int64)
-                for q, v in zip(asks.tolist(), np.frombuffer(qraw.as_buffer(), kind).reshape(len(asks), d).astype(np.float64), strict=True):
-                    far = ((x - v) ** 2).sum(axis=1)
-                    had = best.get(q)
-                    pick = np.flatnonzero((far <= had[0][-1]) & (own != q)) if had is not None and len(had[0]) >= k else np.flatnonzero(own != q)
-                    if len(pick) == 0 and had is not None:
-                        continue
-                    e, i = far[pick], own[pick]
-                    if had is not None:
-                        e, i = np.concatenate([had[0], e]), np.concatenate([had[1], i])
-                    order = np.lexsort((i, e))
-                    _, firsts = np.unique(i[order], return_index=True)
-                    order = order[np.sort(firsts)][:k]
-                    best[q] = (e[order], i[order])
+                xx = (x**2).sum(axis=1)
+                q = np.concatenate([np.frombuffer(a["qids"].as_buffer(), np.int64) for a in asks])
+                v = np.concatenate([np.frombuffer(a["qraw"].as_buffer(), kind) for a in asks]).reshape(len(q), d).astype(np.float64)
+                for at in range(0, len(q), CHUNK):
+                    some = v[at : at + CHUNK]
+                    vv = (some**2).sum(axis=1)[:, None]
+                    # squared distances by products, less what rounding may have added to them
+                    near = (xx + vv) * (1 - 1e-9) - 2 * (some @ x.T)
+                    for n, (i, y) in enumerate(zip(q[at : at + CHUNK].tolist(), some, strict=True)):
+                        had = best.get(i)
+                        full = had is not None and len(had[0]) >= k
+                        pick = np.flatnonzero(~(near[n] > had[0][-1])) if full else np.arange(len(own))
+                        pick = pick[own[pick] != i]
+                        if len(pick) == 0:
+                            continue
+                        e, j = ((x[pick] - y) ** 2).sum(axis=1), own[pick]
+                        if had is not None:
+                            e, j = np.concatenate([had[0], e]), np.concatenate([had[1], j])
+                        order = np.lexsort((j, e))
+                        _, firsts = np.unique(j[order], return_index=True)
+                        order = order[np.sort(firsts)][:k]
+                        best[i] = (e[order], j[order])
                 if len(best) >= 50_000:
                     yield out()
         if best:
