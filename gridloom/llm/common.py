@@ -65,6 +65,19 @@ def returning(kernel):
     return run
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The columns of ``df``, or those named, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

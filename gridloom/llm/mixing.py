@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import columns, materialise
 from gridloom.operators.reduce import numbered
 
 #: Weights of the sources in order, repeating.
@@ -45,8 +46,35 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequ
 
     A min-cost flow from patterns to source quotas. A pattern's k-th pass
     over its words has a cost of k for each word, so repetition is spread
-    where sources overlap. Successive shortest paths with potentials.
+    where sources overlap. Patterns that share no source, not even by way of
+    others, are networks of their own.
     """
+    root = list(range(len(quota)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for own in members:
+        for s in own[1:]:
+            root[top(s)] = top(own[0])
+    parts: dict[int, list[int]] = {}
+    for p, own in enumerate(members):
+        if own:
+            parts.setdefault(top(own[0]), []).append(p)
+    out: list[list[int]] = [[0] * len(own) for own in members]
+    for ps in parts.values():
+        sources = sorted({s for p in ps for s in members[p]})
+        at = {s: i for i, s in enumerate(sources)}
+        for p, f in zip(ps, _flow([capacity[p] for p in ps], [[at[s] for s in members[p]] for p in ps], [quota[s] for s in sources], max_repeats), strict=True):
+            out[p] = f
+    return out
+
+
+def _flow(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequence[int], max_repeats: int) -> list[list[int]]:
+    """The min-cost flow of one network, by rising distance: potentials, then all that can flow along paths of the least cost at once."""
     n, m = len(capacity), len(quota)
     start, end, first = 0, 1, 2
     graph: list[list[int]] = [[] for _ in range(first + n + m)]
@@ -70,8 +98,7 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequ
         edge(first + n + s, end, q, 0)
     height = [0] * len(graph)
     while True:
-        far = [None] * len(graph)
-        via = [-1] * len(graph)
+        far: list[int | None] = [None] * len(graph)
         far[start] = 0
         heap = [(0, start)]
         while heap:
@@ -82,22 +109,44 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quota: Sequ
                 if room[e]:
                     v = d + cost[e] + height[x] - height[to[e]]
                     if far[to[e]] is None or v < far[to[e]]:
-                        far[to[e]], via[to[e]] = v, e
+                        far[to[e]] = v
                         heapq.heappush(heap, (v, to[e]))
         if far[end] is None:
-            break
+            return [[room[e ^ 1] for e in own] for own in lanes]
         for x, d in enumerate(far):
-            height[x] += d if d is not None else far[end]
-        push, x = None, end
-        while x != start:
-            push = room[via[x]] if push is None else min(push, room[via[x]])
-            x = to[via[x] ^ 1]
-        x = end
-        while x != start:
-            room[via[x]] -= push
-            room[via[x] ^ 1] += push
-            x = to[via[x] ^ 1]
-    return [[room[e ^ 1] for e in own] for own in lanes]
+            height[x] += d if d is not None and d < far[end] else far[end]
+        free = lambda e, x: room[e] > 0 and cost[e] + height[x] == height[to[e]]
+        while True:  # rounds of shortest paths over the edges without reduced cost
+            level, queue = {start: 0}, deque([start])
+            while queue and end not in level:
+                x = queue.popleft()
+                for e in graph[x]:
+                    if to[e] not in level and free(e, x):
+                        level[to[e]] = level[x] + 1
+                        queue.append(to[e])
+            if end not in level:
+                break
+            turn, path, x = [0] * len(graph), [], start
+            while True:
+                if x == end:
+                    push = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= push
+                        room[e ^ 1] += push
+                    path, x = [], start
+                while turn[x] < len(graph[x]):
+                    e = graph[x][turn[x]]
+                    if level.get(to[e]) == level[x] + 1 and free(e, x):
+                        break
+                    turn[x] += 1
+                if turn[x] < len(graph[x]):
+                    path.append(graph[x][turn[x]])
+                    x = to[path[-1]]
+                elif path:
+                    x = to[path.pop() ^ 1]
+                    turn[x] += 1
+                else:
+                    break
 
 
 def _direct(patterns: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
@@ -220,8 +269,14 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int =
 
     Rows of size 0 (no word) are no part of a mix and go. Rows that repeat a
     doc_id are taken as often as any of them is.
+
+    Defined cases: as :func:`mix_sources`; a null, empty or blank text goes; a
+    null doc_id is a doc_id of its own; an empty table gives an empty table;
+    further columns pass through, whatever their names.
     """
-    taken = mix_sources(docs, weights, max_repeats, seed).where("taken > 0").select(F.col("doc_id").alias("gl_id"), (F.col("taken") / F.col("size")).cast("int").alias("gl_times"))
-    taken = taken.groupBy("gl_id").agg(F.max("gl_times").alias("gl_times"))
+    taken = mix_sources(docs, weights, max_repeats, seed).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
     has = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return docs.where(has).join(taken, F.col("doc_id").eqNullSafe(F.col("gl_id"))).withColumn("gl_pass", F.explode(F.sequence(F.lit(1), F.col("gl_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a row is one column, so that no name of docs meets a working one
+    whole = docs.where(has).select(F.struct(*columns(docs)).alias("row"))
+    met = whole.join(taken, F.col("row.doc_id").eqNullSafe(F.col("id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return met.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
