@@ -21,12 +21,17 @@ CALIBRATION = 4_000
 BUCKETS, ORDERS = 1 << 15, (2, 3, 4)
 #: A text is ambiguous if its best language is less likely than this.
 SURE = 0.8
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")
 _SPACED = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
 _PIECE = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numerals such as a half or a superscript are none."""
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 def ngrams(text: str) -> np.ndarray:
     """Counts of the hashed n-grams of a text: lower case, ASCII other than letters as spaces."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
@@ -81,7 +86,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, likelihood and whether the text is ambiguous."""
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return "und", 0.0, True
         # each bit's logistic loss against each codeword, weighed by the bit's worth on the sample
         loss = np.logaddexp(0, -self.code * self.margins(ngrams(text))) @ self.worth
