@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import columns, materialise, unused
 
 #: A line is boilerplate when at least so many distinct sites hold it.
 MIN_SITES = 3
@@ -53,7 +53,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int
     through, whatever their names.
 
     Returns the columns of ``docs`` with the new text, and ``gl_lines`` and
-    ``gl_removed``, the lines that the text had and those that went.
+    ``gl_removed``, the lines that the text had and those that went (with
+    underscores after them where ``docs`` has such columns).
     """
     line = F.col("line")
     lines = materialise(
@@ -65,17 +66,19 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int
     gone = (
         lines.join(shared, ["h1", "h2"]).select("doc_id", "th", "pos", "first")
         .where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
-        .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gl_gone"))
-    ).select(F.col("doc_id").alias("gl_id"), F.col("th").alias("gl_th"), "gl_gone")
-    parts = F.col("gl_parts")
+        .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    ).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "gone")
+    parts, away = F.col("parts"), F.col("gone")
     count = F.size(parts)
     # the split runs below the join, once a row; array_except hashes: both stay linear for very long texts
-    cut = docs.withColumns({"gl_key": F.xxhash64("text"), "gl_parts": F.split("text", "\n", -1)}).drop("text")
-    joined = cut.join(gone, F.col("doc_id").eqNullSafe(F.col("gl_id")) & (F.col("gl_key") == F.col("gl_th")), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), count - 1), F.col("gl_gone")), lambda i: F.get(parts, i))
-    text = F.array_join(F.when(F.col("gl_gone").isNull(), parts).otherwise(kept), "\n").alias("text")
+    # a row is one column, so that no name of docs meets a working one
+    rest = [c for n, c in zip(docs.columns, columns(docs), strict=True) if n.lower() != "text"]
+    cut = docs.select(F.struct(*rest).alias("row"), F.xxhash64("text").alias("key"), F.split("text", "\n", -1).alias("parts"))
+    joined = cut.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_th")), "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), count - 1), away), lambda i: F.get(parts, i))
+    text = F.array_join(F.when(away.isNull(), parts).otherwise(kept), "\n")
     return joined.select(
-        *[text if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.when(parts.isNotNull(), count), F.lit(0)).cast("long").alias("gl_lines"),
-        F.coalesce(F.when(F.col("gl_gone").isNotNull(), F.size("gl_gone")), F.lit(0)).cast("long").alias("gl_removed"),
+        *[(text if c.lower() == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns],
+        F.coalesce(F.when(parts.isNotNull(), count), F.lit(0)).cast("long").alias(unused(docs, "gl_lines")),
+        F.coalesce(F.when(away.isNotNull(), F.size(away)), F.lit(0)).cast("long").alias(unused(docs, "gl_removed")),
     )

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, connected_components, materialise, returning
+from gridloom.llm.common import bounded_batches, connected_components, materialise, returning, unused
 
 SEED = 42
 #: Fingerprints link at so many differing bits or fewer.
@@ -21,8 +21,8 @@ PIVOTS, BAND_PIVOTS = 24, 20
 BUCKET, WIDE_BUCKET = 256, 4096
 #: Shared part of two texts' shingle sets (Jaccard) from which they count as near copies where no contract says otherwise.
 SIMILARITY = 0.8
-#: Keys of a shingle set, and minima that make a key: sets at a similarity of 0.8 share no key once in 5,000 times.
-KEYS, KEY_MINIMA = 12, 3
+#: Keys of a shingle set, and minima that make a key: sets at a similarity of 0.8 share no key once in 1.7 million times.
+KEYS, KEY_MINIMA = 20, 3
 #: Slices of the hash range in which two sets' members are counted, to bound what they share.
 SLICES = 256
 #: Sets of a group that meet in one task; WORDS shingles count as one set more. Larger groups go in parts.
@@ -186,7 +186,11 @@ def bucket_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (``a``, ``b``) that join distinct fingerprints ``fp`` as all pairs within ``max_bits`` bits would."""
+    """Links (``a``, ``b``) that join distinct fingerprints ``fp`` as all pairs within ``max_bits`` bits would.
+
+    Defined cases: an empty table gives no link; further columns are not
+    looked at; a fingerprint that comes twice may be linked to itself.
+    """
     bounded_batches(fps.sparkSession)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,14 +363,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, co
 def keep_first(docs: DataFrame, size: int = 5, max_bits: int = MAX_BITS, similarity: float | None = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id.
 
-    Rows that repeat this doc_id are told apart by text, then by position:
-    one of them stays. A component of null doc_ids alone keeps one row too.
+    Of rows that repeat this doc_id one stays, any of them. A component of
+    null doc_ids alone keeps one row too, as do all rows of a null doc_id
+    together. Defined cases: as :func:`near_duplicates`; an empty table gives
+    an empty table; further columns pass through, whatever their names.
     """
+    key = unused(docs, "gl_id")
     parts = materialise(near_duplicates(docs, size, max_bits, similarity=similarity).select("component_id", "doc_id", "fingerprint"))
-    once = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gl_id")).distinct()
-    kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col("gl_id")), "left_semi")
-    repeated = parts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("gl_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("gl_id"))
+    once = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    repeated = parts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(key))
+    same = F.col("doc_id").eqNullSafe(F.col(key))
     single = kept.join(repeated, same, "left_anti")
     twice = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
     return single.unionAll(twice)

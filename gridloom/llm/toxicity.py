@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm.common import bounded_batches, crc_mod, materialise, returning, sample_of
+from gridloom.llm.common import bounded_batches, columns, crc_mod, materialise, returning, sample_of, unused
 
 #: Labelled rows to fit on, about; features of the model, at most; documents that a feature must be in.
 SAMPLE_ROWS, VOCABULARY, LEAST_DOCS = 12_000, 4_000, 4
@@ -20,6 +21,8 @@ SAMPLE_ROWS, VOCABULARY, LEAST_DOCS = 12_000, 4_000, 4
 LEAST_Z = 3.0
 #: Lengths of the beginnings and endings of words that are features beside whole words.
 HEADS, TAILS = (4, 5, 6, 7, 8), (4, 5)
+#: Swapped sentences that the penalty is taken over, about; longer lists are sampled by hash.
+SWAPS = 50_000
 #: Features that a task counts before it passes the counts on.
 FLUSH = 200_000
 #: Numbers of distinct words with one beginning that count.
@@ -43,7 +46,7 @@ _PIECE = 1 << 20
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct lower-cased words (runs of letters) of a text, some MB at a time."""
+    """Distinct lower-cased words (runs of letters, and of numerals that are no digits) of a text, some MB at a time."""
     out: set[str] = set()
     for piece in pieces(text or ""):
         out.update(WORD.findall(piece.lower()))
@@ -141,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     The vocabulary: features of LEAST_DOCS sampled documents or more whose
     share of toxic documents is off by LEAST_Z standard errors or more, the
-    furthest first, VOCABULARY at most, and the identity terms.
+    furthest first, VOCABULARY at most, and the identity terms. The penalty is
+    taken over about SWAPS swaps of the sampled documents' sentences.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -173,23 +177,26 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, vocab = {t for g in IDENTITY for t in g}, held.value
         pick = lambda words: sorted(vocab & marks(set(words)))
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string())), ("after", pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
         for b in batches:
-            words, before, after = [], [], []
-            for t in b.column(1):
+            for doc, t, toxic in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 text = t.as_py() or ""
                 own = words_of(text)
-                words.append(pick(own))
-                changed = [] if terms.isdisjoint(own) else [(pick(WORD.findall(s.lower())), pick(x)) for s in _SENTENCE.findall(text) for x in swaps(s)]
-                before.append([x[0] for x in changed])
-                after.append([x[1] for x in changed])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, pa.list_(pa.string())), pa.array(before, pa.list_(pa.list_(pa.string()))), pa.array(after, pa.list_(pa.list_(pa.string())))], names=["doc_id", "toxic", "words", "before", "after"])
+                made: list[tuple] = [(doc, -1, toxic, pick(own), None)]  # the document itself
+                for n, s in enumerate(_SENTENCE.findall(text) if not terms.isdisjoint(own) else ()):
+                    made += [(doc, n, toxic, pick(WORD.findall(s.lower())), pick(x)) for x in swaps(s)]
+                    if len(made) >= 1000:
+                        yield out(made)
+                        made = []
+                yield out(made)
 
-    rows, pairs = [], []
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(returning(read), "doc_id long, toxic int, words array<string>, before array<array<string>>, after array<array<string>>").collect()  # sample_rows rows, about
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["words"])):
-        rows.append((r["words"], r["toxic"]))
-        pairs += list(zip(r["before"], r["after"], strict=True))
-    return fit(rows, pairs)
+    made = materialise(sample.select("doc_id", "text", "toxic").mapInArrow(returning(read), "doc_id long, n long, toxic int, words array<string>, after array<string>"))
+    rows = [(r["words"], r["toxic"]) for r in sorted(made.where("n < 0").collect(), key=lambda r: (r["doc_id"], r["words"]))]  # sample_rows rows, about
+    kept = sample_of(made.where("n >= 0"), F.xxhash64("doc_id", "n", "words", "after"), SWAPS, 13).collect()
+    return fit(rows, [(r["words"], r["after"]) for r in sorted(kept, key=lambda r: (r["doc_id"], r["n"], r["words"], r["after"]))])
 
 
 def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
@@ -202,7 +209,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, k
     Defined cases: a null, empty or wordless text has the score of the bias;
     repeated rows each give a row; an empty table gives an empty table; a
     score at the threshold is predicted; further columns are not looked at,
-    except those in ``keep``, which pass through beside gl_score.
+    except those in ``keep``, which pass through, whatever their names, with
+    the score behind them (gl_score, with underscores where ``docs`` has one).
     """
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,13 +223,13 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, k
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [held.value.score(words_of(t.as_py())) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "gl_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
-    text = F.col("text").cast("string")
+    text, own = F.col("text").cast("string"), unused(docs, "gl_score")
     if keep is not None:
-        taken = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("gl_text"))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-        return taken.mapInArrow(returning(run_all), f"{kinds}, gl_score double")
+        # not every name can go through mapInArrow
+        taken = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns(docs, keep))], text.alias("text"))
+        return taken.mapInArrow(returning(run_all), T.StructType([*taken.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*keep, own)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(returning(run), "doc_id long, score double, predicted int")
 
 
@@ -232,6 +240,11 @@ def score_held_out(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
 
 def reject(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, unchanged."""
+    """The rows of ``docs`` that score below the threshold, unchanged.
+
+    Defined cases: as :func:`score`; without a labelled row the model is its
+    bias alone, which rejects nothing; an empty table gives an empty table;
+    further columns pass through, whatever their names.
+    """
     model = train(docs, labels.where(crc_mod("doc_id", 3) != 1), sample_rows)
-    return score(docs, model, threshold, keep=docs.columns).where(F.col("gl_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, model, threshold, keep=docs.columns).where(F.col(unused(docs, "gl_score")) < threshold).select(*columns(docs))
