@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, held-out accuracy, and awkward rows."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -26,6 +27,25 @@ def awkward(spark):
     return docs(spark, rows).withColumns({"score": F.lit(1), "h": F.lit("x"), "size": F.lit(None).cast("int"), "fp": F.lit(2), "taken": F.lit(3)})
 
 
+#: Every working name that an operator puts beside the columns of documents, or could.
+WORKING = ("gl_id", "gl_th", "gl_key", "gl_parts", "gl_gone", "gl_times", "gl_pass", "gl_score", "gl_text", "gl_lines", "gl_removed", "gl_score_", "row", "id", "times", "key", "parts", "gone", "gone_id", "gone_th", "col", "a`b")
+
+
+@pytest.mark.parametrize("op", ["lines", "mixed", "keep_first", "reject"])
+def test_columns_pass_through_whatever_their_names(spark, op):
+    rows = [(1, "alpha beta gamma delta", "en", "a"), (2, "alpha beta gamma delta", "en", "b"), (3, "own words\nalpha beta gamma delta", None, "c"), (4, None, None, None), (5, "", "", "")]
+    d = docs(spark, rows).withColumns({n: F.concat(F.lit(n + ":"), F.col("doc_id").cast("string")) for n in WORKING})
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    run = {"lines": lambda x: line_dedup.dedup_lines(x, 3), "mixed": mixing.mixed, "keep_first": simhash.keep_first, "reject": lambda x: toxicity.reject(x, labels)}[op]
+    out = run(d)
+    assert out.columns[: len(d.columns)] == d.columns and len(out.columns) == len(d.columns) + 2 * (op == "lines")
+    got = [r[: len(d.columns)] for r in out.collect()]
+    assert {r[0] for r in got} >= ({1, 2, 3, 4, 5} if op in ("lines", "reject") else {1, 3}) and all(r[5:] == tuple(f"{n}:{r[0]}" for n in WORKING) for r in got)
+    plain = run(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, plain)) == sorted(map(str, out.select("doc_id", "text").collect()))
+    assert run(d.limit(0)).count() == 0
+
+
 # ---- line dedup ---------------------------------------------------------------------------------------------------
 
 
@@ -74,6 +94,11 @@ def test_language_awkward(spark):
     assert language.identify_held_out(docs(spark, [])).count() == 0
 
 
+def test_a_text_of_numerals_has_no_language():
+    model = language.LanguageModel(["a", "b"], language.codewords(2), np.zeros((language.BUCKETS, 1), np.float32), np.ones(1), np.ones(1), np.ones(1))
+    assert [model.predict(t)[0] for t in (None, "", "12 _", "½ ²", "Ⅷ ½", "½ x", "é")] == ["und"] * 5 + ["a"] * 2
+
+
 def test_codewords_differ():
     for n in (2, 4, 7, 12):
         c = language.codewords(n)
@@ -110,6 +135,46 @@ def test_route_is_a_flow_of_least_cost():
     assert max(loads) <= 2
 
 
+def test_route_against_a_plain_flow():
+    """Least cost by augmenting word by word along the cheapest path, found by Bellman and Ford."""
+    rng = random.Random(29)
+    for _ in range(60):
+        n, m = rng.randint(1, 5), rng.randint(1, 4)
+        cap, own, quota = [rng.randint(0, 4) for _ in range(n)], [sorted(rng.sample(range(m), rng.randint(1, m))) for _ in range(n)], [rng.randint(0, 9) for _ in range(m)]
+        arcs = []
+        for p in range(n):
+            arcs += [[0, 2 + p, cap[p], k] for k in (1, 2, 3)] + [[2 + p, 2 + n + s, 99, 0] for s in own[p]]
+        arcs += [[2 + n + s, 1, quota[s], 0] for s in range(m)]
+        arcs += [[b, a, 0, -w] for a, b, _, w in arcs]
+        half, words, price = len(arcs) // 2, 0, 0
+        while True:
+            far, via = {0: 0}, {}
+            for _ in range(n + m + 2):
+                for i, (a, b, r, w) in enumerate(arcs):
+                    if r and a in far and far[a] + w < far.get(b, 10**9):
+                        far[b], via[b] = far[a] + w, i
+            if 1 not in far:
+                break
+            x, words, price = 1, words + 1, price + far[1]
+            while x:
+                i = via[x]
+                arcs[i][2] -= 1
+                arcs[(i + half) % (2 * half)][2] += 1
+                x = arcs[i][0]
+        flow = mixing.route(cap, own, quota)
+        loads = [sum(f) for f in flow]
+        assert sum(loads) == words and all(x <= 3 * c for x, c in zip(loads, cap, strict=True))
+        assert all(sum(f[o.index(s)] for f, o in zip(flow, own, strict=True) if s in o) <= quota[s] for s in range(m))
+        assert price == sum(min(c, max(0, x - k * c)) * (k + 1) for x, c in zip(loads, cap, strict=True) for k in range(3))
+
+
+def test_route_of_many_sources_is_quick():
+    n = 30_000
+    began = time.time()
+    flow = mixing.route([5] * n, [[i] for i in range(n)], [i % 20 for i in range(n)])
+    assert [f[0] for f in flow] == [min(15, i % 20) for i in range(n)] and time.time() - began < 30
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), None, rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(400)]
@@ -397,8 +462,8 @@ def test_chat_awkward(spark):
 
 
 def test_chat_stays_native(spark):
-    plan = chat.digests(chat.examples(spark.createDataFrame([], CHAT)))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    plan = queries.op6_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
 
 
 # ---- SentencePiece ---------------------------------------------------------------------------------------------------------
@@ -509,6 +574,33 @@ def test_nearest_of_each_length(spark):
     assert set(got) == set(range(0, 27, 2))
 
 
+def test_nearest_with_repeated_ids_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    monkeypatch.setattr(ann, "WIDE_BLOCK", 16)
+    monkeypatch.setattr(ann, "SPAN", 48)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 60)
+    rng = np.random.default_rng(30)
+    x = rng.normal(size=(700, 6)).astype(np.float32)
+    x[100:300] = x[100]
+    ids = np.where(np.arange(700) % 5 == 0, 40, np.arange(700))
+    got = defaultdict(list)
+    df = spark.createDataFrame([(int(i), v.tolist(), None) for i, v in zip(ids, x, strict=True)], VEC)
+    for r in ann.nearest(df, F.col("vec_id") % 7 == 0, recall=1.0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = n = 0
+    for q in {int(i) for i in ids if i % 7 == 0 and i != 40}:
+        far = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(axis=1))
+        least: dict[int, float] = {}
+        for i, f in zip(ids.tolist(), far.tolist(), strict=True):
+            if i != q:
+                least[i] = min(f, least.get(i, np.inf))
+        rs = sorted(got[q])
+        assert [r[0] for r in rs] == list(range(1, 11)) and len({r[1] for r in rs}) == 10 and [r[1:] for r in rs] == sorted((r[1:] for r in rs), key=lambda r: (r[1], r[0]))
+        assert all(r[2] >= least[r[1]] for r in rs)
+        hits, n = hits + sum(r[2] <= sorted(least.values())[9] for r in rs), n + 10
+    assert hits / n >= 0.9
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     walk = cells[np.argsort(ann.hilbert_key(cells, 3))]
@@ -530,6 +622,20 @@ def test_top_products_exact(spark, spread):
         assert sorted(got[i]) == [(n + 1, k, s[k]) for n, k in enumerate(want)]
 
 
+def test_top_products_over_many_shards(spark, monkeypatch):
+    for name, value in (("SHARD", 40), ("LEAF", 8), ("PACK", 7), ("ROOTS", 3), ("PROBES", 1), ("PROBE_LEAVES", 1), ("CHUNK", 3)):
+        monkeypatch.setattr(topk, name, value)
+    x, df = vectors(spark, 600, d=5)
+    q = np.floor(256 * x.astype(float)).astype(np.int64)
+    got = defaultdict(list)
+    for r in topk.top_products(df.repartition(4), F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for i in range(0, 600, 20):
+        s = q @ q[i]
+        want = sorted((k for k in range(600) if k != i), key=lambda k: (-s[k], k))[:5]
+        assert sorted(got[i]) == [(n + 1, k, s[k]) for n, k in enumerate(want)]
+
+
 @pytest.mark.parametrize("op,zero", [(ann.nearest, False), (topk.top_products, True)])
 def test_searches_awkward(spark, op, zero):
     rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (1, None, 1), (2, [float("nan"), 1.0], 1), (3, [float("inf"), 1.0], 1), (4, [None, 1.0], 1), (5, [0.0, 0.0], 1), (6, [1.0, 2.0], 1), (None, [1.0, 1.0], 1), (7, [], 1), (100, [1.0, 2.5], 1)]
@@ -545,6 +651,22 @@ def test_searches_awkward(spark, op, zero):
 # ---- pipeline ------------------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_stages_awkward(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward(spark), str(tmp_path))
+        empty = stage(spark, awkward(spark).limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns, name
+        got = out.collect()
+        if name != "sentencepiece":
+            assert out.columns == awkward(spark).columns, name
+        ids = Counter(str(r["doc_id"]) for r in got)
+        want = {"simhash_near_dedup": {"1", "2", "4", "None"}, "mixing": {"1", "4", "6", "None"}}.get(name, {"1", "2", "3", "4", "5", "6", "None"})
+        assert set(ids) <= want and (name == "mixing" or set(ids) == want), name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
