@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import cross, dot, point, six_volume, sub
-from gridloom.operators.reduce import numbered
+from gridloom.functions.geometry import cross, distance, dot, normal, point, six_volume, sub
+from gridloom.operators.graph import components
+from gridloom.operators.reduce import histogram, numbered
+from gridloom.plans.loops import stored
 
 
 def corners(tets: DataFrame) -> DataFrame:
@@ -52,6 +54,43 @@ def unique_edges(tets: DataFrame) -> DataFrame:
     return tets.select("e", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("elements"))
 
 
+def edge_spread(tets: DataFrame, bins: int = 8, border: bool = False) -> DataFrame:
+    """One row on the distinct edges' lengths: edges, least, mean, greatest, spread (counts in right-closed bins of equal width); ``border``: only edges of facets that one element has.
+
+    Takes tetrahedra with their corners (e, n0..n3, x0..z3).
+    """
+    node = [F.struct(F.col(f"n{k}").alias("n"), *[F.col(f"{c}{k}").alias(c) for c in "xyz"]) for k in range(4)]
+    facets = tets.select("e", F.explode(F.array(*[F.array_sort(F.array(*[p for i, p in enumerate(node) if i != k])) for k in range(4)])).alias("f"))
+    if border:
+        facets = facets.groupBy("f").agg(F.count("*").alias("k")).where("k = 1")
+    pairs = facets.select(F.explode(F.array(*[F.struct(F.col("f")[a].alias("a"), F.col("f")[b].alias("b")) for a, b in ((0, 1), (0, 2), (1, 2))])).alias("p"))
+    ends = pairs.groupBy(F.col("p.a.n").alias("a"), F.col("p.b.n").alias("b")).agg(F.min("p").alias("p"))
+    lengths = stored(ends.select("a", "b", distance(*[tuple(F.col(f"p.{e}.{c}") for c in "xyz") for e in "ab"]).alias("length")))
+    whole = lengths.agg(F.count("*").alias("edges"), F.min("length").alias("least"), F.avg("length").alias("mean"), F.max("length").alias("greatest"))
+    seen = whole.first()
+    if not seen["edges"]:
+        return whole.withColumn("spread", F.array(*[F.lit(0).cast("bigint")] * bins))
+    counts = histogram(lengths, F.col("length"), seen["least"], seen["greatest"], bins).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m")) if seen["greatest"] > seen["least"] else lengths.agg(F.create_map(F.lit(0), F.count("*")).alias("m"))
+    return whole.join(counts).select("edges", "least", "mean", "greatest", F.array(*[F.coalesce(F.col("m")[k], F.lit(0).cast("bigint")) for k in range(bins)]).alias("spread"))
+
+
+def patch_labels(facets: DataFrame, angle: float) -> DataFrame:
+    """(f, patch): the least facet of each facet's patch, of facets (f, n0..n2, x0..z2).
+
+    Facets that share an edge are of one patch where their normals are
+    ``angle`` degrees apart or less. Detached parts are patches of their own;
+    a degenerate facet has no normal and is one too.
+    """
+    n = normal(*[point(k) for k in range(3)])
+    own = facets.select("f", F.struct(*[c.alias(x) for c, x in zip(n, "xyz", strict=True)]).alias("n"), F.explode(F.array(*[F.struct(F.least(f"n{a}", f"n{b}").alias("a"), F.greatest(f"n{a}", f"n{b}").alias("b")) for a, b in ((0, 1), (1, 2), (0, 2))])).alias("edge"))
+    at = own.groupBy("edge").agg(F.sort_array(F.collect_list(F.struct("f", "n"))).alias("fs")).where(F.size("fs") > 1).select("fs")
+    pairs = at.select(F.posexplode("fs").alias("i", "p"), "fs").select("p", F.explode(F.expr("slice(fs, i + 2, size(fs))")).alias("q"))
+    cosine = sum((F.col(f"p.n.{c}") * F.col(f"q.n.{c}") for c in "yz"), F.col("p.n.x") * F.col("q.n.x"))
+    smooth = pairs.where(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))) <= angle)
+    found = components(smooth.select(F.col("p.f").alias("src"), F.col("q.f").alias("dst"))).withColumnRenamed("n", "f")
+    return facets.select("f").join(found, "f", "left").select("f", F.coalesce("root", "f").alias("patch"))
+
+
 def worst(elements: DataFrame, quality: str, good: float, k: int) -> DataFrame:
     """The ``k`` elements of least quality below ``good``, ties by id."""
     return elements.where(F.col(quality) < good).orderBy(quality, "e").limit(k)
@@ -104,6 +143,20 @@ def ring_optimum(tets: DataFrame) -> DataFrame:
     return each.groupBy("n").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in "xyz"])
 
 
+def ring_circumcentre(tets: DataFrame) -> DataFrame:
+    """Each node's best place by circumcentres: the volume-weighted mean of its elements' circumscribed spheres' centres; flat elements don't count.
+
+    Volume times centre is taken without a division, so thin elements do no harm.
+    """
+    ps = [point(k) for k in range(4)]
+    u, v, w = (sub(p, ps[0]) for p in ps[1:])
+    d = dot(u, cross(v, w))
+    offset = [dot(u, u) * a + dot(v, v) * b + dot(w, w) * c for a, b, c in zip(cross(v, w), cross(w, u), cross(u, v), strict=True)]
+    moment = [F.abs(d) * ps[0][k] + F.signum(d) * offset[k] / 2 for k in range(3)]
+    each = tets.where(d != 0).select(F.explode(F.array(*[F.col(f"n{k}") for k in range(4)])).alias("n"), F.abs(d).alias("w"), *[m.alias(c) for c, m in zip("xyz", moment, strict=True)])
+    return each.groupBy("n").agg(*[(F.sum(c) / F.sum("w")).alias(c) for c in "xyz"])
+
+
 def elasticity(lam: float, mu: float, strain: DataFrame) -> DataFrame:
     """Stress of isotropic material from strain rows (e, i, j, v): lam trace delta + 2 mu strain."""
     trace = strain.where("i = j").groupBy("e").agg(F.sum("v").alias("t"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +37,33 @@ def gram(m: DataFrame) -> DataFrame:
 
 
 def block_multiply(a: DataFrame, b: DataFrame, block: int = 64) -> DataFrame:
-    """a x b over square blocks: pairs of blocks meet, and each cell's products are summed.
+    """a x b over square blocks: each pair of blocks is multiplied as two small dense matrices, and the results are summed by cell.
 
     The same product as :func:`multiply`; the shuffle key is the block, so
-    that a block is fetched once for all of the cells that it serves.
+    that a block is fetched once for all of the cells that it serves, and a
+    pair of blocks gives block x block cells at most.
     """
     cut = lambda c: F.floor(F.col(c) / block).cast("bigint")
-    left = a.groupBy(cut("i").alias("bi"), cut("j").alias("bk")).agg(F.collect_list(F.struct("i", "j", "v")).alias("p"))
-    right = b.groupBy(cut("i").alias("bk"), cut("j").alias("bj")).agg(F.collect_list(F.struct("i", "j", "v")).alias("q"))
-    met = left.join(right, "bk").select(F.explode("p").alias("p"), "q").select("p", F.explode("q").alias("q")).where("p.j = q.i")
-    return drop_zeros(met.groupBy(F.col("p.i").alias("i"), F.col("q.j").alias("j")).agg(F.sum(F.expr("p.v * q.v")).alias("v")))
+    inner = lambda c: (F.col(c) % block).cast("int")
+    cells = F.collect_list(F.struct(inner("i").alias("i"), inner("j").alias("j"), F.col("v").cast("double").alias("v")))
+    left = a.groupBy(cut("i").alias("bi"), cut("j").alias("bk")).agg(cells.alias("p"))
+    right = b.groupBy(cut("i").alias("bk"), cut("j").alias("bj")).agg(cells.alias("q"))
+
+    def dense(s: pa.StructScalar) -> np.ndarray:
+        out, own = np.zeros((block, block)), s.values
+        i, j, v = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+        np.add.at(out, (i, j), v)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, p, q in zip(*batch.columns, strict=True):
+                c = dense(p) @ dense(q)
+                i, j = np.nonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(i + bi.as_py() * block), pa.array(j + bj.as_py() * block), pa.array(c[i, j])], names=["i", "j", "v"])
+
+    made = left.join(right, "bk").select("bi", "bj", "p", "q").mapInArrow(run, "i long, j long, v double")
+    return drop_zeros(made.groupBy("i", "j").agg(F.sum("v").alias("v")))
 
 
 def row_dot(m: DataFrame, a: int, b: int, start: int | None = None, stop: int | None = None) -> DataFrame:

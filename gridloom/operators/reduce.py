@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.graph import components
 from gridloom.plans.loops import stored
 from gridloom.plans.relations import near_zero
 
@@ -32,7 +33,32 @@ def normalise_columns(m: DataFrame) -> DataFrame:
 def zero_analysis(m: DataFrame, axis: str, other: int) -> DataFrame:
     """Zeros of each row or column of ``other`` cells, and its rank, most zeros first."""
     counts = m.where(~near_zero(F.col("v"))).groupBy(F.col(axis).alias("k")).agg(F.count("*").alias("stored")).select("k", (F.lit(other) - F.col("stored")).alias("zeros"))
-    return counts.select("k", "zeros", F.expr("rank() over (order by zeros desc)").cast("bigint").alias("rank"))
+    placed = zero_order(counts)
+    first = placed.groupBy("zeros").agg((F.min("pos") + 1).alias("rank"))  # equal counts share the rank of the first of them
+    return placed.join(first, "zeros").select("k", "zeros", "rank")
+
+
+def zero_order(counts: DataFrame) -> DataFrame:
+    """Rows or columns (k, zeros) with their place ``pos`` by falling counts of zeros, ties by index."""
+    return numbered(counts.select("k", "zeros", (-F.col("zeros")).alias("gl_z")), ["gl_z", "k"]).select("k", "zeros", F.col("gl_n").alias("pos"))
+
+
+def zero_summary(m: DataFrame, rows: int, cols: int) -> DataFrame:
+    """One row: stored cells (nnz), whether some row has more zeros than any column (row_aspect), and the sign (1, -1) of the swaps that bring the aspect with most zeros in falling order.
+
+    All ``rows`` and ``cols`` count, those without a cell too. The sign is that
+    of the permutation: rows less cycles, the cycles found as components.
+    """
+    full, most, sign = m.where(~near_zero(F.col("v"))), {}, {}
+    for axis, n, other in (("i", rows, cols), ("j", cols, rows)):
+        counts = full.groupBy(F.col(axis).alias("k")).agg(F.count("*").alias("stored"))
+        zeros = m.sparkSession.range(n).select(F.col("id").alias("k")).join(counts, "k", "left").select("k", (F.lit(other) - F.coalesce("stored", F.lit(0))).alias("zeros"))
+        placed = stored(zero_order(zeros))
+        most[axis] = placed.agg(F.max("zeros")).first()[0]
+        cycles = components(placed.select(F.col("k").alias("src"), F.col("pos").alias("dst"))).agg(F.countDistinct("root")).first()[0]
+        sign[axis] = 1 if (n - cycles) % 2 == 0 else -1
+    by_row = most["i"] > most["j"]
+    return full.agg(F.count("*").alias("nnz")).select("nnz", F.lit(by_row).alias("row_aspect"), F.lit(sign["i" if by_row else "j"]).cast("int").alias("sign"))
 
 
 def half_bandwidth(m: DataFrame) -> DataFrame:
@@ -103,6 +129,32 @@ def numbered(df: DataFrame, order: list[str], spark_parts: int | None = None) ->
     return local.join(F.broadcast(df.sparkSession.createDataFrame(before, "gl_p int, gl_b bigint")), "gl_p").withColumn("gl_n", F.col("gl_b") + F.col("gl_k")).drop("gl_p", "gl_k", "gl_b")
 
 
+#: Rows of a run that one task adds up, at least, and runs at most.
+RUN, RUNS = 100_000, 4_096
+
+
+def running(df: DataFrame, order: list[str], sums: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` in a global order with, for each row, ``sum_c`` (the columns ``sums`` added up to it) and ``last_c`` (the last value of ``lasts`` that is not null, up to it).
+
+    Runs of equal length are added up apart; RUNS rows at most come to the
+    driver, which carries what lies before each run. Adds gl_n, the place.
+    """
+    placed = numbered(df, order)
+    size = max(RUN, -(-placed.count() // RUNS))
+    placed = placed.withColumn("gl_run", F.floor(F.col("gl_n") / size).cast("bigint"))
+    aggs = [F.sum(c).alias(f"s_{c}") for c in sums] + [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("gl_n"))).alias(f"l_{c}") for c in lasts]
+    totals = placed.groupBy("gl_run").agg(*aggs)
+    before, had = [], [0] * len(sums) + [None] * len(lasts)
+    for r in sorted(totals.collect(), key=lambda r: r["gl_run"]):
+        before.append((r["gl_run"], *had))
+        had = [a + (b or 0) for a, b in zip(had, r[1 : 1 + len(sums)], strict=False)] + [b if b is not None else a for a, b in zip(had[len(sums) :], r[1 + len(sums) :], strict=True)]
+    carry = F.broadcast(df.sparkSession.createDataFrame(before, totals.schema))
+    w = Window.partitionBy("gl_run").orderBy("gl_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = placed.select("*", *[F.sum(c).over(w).alias(f"sum_{c}") for c in sums], *[F.last(c, ignorenulls=True).over(w).alias(f"last_{c}") for c in lasts])
+    met = own.join(carry, "gl_run").withColumns({f"sum_{c}": F.coalesce(f"sum_{c}", F.lit(0)) + F.col(f"s_{c}") for c in sums} | {f"last_{c}": F.coalesce(f"last_{c}", f"l_{c}") for c in lasts})
+    return met.drop("gl_run", *[f"s_{c}" for c in sums], *[f"l_{c}" for c in lasts])
+
+
 def piecewise_fit(df: DataFrame, length: int, order: list[str]) -> DataFrame:
     """Lines fitted to consecutive runs of ``length`` rows in order; the last may be shorter. center: the mean of the run's first and last x."""
     seg = numbered(df, order).withColumn("seg", F.floor(F.col("gl_n") / length).cast("bigint"))
@@ -112,15 +164,19 @@ def piecewise_fit(df: DataFrame, length: int, order: list[str]) -> DataFrame:
 def blend(model: DataFrame, xs: DataFrame) -> DataFrame:
     """The model at ``x``: the lines of the segments around it, blended by the distance to their centers; beyond the ends, the end's line.
 
-    Both sides go through one ordered aggregation as an as-of join: the last
-    center at or before x, found by a running maximum within the buckets of x.
+    An as-of join in one ordered pass: segments and places are sorted
+    together, and each place takes the last segment at or before it.
     """
-    spans = model.select(F.struct("center", "b0", "b1").alias("s")).agg(F.sort_array(F.collect_list("s")).alias("ss"))  # the model: a row for each segment
-    k = F.size(F.filter("ss", lambda s: s["center"] <= F.col("x")))
-    a, b = F.get("ss", F.greatest(k - 1, F.lit(0))), F.get("ss", F.least(k, F.size("ss") - 1))
-    line = lambda s: s["b0"] + s["b1"] * F.col("x")
-    t = F.when((k == 0) | (k == F.size("ss")), F.lit(0.0)).otherwise((F.col("x") - a["center"]) / (b["center"] - a["center"]))
-    return xs.join(F.broadcast(spans)).select("x", (line(a) * (1 - t) + line(b) * t).alias("y"))
+    held = numbered(model.select("center", "b0", "b1"), ["center"])
+    after = held.select((F.col("gl_n") - 1).alias("gl_n"), F.col("center").alias("c2"), F.col("b0").alias("d0"), F.col("b1").alias("d1"))
+    spans = stored(held.join(after, "gl_n", "left").select(F.struct("center", "b0", "b1", "c2", "d0", "d1").alias("s")))
+    both = spans.select(F.col("s.center").cast("double").alias("at"), F.lit(0).alias("kind"), "s", F.lit(None).cast(xs.schema["x"].dataType).alias("x"))
+    met = running(both.unionByName(xs.select(F.col("x").cast("double").alias("at"), F.lit(1).alias("kind"), "x"), allowMissingColumns=True), ["at", "kind"], lasts=("s",)).where("kind = 1")
+    least = F.broadcast(spans.agg(F.min("s").alias("first")))  # one row
+    s, x = F.coalesce("last_s", "first"), F.col("x")
+    t = F.when(s["c2"].isNull() | (x < s["center"]), F.lit(0.0)).otherwise((x - s["center"]) / (s["c2"] - s["center"]))
+    own, following = s["b0"] + s["b1"] * x, s["d0"] + s["d1"] * x
+    return met.join(least).select("x", F.when(t == 0, own).otherwise(own * (1 - t) + following * t).alias("y"))
 
 
 def argsort(df: DataFrame, value: str, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import crosses, encloses, point
+from gridloom.functions.geometry import cross, crosses, dot, encloses, point, sub
 from gridloom.operators.reduce import bounding_box
 from gridloom.plans.loops import stored
 
@@ -173,19 +173,36 @@ def points_in_tetrahedra(probes: DataFrame, tets: DataFrame, cell: float) -> Dat
     return met.where(encloses((F.col("x"), F.col("y"), F.col("z")), tuple(point(k) for k in range(4)))).select("p", "e")
 
 
-def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float, top: float) -> DataFrame:
-    """Crossings (ray, t, z) of upward rays (ray, x, y, z from) with triangles (f, x0..z2), up to height ``top``, in order along each ray.
+def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float, top: float, axis: str = "z") -> DataFrame:
+    """Crossings (ray, f, t, k) of rays (ray, x, y, z from) along +x, +y or +z with triangles (f, x0..z2), up to the coordinate ``top``, in order along each ray.
 
-    A vertical ray stays in one (x, y) cell, so the join is on two coordinates.
+    Such a ray stays in one cell of the two other axes, so the join is on these.
     """
-    t = triangles
-    for c in "xy":
+    t, flat = triangles, [c for c in AXES if c != axis]
+    for c in flat:
         own = [F.col(f"{c}{k}") for k in range(3)]
         t = t.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.least(*own) / cell), F.floor(F.greatest(*own) / cell))))
-    met = rays.select("ray", "x", "y", "z", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")).join(t, ["cx", "cy"])
-    a = (F.col("x"), F.col("y"), F.col("z"))
-    hit = crosses(a, (F.col("x"), F.col("y"), F.lit(top)), point(0), point(1), point(2))
-    return met.withColumn("t", hit).where("t is not null").select("ray", "f", "t", F.expr("row_number() over (partition by ray order by t, f)").cast("bigint").alias("k"))
+    met = rays.select("ray", "x", "y", "z", *[F.floor(F.col(c) / cell).alias(f"c{c}") for c in flat]).join(t, [f"c{c}" for c in flat])
+    a, b = tuple(F.col(c) for c in AXES), tuple(F.lit(top) if c == axis else F.col(c) for c in AXES)
+    met = met.withColumn("t", crosses(a, b, point(0), point(1), point(2))).where("t is not null")
+    return met.select("ray", "f", "t", F.expr("row_number() over (partition by ray order by t, f)").cast("bigint").alias("k"))
+
+
+def segment_hits(segments: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
+    """Crossings (id, f, t, status, k) of segments (id, px..qz) with triangles (f, x0..z2), in order along each segment.
+
+    Candidates are pairs of overlapping boxes. status is 2 where the segment
+    goes along the triangle's normal, -2 where it goes against it.
+    """
+    one = segments.select("id", *[F.least(f"p{c}", f"q{c}").alias(f"{c}m") for c in AXES], *[F.greatest(f"p{c}", f"q{c}").alias(f"{c}p") for c in AXES])
+    two = triangles.select(F.col("f").alias("id"), *[g(*[f"{c}{k}" for k in range(3)]).alias(f"{c}{s}") for c in AXES for g, s in ((F.least, "m"), (F.greatest, "p"))])
+    pairs = boxes_overlapping(one, two, cell).select(F.col("a").alias("id"), F.col("b").alias("f"))
+    met = pairs.join(segments, "id").join(triangles, "f")
+    p, q = (tuple(F.col(f"{e}{c}") for c in AXES) for e in "pq")
+    corners = point(0), point(1), point(2)
+    along = dot(sub(q, p), cross(sub(corners[1], corners[0]), sub(corners[2], corners[0])))
+    met = met.withColumn("t", crosses(p, q, *corners)).where("t is not null")
+    return met.select("id", "f", "t", F.when(along > 0, 2).otherwise(-2).alias("status"), F.expr("row_number() over (partition by id order by t, f)").cast("bigint").alias("k"))
 
 
 def inside_by_parity(hits: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from gridloom.functions import scalar, shapes
 from gridloom.operators import elementwise as el
 from gridloom.operators import graph, kernels, mesh, product, reduce, spatial
 from gridloom.plans import relations as rel
+from gridloom.plans.loops import shared_dir
 from gridloom.sources import generate, matrix_market, obj, text
 from gridloom.streaming.events import windowed_line_fit
 
@@ -241,6 +241,16 @@ def zero_analysis(spark, d):
     return reduce.zero_analysis(rel.supply(spark, d), "i", rel.table(spark, d, "part").count())
 
 
+_ZL = ", M0 AS (SELECT max(i) + 1 AS m FROM U)" + "".join(f", Z{a} AS (SELECT k, {other} - count(U.{a}) AS zeros FROM (SELECT unnest(range(0, {n})) AS k) LEFT JOIN U ON U.{a} = k GROUP BY k), I{a} AS (SELECT count(*) AS inv FROM Z{a} p JOIN Z{a} q ON p.k < q.k AND p.zeros < q.zeros)" for a, n, other in (("i", "(SELECT m FROM M0)", "5"), ("j", "5", "(SELECT m FROM M0)")))
+
+
+# the sign by counting inversions
+@query("zero_summary", W("U") + _ZL + ", B AS (SELECT (SELECT max(zeros) FROM Zi) > (SELECT max(zeros) FROM Zj) AS row_aspect) SELECT (SELECT count(*) FROM U) AS nnz, row_aspect, CAST(CASE WHEN (CASE WHEN row_aspect THEN Ii.inv ELSE Ij.inv END) % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS sign FROM B, Ii, Ij")
+def zero_summary(spark, d):
+    u = rel.usage(spark, d)
+    return reduce.zero_summary(u, u.agg(F.max("i")).first()[0] + 1, 5)
+
+
 @query("half_bandwidth", W("S") + " SELECT max(abs(i - j)) AS half_bandwidth FROM S")
 def half_bandwidth(spark, d):
     return reduce.half_bandwidth(rel.supply(spark, d))
@@ -291,10 +301,10 @@ def piecewise_regression(spark, d):
     return reduce.piecewise_fit(_series(spark, d), 500, ["x"]).select("seg", "center", (F.round("b0", 4) + 0.0).alias("b0"), (F.round("b1", 4) + 0.0).alias("b1"))
 
 
-@query("blend_interpolation", _XY + ", L AS (SELECT *, lead(center) OVER (ORDER BY center) AS c2, lead(b0) OVER (ORDER BY center) AS d0, lead(b1) OVER (ORDER BY center) AS d1, min(center) OVER () AS c0 FROM M), X AS (SELECT DISTINCT event_id AS x FROM events), J AS (SELECT X.x, L.* FROM X JOIN L ON (X.x >= center AND (c2 IS NULL OR X.x < c2)) OR (X.x < c0 AND center = c0)) SELECT CAST(x AS BIGINT) AS x, round(CASE WHEN c2 IS NULL OR x < center THEN b0 + b1 * x ELSE (b0 + b1 * x) * (1 - (x - center) / (c2 - center)) + (d0 + d1 * x) * ((x - center) / (c2 - center)) END, 3) + 0.0 AS y FROM J")
+@query("blend_interpolation", _XY + ", L AS (SELECT *, lead(center) OVER (ORDER BY center) AS c2, lead(b0) OVER (ORDER BY center) AS d0, lead(b1) OVER (ORDER BY center) AS d1, min(center) OVER () AS c0 FROM M), X AS (SELECT DISTINCT event_id AS x FROM events), J AS (SELECT X.x, L.* FROM X JOIN L ON (X.x >= center AND (c2 IS NULL OR X.x < c2)) OR (X.x < c0 AND center = c0)) SELECT CAST(x AS BIGINT) AS x, round(CASE WHEN c2 IS NULL OR x < center THEN b0 + b1 * x ELSE (b0 + b1 * x) * (1 - (x - center) / (c2 - center)) + (d0 + d1 * x) * ((x - center) / (c2 - center)) END, 4) + 0.0 AS y FROM J")
 def blend_interpolation(spark, d):
     s = _series(spark, d)
-    return reduce.blend(reduce.piecewise_fit(s, 500, ["x"]), s.select("x").distinct()).select("x", (F.round("y", 3) + 0.0).alias("y"))
+    return reduce.blend(reduce.piecewise_fit(s, 500, ["x"]), s.select("x").distinct()).select("x", (F.round("y", 4) + 0.0).alias("y"))
 
 
 @query("argsort", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS pos FROM part")
@@ -389,9 +399,49 @@ def determinant_laplace(spark, d):
     return kernels.per_matrix(_systems(spark, d, False), kernels.laplace).select("mat", F.round("v", 0).alias("det"))
 
 
-@query("inverse_matrix", _SYS + " SELECT mat, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, round((bb * cc - bc * bc) / det, 8) + 0.0 AS v FROM D UNION ALL SELECT mat, 0, 1, round((ac * bc - ab * cc) / det, 8) + 0.0 FROM D UNION ALL SELECT mat, 0, 2, round((ab * bc - ac * bb) / det, 8) + 0.0 FROM D")
+_COFACTORS = (("bb * cc - bc * bc", "ac * bc - ab * cc", "ab * bc - ac * bb"), ("ac * bc - ab * cc", "aa * cc - ac * ac", "ab * ac - aa * bc"), ("ab * bc - ac * bb", "ab * ac - aa * bc", "aa * bb - ab * ab"))
+
+
+@query("inverse_matrix", _SYS + " " + " UNION ALL ".join(f"SELECT mat, CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, round(({c}) / det, 8) + 0.0 AS v FROM D" for i, row in enumerate(_COFACTORS) for j, c in enumerate(row)))
 def inverse_matrix(spark, d):
-    return kernels.per_matrix(_systems(spark, d, False), kernels.inverse).where("i = 0").withColumn("v", F.round("v", 8) + 0.0)
+    return kernels.per_matrix(_systems(spark, d, False), kernels.inverse).withColumn("v", F.round("v", 8) + 0.0)
+
+
+# the matrix made of its eigenvectors and eigenvalues again
+@query("eigenvectors", _SYS + " " + _CELLS)
+def eigenvectors(spark, d):
+    def f(a):
+        v = kernels.eigenvectors(a)
+        return (v * kernels.eigen_symmetric(a)) @ v.T
+
+    return kernels.per_matrix(_systems(spark, d, False), f).withColumn("v", F.round("v", 3) + 0.0)
+
+
+_SPARSE_N = 60
+
+
+def _sparse_systems(spark, d, turned):
+    """A sparse unsymmetric system of 60 unknowns for each nation, with whole coefficients and a known whole solution; ``turned``: rows moved by one, so that the diagonal holds zeros."""
+    n = _SPARSE_N
+    mats = rel.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("mat"))
+    cells = mats.select("mat", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("mat", F.col("i").cast("bigint").alias("i"), F.explode(F.array(*[F.lit(k) for k in (-7, -1, 0, 2, 5)])).alias("k"))
+    cells = cells.select("mat", "i", (F.col("i") + F.col("k")).alias("j"), "k").where(f"j >= 0 and j < {n}").withColumn("v", F.when(F.col("k") == 0, 40 + F.col("i") % 3).otherwise(F.expr("(i * 5 + j * 3 + mat) % 9 - 4")))
+    cells = cells.where("v <> 0").withColumn("x", F.expr("(i * 0 + j * 7 + mat * 3) % 11 - 5"))
+    row = F.expr(f"(i + 1) % {n}") if turned else F.col("i")
+    rhs = cells.groupBy("mat", "i").agg(F.sum(F.col("v") * F.col("x")).alias("v")).select("mat", row.alias("i"), F.lit(n).cast("bigint").alias("j"), F.col("v").cast("double").alias("v"))
+    return cells.select("mat", row.alias("i"), "j", F.col("v").cast("double").alias("v")).unionByName(rhs)
+
+
+_PIVOTING = ("gauss", "gauss_jordan_full", "gauss_jordan", "lu", "markowitz")
+
+
+@query("solve_sparse", f"SELECT m.method, CAST(n_nationkey AS BIGINT) AS mat, CAST(i AS BIGINT) AS i, CAST((i * 7 + n_nationkey * 3) % 11 - 5 AS DOUBLE) AS x FROM nation, range({_SPARSE_N}) r(i), (VALUES " + ", ".join(f"('{m}')" for m in sorted(kernels.SOLVERS)) + ") m(method)")
+def solve_sparse(spark, d):
+    out = None
+    for method in sorted(kernels.SOLVERS):
+        got = kernels.solve(_sparse_systems(spark, d, method in _PIVOTING), method).select(F.lit(method).alias("method"), "mat", "i", (F.round("x", 7) + 0.0).alias("x"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 _TRACE = _SYS + " SELECT mat, round(aa + bb + cc, 3) AS total, round(det / 1e6, 2) AS prod FROM D"
@@ -534,7 +584,24 @@ def tetra_centroid(spark, d):
     return rel.tetra_points(spark, d).select("e", *[((F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2") + F.col(f"{c}3")) / 4).alias(c) for c in "xyz"])
 
 
-@query("dihedral_angles")
+def _minus(a: str, b: str) -> list[str]:
+    return [f"({c}{a} - {c}{b})" for c in "xyz"]
+
+
+def _cross(u: list[str], v: list[str]) -> list[str]:
+    return [f"({u[1]} * {v[2]} - {u[2]} * {v[1]})", f"({u[2]} * {v[0]} - {u[0]} * {v[2]})", f"({u[0]} * {v[1]} - {u[1]} * {v[0]})"]
+
+
+def _dot(u: list[str], v: list[str]) -> str:
+    return "(" + " + ".join(f"{p} * {q}" for p, q in zip(u, v, strict=True)) + ")"
+
+
+# the angle at each edge, between the two facets that hang on it
+_HANG = [(_cross(_minus(b, a), _minus(c, a)), _cross(_minus(b, a), _minus(e, a))) for a, b, c, e in (("0", "1", "2", "3"), ("0", "2", "1", "3"), ("0", "3", "1", "2"), ("1", "2", "0", "3"), ("1", "3", "0", "2"), ("2", "3", "0", "1"))]
+_ANGLES = ", ".join(f"degrees(acos(greatest(-1, least(1, {_dot(u, v)} / sqrt({_dot(u, u)} * {_dot(v, v)})))))" for u, v in _HANG)
+
+
+@query("dihedral_angles", _TP + f" SELECT e, round(least({_ANGLES}), 4) AS smallest, round(greatest({_ANGLES}), 4) AS largest FROM T WHERE {_V6} <> 0")
 def dihedral_angles(spark, d):
     a = geo.dihedrals(_ps())
     return rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0).select("e", F.round(F.least(*a), 4).alias("smallest"), F.round(F.greatest(*a), 4).alias("largest"))
@@ -605,7 +672,24 @@ def boundary_nodes(spark, d):
     return mesh.boundary_nodes(_fan(spark, d))
 
 
-@query("internal_nodes")
+def _lattice_sql() -> str:
+    nx, ny, nz = "(SELECT 4 + count(*) % 3 FROM supplier)", "4", "4"
+    corner = lambda r: f"(((z + {r[2]}) * ({ny} + 1) + y + {r[1]}) * ({nx} + 1) + x + {r[0]}) * 2"
+    centre = lambda r: f"(((z + {r[2]}) * {ny} + y + {r[1]}) * {nx} + x + {r[0]}) * 2 + 1"
+    cubes = f"Cu AS (SELECT x, y, z FROM range(0, {nx}) a(x), range(0, {ny}) b(y), range(0, {nz}) c(z))"
+    tets = []
+    for axis, (p, q) in enumerate((((0, 1, 0), (0, 0, 1)), ((1, 0, 0), (0, 0, 1)), ((1, 0, 0), (0, 1, 0)))):
+        up = tuple(int(k == axis) for k in range(3))
+        ring = [up, *(tuple(a + b for a, b in zip(up, r, strict=True)) for r in (p, tuple(a + b for a, b in zip(p, q, strict=True)), q))]
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+            tets.append(f"SELECT {corner(a)} AS n0, {corner(b)} AS n1, {centre((0, 0, 0))} AS n2, {centre(up)} AS n3 FROM Cu WHERE {'xyz'[axis]} + 1 < {(nx, ny, nz)[axis]}")
+    return f"{cubes}, Fn AS (" + " UNION ALL ".join(tets) + ")"
+
+
+_SORTED = ", H AS (" + " UNION ALL ".join(f"SELECT list_sort([n{a}, n{b}, n{c}]) AS f FROM Fn" for a, b, c in ((0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3))) + "), B AS (SELECT DISTINCT unnest(f) AS n FROM (SELECT f FROM H GROUP BY f HAVING count(*) = 1))"
+
+
+@query("internal_nodes", "WITH " + _lattice_sql() + _CORN.replace("SELECT e, ", "SELECT ") + _SORTED + " SELECT DISTINCT n FROM C WHERE n NOT IN (SELECT n FROM B)")
 def internal_nodes(spark, d):
     n = rel.table(spark, d, "supplier").count()
     return mesh.internal_nodes(mesh.bcc_lattice(4 + n % 3, 4, 4, spark).withColumn("e", F.monotonically_increasing_id()))
@@ -650,6 +734,46 @@ def ring_optimum(spark, d):
     return mesh.ring_optimum(_fan(spark, d)).select("n", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
 
 
+_EL = ", G AS (" + " UNION ".join(f"SELECT n{a} AS a, n{b} AS b, {_dist(a, b)} AS l FROM Fn" for a in range(4) for b in range(a + 1, 4)) + ")"
+_SPREAD = ", Q AS (SELECT count(*) AS edges, min(l) AS least, avg(l) AS mean, max(l) AS greatest, (max(l) - min(l)) / 8 AS w FROM G) SELECT edges, round(least, 5) AS least, round(mean, 5) AS mean, round(greatest, 5) AS greatest, " + ", ".join(f"(SELECT count(*) FROM G, Q WHERE least(greatest(ceil((l - Q.least) / w) - 1, 0), 7) = {k}) AS b{k}" for k in range(8)) + " FROM Q"
+
+
+def _spread(df):
+    return df.select("edges", *[F.round(c, 5).alias(c) for c in ("least", "mean", "greatest")], *[F.col("spread")[k].alias(f"b{k}") for k in range(8)])
+
+
+@query("edge_spread", _FW + _EL + _SPREAD)
+def edge_spread(spark, d):
+    return _spread(mesh.edge_spread(_fan(spark, d)))
+
+
+@query("border_edge_spread", _FW + _FACETS + _EL.replace("G AS", "Ga AS") + ", G AS (SELECT * FROM Ga WHERE (a, b) IN (SELECT (a, b) FROM O UNION SELECT (a, c) FROM O UNION SELECT (b, c) FROM O))" + _SPREAD)
+def border_edge_spread(spark, d):
+    return _spread(mesh.edge_spread(_fan(spark, d), border=True))
+
+
+_N3 = _cross(_minus("1", "0"), _minus("2", "0"))
+_N4 = _cross(_minus("2", "1"), _minus("3", "1"))
+
+
+# a strip of triangles over consecutive nodes: patches are runs
+@query("patch_labels", _FW + f", Sm AS (SELECT e + 1 AS f, {_dot(_N3, _N4)} / sqrt({_dot(_N3, _N3)} * {_dot(_N4, _N4)}) >= 0.5 AS smooth FROM Fn), Al AS (SELECT a.n AS f, coalesce(Sm.smooth, false) AS smooth FROM P a JOIN P b ON b.n = a.n + 1 JOIN P c ON c.n = a.n + 2 LEFT JOIN Sm ON Sm.f = a.n), Ru AS (SELECT f, sum(CASE WHEN smooth THEN 0 ELSE 1 END) OVER (ORDER BY f) AS r FROM Al) SELECT f, min(f) OVER (PARTITION BY r) AS patch FROM Ru")
+def patch_labels(spark, d):
+    p = rel.points(spark, d)
+    corner = p.select(F.explode(F.array(*[F.struct((F.col("n") - k).alias("f"), F.lit(k).alias("k")) for k in range(3)])).alias("c"), "n", "x", "y", "z").select("c.f", "c.k", "n", "x", "y", "z")
+    strip = corner.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("k", "n", "x", "y", "z"))).alias("s")).where(F.size("s") == 3)
+    return mesh.patch_labels(strip.select("f", *[F.get("s", F.lit(k))[c].alias(f"{c}{k}") for k in range(3) for c in ("n", "x", "y", "z")]), 60.0)
+
+
+_UVW = [_minus(k, "0") for k in "123"]
+_OFF = [f"({_dot(_UVW[0], _UVW[0])} * {a} + {_dot(_UVW[1], _UVW[1])} * {b} + {_dot(_UVW[2], _UVW[2])} * {c})" for a, b, c in zip(_cross(_UVW[1], _UVW[2]), _cross(_UVW[2], _UVW[0]), _cross(_UVW[0], _UVW[1]), strict=True)]
+
+
+@query("ring_circumcentre", _FW + ", R AS (" + " UNION ALL ".join(f"SELECT n{k} AS n, abs({_V6}) AS w, " + ", ".join(f"{c}0 + {o} / (2 * {_V6}) AS {c}" for c, o in zip("xyz", _OFF, strict=True)) + f" FROM Fn WHERE {_V6} <> 0" for k in range(4)) + ") SELECT n, " + ", ".join(f"round(sum({c} * w) / sum(w), 3) + 0.0 AS {c}" for c in "xyz") + " FROM R GROUP BY n")
+def ring_circumcentre(spark, d):
+    return mesh.ring_circumcentre(_fan(spark, d)).select("n", *[(F.round(c, 3) + 0.0).alias(c) for c in "xyz"])
+
+
 @query("isotropic_stress", W("P") + " SELECT n AS e, CAST(k AS BIGINT) AS i, CAST(k AS BIGINT) AS j, 2.0 * (x + y + z) + 2 * 3.0 * CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS v FROM P, range(3) r(k)")
 def isotropic_stress(spark, d):
     s = rel.points(spark, d).select(F.col("n").alias("e"), F.posexplode(F.array("x", "y", "z")).alias("i", "v")).select("e", F.col("i").cast("bigint").alias("i"), F.col("i").cast("bigint").alias("j"), "v")
@@ -700,7 +824,12 @@ def within_tolerance(spark, d):
     return spatial.within(rel.points(spark, d), 25.0)
 
 
-@query("tolerance_dedup")
+@query(
+    "tolerance_dedup",
+    W("P") + ", Od AS (SELECT *, row_number() OVER (ORDER BY n) AS k FROM P), Gr AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(n BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[]) AS reps, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS rep "
+    "UNION ALL SELECT k, CASE WHEN hit IS NULL THEN list_append(reps, own) ELSE reps END, own.n, coalesce(hit, own.n) FROM (SELECT Od.k, reps, struct_pack(n := Od.n, x := Od.x, y := Od.y, z := Od.z) AS own, "
+    "list_filter(reps, lambda r: abs(r.x - Od.x) <= 25 AND abs(r.y - Od.y) <= 25 AND abs(r.z - Od.z) <= 25)[1].n AS hit FROM Gr JOIN Od ON Od.k = Gr.k + 1)) SELECT n, rep FROM Gr WHERE n IS NOT NULL",
+)
 def tolerance_dedup(spark, d):
     return spatial.unique_nodes(rel.points(spark, d), 25.0)
 
@@ -790,15 +919,54 @@ def ray_facet_crossings(spark, d):
     return _rays(spark, d).groupBy("ray").agg(F.max("k").alias("hits"))
 
 
+def _turned(sql: str) -> str:
+    """The SQL of upward rays with z, x, y in the place of x, y, z."""
+    for a, b in (("x", "@1"), ("y", "@2"), ("z", "@3")):
+        for k in ("0", "1", "2"):
+            sql = sql.replace(f"{a}{k}", f"{b}{k}")
+        sql = sql.replace(f"q{a}", f"q{b}")
+    for a, b in (("@1", "z"), ("@2", "x"), ("@3", "y")):
+        sql = sql.replace(a, b)
+    return sql
+
+
+_ROUND = _turned("Ry AS (SELECT n AS ray, z + 0.37 AS qx, x + 0.21 AS qy, y AS qz FROM P), Ht AS (SELECT ray, " + f"{_ORIENT(0, 1)} AS s0, {_ORIENT(1, 2)} AS s1, {_ORIENT(2, 0)} AS s2, z0, z1, z2, qz FROM Ry, T), ")
+
+
+@query("ray_crossings_along_y", _TP + ", " + _ROUND + "Hz AS (SELECT ray, (y0 * s1 + y1 * s2 + y2 * s0) / (s0 + s1 + s2) AS h, qy FROM Ht WHERE (s0 > 0 AND s1 > 0 AND s2 > 0) OR (s0 < 0 AND s1 < 0 AND s2 < 0)) SELECT ray, count(*) AS hits FROM Hz WHERE h > qy GROUP BY ray")
+def ray_crossings_along_y(spark, d):
+    rays = rel.points(spark, d).select(F.col("n").alias("ray"), (F.col("x") + 0.21).alias("x"), "y", (F.col("z") + 0.37).alias("z"))
+    hits = spatial.ray_hits(rays, rel.tetra_points(spark, d).withColumnRenamed("e", "f").drop("x3", "y3", "z3"), 150.0, 5000.0, "y")
+    return hits.groupBy("ray").agg(F.max("k").alias("hits"))
+
+
+_PQ = [tuple(f"{e}.{c}" for c in "xyz") for e in ("a", "b")]
+_SIDES = [_six([_PQ[0], _PQ[1], _CO[i], _CO[j]]) for i, j in ((0, 1), (1, 2), (2, 0))]
+_ENDS = [_six([_CO[0], _CO[1], _CO[2], q]) for q in _PQ]
+
+
+# the ends on different sides of the plane, and the edges all passed on the same side
+@query("segment_facets", _TP + f", Sv AS (SELECT a.n AS id, T.e AS f, {_ENDS[0]} AS vp, {_ENDS[1]} AS vq, {_SIDES[0]} AS s0, {_SIDES[1]} AS s1, {_SIDES[2]} AS s2 FROM P a JOIN P b ON b.n = a.n + 1, T) SELECT id, f, CAST(CASE WHEN vq > vp THEN 2 ELSE -2 END AS INTEGER) AS status, row_number() OVER (PARTITION BY id ORDER BY vp / (vp - vq), f) AS k FROM Sv WHERE vp <> vq AND vp * vq <= 0 AND ((s0 >= 0 AND s1 >= 0 AND s2 >= 0) OR (s0 <= 0 AND s1 <= 0 AND s2 <= 0))")
+def segment_facets(spark, d):
+    p = rel.points(spark, d)
+    ends = p.select(F.col("n").alias("id"), *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(p.select((F.col("n") - 1).alias("id"), *[F.col(c).alias(f"q{c}") for c in "xyz"]), "id")
+    hits = spatial.segment_hits(ends, rel.tetra_points(spark, d).withColumnRenamed("e", "f").drop("x3", "y3", "z3"), 200.0)
+    return hits.select("id", "f", "status", "k")
+
+
 @query("ray_parity", _RAY + " SELECT ray, count(*) % 2 = 1 AS inside FROM Hz WHERE hz > qz GROUP BY ray")
 def ray_parity(spark, d):
     return spatial.inside_by_parity(_rays(spark, d))
 
 
 
-@query("radius_edge_ratio")
+# the circumscribed radius by products of opposite edges
+_OPPOSITE = ", ".join(f"{_dist(a, b)} * {_dist(c, e)} AS {k}" for k, (a, b, c, e) in zip("pqr", ((0, 1, 2, 3), (0, 2, 1, 3), (0, 3, 1, 2)), strict=True))
+
+
+@query("radius_edge_ratio", _TP + f", Q AS (SELECT e, abs({_V6}) AS v6, least({_EDGES}) AS shortest, {_OPPOSITE} FROM T WHERE {_V6} <> 0) SELECT e, round(sqrt((p + q + r) * (p + q - r) * (p - q + r) * (q + r - p)) / (4 * v6) / shortest, 4) AS ratio FROM Q")
 def radius_edge_ratio(spark, d):
-    return rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0).select("e", F.round(geo.radius_edge(_ps()), 6).alias("ratio"))
+    return rel.tetra_points(spark, d).where(geo.six_volume(*_ps()) != 0).select("e", F.round(geo.radius_edge(_ps()), 4).alias("ratio"))
 
 
 @query("barycentric_sums", _TP + f" SELECT e, 1.0::DOUBLE AS total FROM T WHERE {_V6} <> 0")
@@ -819,17 +987,42 @@ def node_imbalance(spark, d):
 
 
 def _leaf_cells(spark, d):
-    # a cell of the tree for every leaf, those without nodes too
+    # the leaves that hold a node
     leaves = spatial.octree(rel.points(spark, d), 1, 6, _LOW, _SIDE)
     return spatial.as_grid(leaves.select("path").distinct())
 
 
-@query("octant_neighbours")
+# leaves of one node at most: the level from which no other node shares the cell, 6 at the deepest
+_CELL = [f"CAST(greatest(ceil(({c} + 1024.0) / 32) - 1, 0) AS BIGINT) AS g{c}" for c in "xyz"]
+_LEAVES = (
+    W("P") + f", Gd AS (SELECT n, {', '.join(_CELL)} FROM P), Lv AS (SELECT n, gx, gy, gz, l, count(*) OVER (PARTITION BY l, gx >> (6 - l), gy >> (6 - l), gz >> (6 - l)) AS k FROM Gd, range(0, 7) r(l)), "
+    "Lo AS (SELECT n, gx, gy, gz, coalesce(min(l) FILTER (k = 1), 6) AS l FROM Lv GROUP BY n, gx, gy, gz), C0 AS (SELECT DISTINCT CAST(l AS INTEGER) AS level, gx >> (6 - l) AS ix, gy >> (6 - l) AS iy, gz >> (6 - l) AS iz FROM Lo)"
+)
+_MOVES = "(VALUES " + ", ".join(f"({n}, {a}, {b}, {c})" for n, (a, b, c) in enumerate(spatial.FACES + spatial.EDGES)) + ") m(d, dx, dy, dz)"
+
+
+def _beside(cells: str, moves: str) -> str:
+    return (
+        f"SELECT a.level, a.ix, a.iy, a.iz, m.d, b.level AS level2, b.ix AS ix2, b.iy AS iy2, b.iz AS iz2 FROM {cells} a, {moves}, {cells} b WHERE b.level <= a.level AND "
+        + " AND ".join(f"a.i{c} + m.d{c} >= 0 AND a.i{c} + m.d{c} < (1 << a.level) AND b.i{c} = (a.i{c} + m.d{c}) >> (a.level - b.level)" for c in "xyz")
+    )
+
+
+@query("octant_neighbours", _LEAVES + " " + _beside("C0", _MOVES))
 def octant_neighbours(spark, d):
-    return spatial.neighbours(_leaf_cells(spark, d), edges=True)
+    return spatial.neighbours(_leaf_cells(spark, d), edges=True).select("level", "ix", "iy", "iz", "d", "level2", "ix2", "iy2", "iz2")
+
+
+_SIX = "(SELECT * FROM " + _MOVES + " WHERE d < 6) m"
+_ROUNDS = "".join(
+    f", N{k} AS (SELECT DISTINCT level2 AS level, ix2 AS ix, iy2 AS iy, iz2 AS iz FROM ({_beside(f'C{k}', _SIX)}) WHERE level - level2 > 1), C{k + 1} AS (SELECT * FROM C{k} EXCEPT SELECT * FROM N{k} "
+    f"UNION ALL SELECT level + 1, ix * 2 + o % 2, iy * 2 + o // 2 % 2, iz * 2 + o // 4 FROM N{k}, range(0, 8) r(o))"
+    for k in range(5)
+)
 
 
-@query("two_to_one_balance")
+# five rounds settle a tree of seven levels
+@query("two_to_one_balance", _LEAVES + _ROUNDS + " SELECT level, ix, iy, iz FROM C5")
 def two_to_one_balance(spark, d):
     return spatial.balance(_leaf_cells(spark, d))
 
@@ -900,25 +1093,36 @@ def maximum_matching(spark, d):
     return m.groupBy("g").agg(F.countDistinct("c").alias("cardinality"))
 
 
-@query("dulmage_mendelsohn")
+# By Hall's deficiency over all sets of columns: a row belongs to V if a greatest matching can do without it, a column to H likewise; their neighbours follow them
+_HALL = (
+    W("U") + ", Ro AS (SELECT i, CAST(bit_or(1 << j) AS BIGINT) AS m FROM U WHERE v >= 12 GROUP BY i), Co AS (SELECT DISTINCT j FROM U WHERE v >= 12), Su AS (SELECT x, bit_count(x) AS k, (SELECT count(*) FROM Ro WHERE m & x <> 0) AS near FROM range(0, 32) r(x)), "
+    "Al AS (SELECT min((SELECT count(*) FROM Co) - (SELECT count(*) FROM Co WHERE x & (1 << j) <> 0) + near) AS best FROM Su), "
+    "Vr AS (SELECT i, m FROM Ro WHERE (SELECT min((SELECT count(*) FROM Co) - (SELECT count(*) FROM Co WHERE x & (1 << j) <> 0) + near - CASE WHEN m & x <> 0 THEN 1 ELSE 0 END) FROM Su) = (SELECT best FROM Al)), "
+    "Hc AS (SELECT j FROM Co c WHERE (SELECT min((SELECT count(*) FROM Co) - 1 - (SELECT count(*) FROM Co o WHERE x & (1 << o.j) <> 0) + near) FROM Su WHERE x & (1 << c.j) = 0) = (SELECT best FROM Al)) "
+    "SELECT 'r' AS side, i AS n, CASE WHEN i IN (SELECT i FROM Vr) THEN 'V' WHEN EXISTS (SELECT 1 FROM Hc WHERE m & (1 << Hc.j) <> 0) THEN 'H' ELSE 'S' END AS part FROM Ro "
+    "UNION ALL SELECT 'c', j, CASE WHEN j IN (SELECT j FROM Hc) THEN 'H' WHEN EXISTS (SELECT 1 FROM Vr WHERE m & (1 << Co.j) <> 0) THEN 'V' ELSE 'S' END FROM Co"
+)
+
+
+@query("dulmage_mendelsohn", _HALL)
 def dulmage_mendelsohn(spark, d):
-    u = rel.usage(spark, d).select(F.lit(0).cast("bigint").alias("g"), F.col("i").alias("r"), F.col("j").alias("c"))
+    u = rel.usage(spark, d).where("v >= 12").select(F.lit(0).cast("bigint").alias("g"), F.col("i").alias("r"), F.col("j").alias("c"))
     return graph.dulmage_mendelsohn(u.select("r", "c"), graph.matching(u).select("r", "c"))
 
 
-@query("matched_diagonal")
+# which columns go where depends on the matching; that no cell is lost, and that the diagonal is full, does not
+@query("matched_diagonal", W("U") + ", Gm AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM U a JOIN U b ON a.i = b.i GROUP BY 1, 2) SELECT i, count(*) AS cells, sum(v) AS total, true AS on_diagonal FROM Gm GROUP BY i")
 def matched_diagonal(spark, d):
     g = product.gram(el.transpose(rel.usage(spark, d)))
     m = graph.matching(g.select(F.lit(0).cast("bigint").alias("g"), F.col("i").alias("r"), F.col("j").alias("c")))
-    return graph.permute_to_diagonal(g, m.select("r", "c"))
+    return graph.permute_to_diagonal(g, m.select("r", "c")).groupBy("i").agg(F.count("*").alias("cells"), F.sum("v").alias("total"), F.max(F.col("i") == F.col("j")).alias("on_diagonal"))
 
 
 # ---- files and generators ---------------------------------------------------------------------------------------
 
 
 def _scratch(spark: SparkSession) -> str:
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gridloom-")
-    return f"{place.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query("mtx_round_trip", W("S") + " SELECT i, j, v, 0.0::DOUBLE AS iv FROM S")
@@ -941,6 +1145,15 @@ def obj_soup_round_trip(spark, d):
     return obj.tetrahedra_of_soup(obj.read(spark, path)[1]).select("e", "n0", "n3")
 
 
+@query("obj_write_round_trip", W("P", "T") + ", Nb AS (SELECT *, row_number() OVER (ORDER BY e) - 1 AS r FROM T) SELECT r AS e, 4 * r AS n0, 4 * r + 1 AS n1, 4 * r + 2 AS n2, 4 * r + 3 AS n3, x0, z3 FROM Nb")
+def obj_write_round_trip(spark, d):
+    path = _scratch(spark)
+    obj.write_tetrahedra(rel.tetra_points(spark, d), path)
+    nodes, corners = obj.read(spark, path)
+    at = nodes.groupBy(F.floor(F.col("n") / 4).cast("bigint").alias("e")).agg(F.max(F.when(F.col("n") % 4 == 0, F.col("x"))).alias("x0"), F.max(F.when(F.col("n") % 4 == 3, F.col("z"))).alias("z3"))
+    return obj.tetrahedra_of_soup(corners).join(at, "e").select("e", "n0", "n1", "n2", "n3", "x0", "z3")
+
+
 @query("generated_hessenberg", "SELECT CAST(20 * 21 / 2 + 19 AS BIGINT) AS cells")
 def generated_hessenberg(spark, d):
     return generate.hessenberg(spark, 20, 3).agg(F.count("*").alias("cells"))
@@ -976,9 +1189,18 @@ def graph_text(spark, d):
     return text.dot_lines(_dag(spark, d).withColumn("kind", F.lit("L")))
 
 
-@query("octree_text")
+_VERTEX = " ".join(f"WHEN {o} THEN concat_ws(' ', 'v ', " + ", ".join(f"CAST(-1024.0 + 2048.0 / (1 << level) * (i{c} + {(o >> k) & 1}) AS DOUBLE)" for k, c in enumerate("xyz")) + ")" for o in range(8))
+_FACE = " ".join(f"WHEN {8 + k} THEN '{f}'" for k, f in enumerate(("f -8 -6 -5 -7", "f -4 -3 -1 -2", "f -8 -7 -3 -4", "f -6 -2 -1 -5", "f -8 -4 -2 -6", "f -7 -5 -1 -3")))
+
+
+@query("octree_text", _LEAVES + f" SELECT level, ix, iy, iz, CAST(k AS INTEGER) AS k, CASE k {_VERTEX} {_FACE} END AS value FROM C0, range(0, 14) r(k)")
 def octree_text(spark, d):
-    return text.cell_lines(_leaf_cells(spark, d), _LOW, _SIDE)
+    return text.cell_lines(_leaf_cells(spark, d), _LOW, _SIDE).select("cell.*", "k", "value")
+
+
+@query("corner_text", W("U") + " SELECT CAST(r.i AS BIGINT) AS i, " + " || ".join(f"coalesce(max(CASE WHEN j = {k} THEN CASE WHEN v >= 100 THEN printf('%6d ', CAST(v AS BIGINT)) WHEN v >= 10 THEN printf('%5d  ', CAST(v AS BIGINT)) ELSE printf('%4d   ', CAST(v AS BIGINT)) END END), '   -   ')" for k in range(5)) + " AS value FROM range(0, 50) r(i) LEFT JOIN U ON U.i = r.i GROUP BY r.i")
+def corner_text(spark, d):
+    return text.corner_lines(rel.usage(spark, d), 1000, 5)
 
 
 @query("stiffness_by_kernel", _FW + f" SELECT count(*) > 0 AS equal FROM Fn WHERE {_V6} <> 0")

@@ -5,18 +5,26 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the folder that spark.checkpoint.dir names; a session on one machine may go without and gets its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a session on one machine may go without and gets its own."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not place:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="gridloom-"))
+        place = tempfile.mkdtemp(prefix="gridloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(place)
+    return place
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

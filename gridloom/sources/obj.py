@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.reduce import running
+
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (n, x, y, z) and polygon corners (p, k, n, patch) of an OBJ file, zero-based.
 
-    Faces may be ``a``, ``a//n`` or ``a/t/n``; a polygon's patch is the smoothing
-    group in force at its line (null: none yet). Numbers follow the file's order.
+    Faces may be ``a``, ``a//n`` or ``a/t/n``; a negative index counts back from
+    the last vertex before the face. A polygon's patch is the smoothing group
+    in force at its line (null: none yet). Numbers follow the file's order.
     """
     # the order of a folder's files is that of their names
     at = F.concat_ws("|", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
     lines = spark.read.text(path).select(F.trim("value").alias("t"), at.alias("at")).where(F.col("t").rlike(r"^[vfs]\s"))
     kinds = lines.select("at", F.substring("t", 1, 1).alias("kind"), F.split("t", r"\s+").alias("p"))
-    # a mesh file is one object, whose lines are numbered in order
-    from gridloom.operators.reduce import numbered
-
-    v = numbered(kinds.where("kind = 'v'"), ["at"]).select(F.col("gl_n").alias("n"), *[F.col("p")[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")])
-    f = numbered(kinds.where("kind = 'f'"), ["at"]).select(F.col("gl_n").alias("p"), "at", F.expr("slice(p, 2, size(p) - 1)").alias("ns"))
-    groups = kinds.where("kind = 's'").select(F.struct("at", F.col("p")[1].alias("s")).alias("g")).agg(F.sort_array(F.collect_list("g")).alias("gs"))  # a row for each smoothing line
-    patch = F.element_at(F.filter("gs", lambda g: g["at"] < F.col("at")), -1)
-    faces = f.join(F.broadcast(groups)).withColumn("patch", F.when(F.size(F.filter("gs", lambda g: g["at"] < F.col("at"))) > 0, patch["s"]))
-    corners = faces.select("p", F.posexplode("ns").alias("k", "c"), "patch").select("p", "k", (F.substring_index("c", "/", 1).cast("bigint") - 1).alias("n"), "patch")
-    return v, corners
+    one = lambda kind: F.when(F.col("kind") == kind, 1).otherwise(0)
+    laid = running(kinds.withColumns({"v": one("v"), "f": one("f"), "s": F.when(F.col("kind") == "s", F.col("p")[1])}), ["at"], sums=("v", "f"), lasts=("s",))
+    nodes = laid.where("kind = 'v'").select((F.col("sum_v") - 1).cast("bigint").alias("n"), *[F.col("p")[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")])
+    faces = laid.where("kind = 'f'").select((F.col("sum_f") - 1).cast("bigint").alias("p"), "sum_v", F.posexplode(F.expr("slice(p, 2, size(p) - 1)")).alias("k", "c"), F.col("last_s").alias("patch"))
+    index = F.substring_index("c", "/", 1).cast("bigint")
+    return nodes, faces.select("p", "k", F.when(index < 0, F.col("sum_v") + index).otherwise(index - 1).alias("n"), "patch")
 
 
 def tetrahedra_of_soup(corners: DataFrame) -> DataFrame:

@@ -15,6 +15,13 @@ def grid_lines(m: DataFrame, cols: int) -> DataFrame:
     return rows.select("i", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(cols - 1).cast("bigint")), cell), "").alias("value"))
 
 
+def corner_lines(m: DataFrame, rows: int, cols: int, most: int = 50) -> DataFrame:
+    """Lines (i, value) of a matrix as text, of its first ``most`` rows and columns: every row, those of zeros alone too."""
+    shown = m.where((F.col("i") < most) & (F.col("j") < most))
+    blank = F.lit("   -   " * min(cols, most))
+    return m.sparkSession.range(min(rows, most)).select(F.col("id").alias("i")).join(grid_lines(shown, min(cols, most)), "i", "left").select("i", F.coalesce("value", blank).alias("value"))
+
+
 def sparse_lines(m: DataFrame) -> DataFrame:
     """Lines (i, value) of a sparse dump: row(i): [(i, j, v), ...], values to three decimals."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda c: F.concat(F.lit("("), F.col("i").cast("string"), F.lit(", "), c["j"].cast("string"), F.lit(", "), F.format_string("%.3f", c["v"]), F.lit(")")))
