@@ -111,6 +111,23 @@ def matching(edges: DataFrame) -> DataFrame:
     return edges.groupBy("g").applyInPandas(run, "g long, r long, c long")
 
 
+def matching_of(edges: DataFrame) -> DataFrame:
+    """A maximum matching (r, c) of edges (r, c), each connected part apart, so that a graph of many parts is no single group."""
+    sides = edges.select((F.col("r") * 2).alias("src"), (F.col("c") * 2 + 1).alias("dst"), "r", "c").distinct()
+    found = components(sides.select("src", "dst"))
+    return matching(sides.join(found, sides["src"] == found["n"]).select(F.col("root").alias("g"), "r", "c")).select("r", "c")
+
+
+def reach_along(edges: DataFrame, starts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """As :func:`reach`, over edges (src, dst, kind) of the given kinds alone."""
+    return reach(edges.where(F.col("kind").isin(*kinds)).select("src", "dst"), starts)
+
+
+def cut_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges (src, dst, ...) without those between the pairs ``gone`` (src, dst), of whatever kind."""
+    return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
 def dulmage_mendelsohn(edges: DataFrame, matched: DataFrame) -> DataFrame:
     """Part of each node (side, n, part): H if an alternating path from an unmatched column reaches it, V from an unmatched row, else S.
 

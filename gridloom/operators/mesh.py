@@ -36,6 +36,24 @@ def shared_nodes(corner: DataFrame) -> DataFrame:
     return c.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
 
 
+#: Flags of a tetrahedron's facets and edges by the corners that they hold.
+INTERFACES = {(0, 1, 2): 1, (0, 2, 3): 2, (0, 1, 3): 4, (1, 2, 3): 8, (0, 1): 16, (0, 2): 32, (0, 3): 64, (1, 2): 128, (1, 3): 256, (2, 3): 512}
+
+
+def interfaces(tets: DataFrame) -> DataFrame:
+    """Pairs (a, b, flags) of elements a < b that share an edge or a facet; flags: a's INTERFACES flag, and b's sixteen bits higher.
+
+    Elements meet at shared edges, not at shared nodes: few elements have an edge in common.
+    """
+    ns = [F.col(f"n{k}") for k in range(4)]
+    edges = F.array(*[F.struct(F.least(ns[p], ns[q]).alias("a"), F.greatest(ns[p], ns[q]).alias("b"), F.lit(1 << p | 1 << q).alias("m")) for p in range(4) for q in range(p + 1, 4)])
+    at = tets.select("e", F.explode(edges).alias("p")).groupBy("p.a", "p.b").agg(F.sort_array(F.collect_list(F.struct("e", "p.m"))).alias("es")).where(F.size("es") > 1).select("es")
+    pairs = at.select(F.posexplode("es").alias("i", "p"), "es").select("p", F.explode(F.expr("slice(es, i + 2, size(es))")).alias("q"))
+    met = pairs.groupBy(F.col("p.e").alias("a"), F.col("q.e").alias("b")).agg(F.bit_or("p.m").alias("ma"), F.bit_or("q.m").alias("mb"))
+    table = F.create_map(*[F.lit(x) for corners, flag in INTERFACES.items() for x in (sum(1 << c for c in corners), flag)])
+    return met.select("a", "b", (table[F.col("ma")] + F.call_function("shiftleft", table[F.col("mb")], F.lit(16))).alias("flags"))
+
+
 def boundary_nodes(tets: DataFrame) -> DataFrame:
     """Nodes of facets that only one element has."""
     ns = [F.col(f"n{k}") for k in range(4)]

@@ -185,5 +185,23 @@ def argsort(df: DataFrame, value: str, key: str) -> DataFrame:
 
 
 def merge_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The sorted union of two index lists, for each key: k, xs."""
-    return a.unionByName(b).groupBy("k").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    """The sorted union of two index lists (k, x), for each key: k, xs, at (the places in xs of a's indexes, in order), repeats (how many indexes both hold)."""
+    sides = a.select("k", "x", F.lit(True).alias("first")).unionByName(b.select("k", "x", F.lit(False).alias("first"))).distinct()
+    each = sides.groupBy("k", "x").agg(F.bool_or("first").alias("first"), F.count("*").alias("sides"))
+    lists = each.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("x", "first"))).alias("l"), F.count(F.when(F.col("sides") == 2, 1)).alias("repeats"))
+    places = F.filter(F.transform("l", lambda e, i: F.when(e["first"], i)), lambda i: i.isNotNull())
+    return lists.select("k", F.col("l.x").alias("xs"), places.alias("at"), "repeats")
+
+
+def append_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (k, x, y) of ``b`` put behind those of ``a`` (both with ``n``, the place in their list), as they come: k, x, y, n."""
+    size = a.groupBy("k").agg(F.max("n").alias("top"))
+    behind = b.join(size, "k", "left").select("k", "x", "y", (F.col("n") + F.coalesce(F.col("top") + 1, F.lit(0))).alias("n"))
+    return a.select("k", "x", "y", "n").unionByName(behind)
+
+
+def merge_pairs(a: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """The sorted union of indexes ``a`` (k, x) and one ``side`` (x or y) of unsorted ``pairs`` (k, x, y): k, x, paired (the pair's other side, null where the index is a's alone)."""
+    other = "y" if side == "x" else "x"
+    taken = pairs.select("k", F.col(side).alias("x"), F.col(other).alias("paired"))
+    return taken.unionByName(a.select("k", "x", F.lit(None).cast(pairs.schema[other].dataType).alias("paired"))).groupBy("k", "x").agg(F.min("paired").alias("paired"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,29 @@ def cell_of(size: float, suffix: str = "") -> list[Column]:
     return [F.floor(F.col(f"{c}{suffix}") / size).cast("bigint").alias(f"c{c}") for c in AXES]
 
 
-def nearest(nodes: DataFrame, cell: float) -> DataFrame:
+def cell_for(nodes: DataFrame, each: float = 4.0) -> float:
+    """The side of a cell that would hold ``each`` nodes if these lay evenly in their box."""
+    box = nodes.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in AXES]).first()
+    sides = [box[c] for c in AXES if box[c]]
+    return math.prod(s * (each / box["n"]) ** (1 / len(sides)) for s in sides) ** (1 / len(sides)) if sides else 1.0
+
+
+def box_cell(boxes: DataFrame) -> float:
+    """Twice the mean side of boxes (xm..zp): a box touches few such cells, and a cell few boxes."""
+    side = boxes.select(F.avg(sum((F.col(f"{c}p") - F.col(f"{c}m") for c in "yz"), F.col("xp") - F.col("xm")) / 3).alias("s")).first()["s"]
+    return 2 * side if side else 1.0
+
+
+def nearest(nodes: DataFrame, cell: float | None = None) -> DataFrame:
     """The nearest other node at a distance above zero, (n, near, d2); ties go to the lesser id.
 
     Rounds over a grid: a node meets the cells within r of its own; whoever
     finds a neighbour within r cells' width is done, for no other can be
     nearer. The rest go on with r doubled; past the greatest extent of all
-    nodes everyone has met all.
+    nodes everyone has met all. The first r follows the nodes' density if no
+    ``cell`` is given.
     """
+    cell = cell or cell_for(nodes)
     box = bounding_box(nodes).first()
     if box is None or box["xm"] is None:
         return nodes.select("n", F.lit(None).cast("bigint").alias("near"), F.lit(None).cast("double").alias("d2")).limit(0)
@@ -140,12 +157,15 @@ def locate(probes: DataFrame, tree: DataFrame, low: tuple[float, float, float],
     return prefixes.join(tree.select("path"), "path").groupBy("p").agg(F.max_by("path", F.length("path")).alias("path"))
 
 
-def boxes_overlapping(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+def boxes_overlapping(a: DataFrame, b: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs (a, b) of ids whose closed boxes (id, xm..zp) overlap.
 
     Both sides are dealt to the cells that they touch; a pair is reported by
     the cell of its overlap's lower corner alone, so no distinct is needed.
+    The cells follow the boxes' sizes if none is given.
     """
+    cell = cell or max(box_cell(a), box_cell(b))
+
     def dealt(t: DataFrame, s: str) -> DataFrame:
         t = t.select(F.col("id").alias(f"id{s}"), *[F.col(f"{c}{e}").alias(f"{c}{e}{s}") for c in AXES for e in "mp"])
         for c in AXES:
@@ -164,9 +184,10 @@ def box_distance2(boxes: DataFrame) -> Column:
     return sum((g * g for g in gap), F.lit(0.0))
 
 
-def points_in_tetrahedra(probes: DataFrame, tets: DataFrame, cell: float) -> DataFrame:
+def points_in_tetrahedra(probes: DataFrame, tets: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs (p, e): probes in a tetrahedron's closed box, by cells, then by the exact test."""
     box = tets.select("*", *[F.least(*[F.col(f"{c}{k}") for k in range(4)]).alias(f"{c}lo") for c in AXES], *[F.greatest(*[F.col(f"{c}{k}") for k in range(4)]).alias(f"{c}hi") for c in AXES])
+    cell = cell or box_cell(box.select(*[F.col(f"{c}{a}").alias(f"{c}{b}") for c in AXES for a, b in (("lo", "m"), ("hi", "p"))]))
     for c in AXES:
         box = box.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}lo") / cell), F.floor(F.col(f"{c}hi") / cell))))
     met = probes.select("p", *AXES, *cell_of(cell)).join(box, [f"c{c}" for c in AXES])
@@ -188,7 +209,7 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float, top: float, axi
     return met.select("ray", "f", "t", F.expr("row_number() over (partition by ray order by t, f)").cast("bigint").alias("k"))
 
 
-def segment_hits(segments: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
+def segment_hits(segments: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
     """Crossings (id, f, t, status, k) of segments (id, px..qz) with triangles (f, x0..z2), in order along each segment.
 
     Candidates are pairs of overlapping boxes. status is 2 where the segment
@@ -278,6 +299,26 @@ def flags_up(cells: DataFrame) -> DataFrame:
     return each.groupBy("path").agg(F.bit_or("flag").alias("flag"))
 
 
+def grid_flags_up(cells: DataFrame) -> DataFrame:
+    """Flags (path, points) of each parent's 27 points, 3 along each axis (bit x + 3 y + 9 z), from its children's corner flags (path, corners; bit x + 2 y + 4 z)."""
+    digit = F.substring("path", -1, 1).cast("int")
+    bits = sum((F.when(F.col("corners").bitwiseAND(1 << c) != 0, F.call_function("shiftleft", F.lit(1), _grid_bit(digit, c))).otherwise(0) for c in range(8)), F.lit(0))
+    return cells.where("path <> ''").groupBy(F.expr("substring(path, 1, length(path) - 1)").alias("path")).agg(F.bit_or(bits).alias("points"))
+
+
+def corner_flags_down(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Corner flags (path, corners) of ``children`` (path) as their parents' points (path, points) have them."""
+    own = children.select("path", F.expr("substring(path, 1, length(path) - 1)").alias("up"), F.substring("path", -1, 1).cast("int").alias("digit")).where("path <> ''")
+    met = own.join(parents.select(F.col("path").alias("up"), "points"), "up")
+    corners = sum((F.call_function("shiftright", F.col("points"), _grid_bit(F.col("digit"), c)).bitwiseAND(1) * (1 << c) for c in range(8)), F.lit(0))
+    return met.select("path", corners.alias("corners"))
+
+
+def _grid_bit(digit: Column, corner: int) -> Column:
+    """The place among the parent's 27 points of a corner of the child ``digit``."""
+    return sum(((F.call_function("shiftright", digit, F.lit(k)).bitwiseAND(1) + (corner >> k & 1)) * 3**k for k in range(3)), F.lit(0))
+
+
 def edges_in_cells(edges: DataFrame, cell: float) -> DataFrame:
     """Grid cells (id, cx, cy, cz) that each segment (id, x0..z1) passes through, borders included: its box's cells, then a slab test."""
     out = edges

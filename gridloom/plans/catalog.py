@@ -319,6 +319,28 @@ def merge_indexes(spark, d):
     return m.select("k", F.size("xs").cast("bigint").alias("n"), F.aggregate("xs", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
+@query("merge_with_places", W("S") + ", A AS (SELECT i AS k, j AS x, true AS f FROM S UNION ALL SELECT i, j + 1, false FROM S), B AS (SELECT k, x, bool_or(f) AS f, count(DISTINCT f) AS sides FROM A GROUP BY k, x), R AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS p FROM B) SELECT k, count(*) FILTER (sides = 2) AS repeats, CAST(sum(p) FILTER (f) AS BIGINT) AS places FROM R GROUP BY k")
+def merge_with_places(spark, d):
+    s = rel.supply(spark, d)
+    m = reduce.merge_indexes(s.select(F.col("i").alias("k"), F.col("j").alias("x")), s.select(F.col("i").alias("k"), (F.col("j") + 1).alias("x")))
+    return m.select("k", "repeats", F.aggregate("at", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("places"))
+
+
+@query("merge_with_pairs", W("U") + ", A AS (SELECT i AS k, j AS x FROM U WHERE j < 3), Pr AS (SELECT i AS k, j AS x, CAST(v AS BIGINT) AS y FROM U WHERE j >= 2) SELECT 'x' AS side, k, x, coalesce(min(y), -1) AS paired FROM (SELECT k, x, y FROM Pr UNION ALL SELECT k, x, NULL FROM A) GROUP BY k, x UNION ALL SELECT 'y', k, x, coalesce(min(y), -1) FROM (SELECT k, y AS x, x AS y FROM Pr UNION ALL SELECT k, x, NULL FROM A) GROUP BY k, x")
+def merge_with_pairs(spark, d):
+    u = rel.usage(spark, d).withColumnsRenamed({"i": "k", "j": "x"})
+    a, pairs = u.where("x < 3").select("k", "x"), u.where("x >= 2").select("k", "x", F.col("v").cast("bigint").alias("y"))
+    sides = [reduce.merge_pairs(a, pairs, side).select(F.lit(side).alias("side"), "k", "x", F.coalesce("paired", F.lit(-1)).alias("paired")) for side in "xy"]
+    return sides[0].unionByName(sides[1])
+
+
+@query("append_pairs", W("U") + " SELECT i AS k, j AS x, CAST(v AS BIGINT) AS y, row_number() OVER (PARTITION BY i ORDER BY j >= 2, j) - 1 AS n FROM U")
+def append_pairs(spark, d):
+    u = rel.usage(spark, d).select(F.col("i").alias("k"), F.col("j").alias("x"), F.col("v").cast("bigint").alias("y"))
+    place = F.expr("cast(row_number() over (partition by k order by x) - 1 as bigint)")
+    return reduce.append_pairs(u.where("x < 2").withColumn("n", place), u.where("x >= 2").withColumn("n", place))
+
+
 # ---- linear systems: one for each label -------------------------------------------------------------------------
 
 _SYS = (
@@ -659,6 +681,17 @@ def shared_nodes(spark, d):
     return mesh.shared_nodes(mesh.corners(_fan(spark, d)))
 
 
+def _flag(es: str, other: str) -> str:
+    """The flag of the corners of Fn row ``es`` that ``other`` has too."""
+    mask = " + ".join(f"CASE WHEN {es}.n{k} IN ({other}.n0, {other}.n1, {other}.n2, {other}.n3) THEN {1 << k} ELSE 0 END" for k in range(4))
+    return f"CASE {mask} " + " ".join(f"WHEN {sum(1 << c for c in cs)} THEN {flag}" for cs, flag in mesh.INTERFACES.items()) + " END"
+
+
+@query("interfaces", _FW + f" SELECT a.e AS a, b.e AS b, CAST({_flag('a', 'b')} + 65536 * {_flag('b', 'a')} AS INTEGER) AS flags FROM Fn a JOIN Fn b ON b.e = a.e + 1 OR b.e = a.e + 2")
+def interfaces(spark, d):
+    return mesh.interfaces(_fan(spark, d))
+
+
 @query("unique_edges", _FW + ", G AS (" + " UNION ALL ".join(f"SELECT n{a} AS a, n{b} AS b FROM Fn" for a in range(4) for b in range(a + 1, 4)) + ") SELECT a, b, count(*) AS elements FROM G GROUP BY a, b")
 def unique_edges(spark, d):
     return mesh.unique_edges(_fan(spark, d))
@@ -792,7 +825,7 @@ _NN = W("P") + ", Nn AS (SELECT n, near, d2 FROM (SELECT a.n, b.n AS near, (a.x-
 
 @query("nearest_node", _NN + " SELECT * FROM Nn")
 def nearest_node(spark, d):
-    return spatial.nearest(rel.points(spark, d), 60.0)
+    return spatial.nearest(rel.points(spark, d))
 
 
 _CP = _NN + ", Cp AS (SELECT a.n, a.near, a.d2 FROM Nn a LEFT JOIN Nn b ON a.near = b.n AND b.near = a.n WHERE b.n IS NULL OR a.n < a.near)"
@@ -800,18 +833,18 @@ _CP = _NN + ", Cp AS (SELECT a.n, a.near, a.d2 FROM Nn a LEFT JOIN Nn b ON a.nea
 
 @query("closest_pairs", _CP + " SELECT * FROM Cp")
 def closest_pairs(spark, d):
-    return spatial.closest_pairs(spatial.nearest(rel.points(spark, d), 60.0))
+    return spatial.closest_pairs(spatial.nearest(rel.points(spark, d)))
 
 
 @query("pair_medians", _CP + " SELECT c.n, c.near, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, (a.z + b.z) / 2 AS z FROM Cp c JOIN P a ON a.n = c.n JOIN P b ON b.n = c.near")
 def pair_medians(spark, d):
     p = rel.points(spark, d)
-    return spatial.medians(spatial.closest_pairs(spatial.nearest(p, 60.0)), p)
+    return spatial.medians(spatial.closest_pairs(spatial.nearest(p)), p)
 
 
 @query("pair_components", _CP + ", U2 AS (SELECT n AS a, near AS b FROM Cp UNION SELECT near, n FROM Cp), Z AS (SELECT a AS n, a AS r FROM U2 UNION SELECT U2.b, Z.r FROM Z JOIN U2 ON U2.a = Z.n) SELECT n, min(r) AS root FROM Z GROUP BY n")
 def pair_components(spark, d):
-    return graph.components(spatial.closest_pairs(spatial.nearest(rel.points(spark, d), 60.0)).select(F.col("n").alias("src"), F.col("near").alias("dst")))
+    return graph.components(spatial.closest_pairs(spatial.nearest(rel.points(spark, d))).select(F.col("n").alias("src"), F.col("near").alias("dst")))
 
 
 @query("spatial_hash", W("P") + " SELECT floor(x / 50) AS x, floor(y / 50) AS y, floor(z / 50) AS z, min(n) AS first, count(*) AS n_at FROM P GROUP BY 1, 2, 3")
@@ -876,7 +909,7 @@ def _boxes(spark, d):
 @query("box_overlap_join", _BOX + " SELECT a.id AS a, b.id AS b FROM Bx a JOIN Bx b ON " + " AND ".join(f"a.{c}m <= b.{c}p AND b.{c}m <= a.{c}p" for c in "xyz"))
 def box_overlap_join(spark, d):
     b = _boxes(spark, d)
-    return spatial.boxes_overlapping(b, b, 200.0)
+    return spatial.boxes_overlapping(b, b)
 
 
 @query("box_distance", _BOX + ", O AS (SELECT P.n, " + " + ".join(f"pow(greatest({c}m - {c}, 0, {c} - {c}p), 2)" for c in "xyz") + " AS d2 FROM P JOIN Bx ON Bx.id = P.n // 4) SELECT n, round(d2, 3) AS d2 FROM O")
@@ -899,7 +932,7 @@ _INSIDE = " AND ".join(f"{_six([_PR if i == k else q for i, q in enumerate(_CO)]
 
 @query("point_in_tetrahedron", _TP + f" SELECT P.n AS p, T.e FROM P JOIN T ON {_V6} <> 0 AND {_INSIDE}")
 def point_in_tetrahedron(spark, d):
-    return spatial.points_in_tetrahedra(rel.points(spark, d).withColumnRenamed("n", "p"), rel.tetra_points(spark, d), 150.0)
+    return spatial.points_in_tetrahedra(rel.points(spark, d).withColumnRenamed("n", "p"), rel.tetra_points(spark, d))
 
 
 _ORIENT = lambda a, b: f"((x{b} - x{a}) * (qy - y{a}) - (y{b} - y{a}) * (qx - x{a}))"
@@ -950,7 +983,7 @@ _ENDS = [_six([_CO[0], _CO[1], _CO[2], q]) for q in _PQ]
 def segment_facets(spark, d):
     p = rel.points(spark, d)
     ends = p.select(F.col("n").alias("id"), *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(p.select((F.col("n") - 1).alias("id"), *[F.col(c).alias(f"q{c}") for c in "xyz"]), "id")
-    hits = spatial.segment_hits(ends, rel.tetra_points(spark, d).withColumnRenamed("e", "f").drop("x3", "y3", "z3"), 200.0)
+    hits = spatial.segment_hits(ends, rel.tetra_points(spark, d).withColumnRenamed("e", "f").drop("x3", "y3", "z3"))
     return hits.select("id", "f", "status", "k")
 
 
@@ -1032,6 +1065,30 @@ def flags_up(spark, d):
     return spatial.flags_up(spatial.octree(rel.points(spark, d), _CAP, _DEPTH, _LOW, _SIDE).select("path", (F.col("n") % 4).alias("flag")))
 
 
+# a parent's points follow its path; corners of children are read from them, and give them back where children lie
+_PTS = "(CAST(CASE WHEN path = '' THEN 7 ELSE CAST(path AS BIGINT) END AS BIGINT) * 1103515245 + length(path) * 12345) % 134217728"
+_CORNERS = " + ".join("(points >> (" + " + ".join(f"((d >> {k}) % 2 + {c >> k & 1}) * {3**k}" for k in range(3)) + f")) % 2 * {1 << c}" for c in range(8))
+_DOWN = _OCT + _OCTANTS + f", Pt AS (SELECT path, {_PTS} AS points FROM Oc), Ch AS (SELECT c.path, CAST(substr(c.path, length(c.path), 1) AS BIGINT) AS d, points FROM Oc c JOIN Pt ON Pt.path = substr(c.path, 1, length(c.path) - 1) WHERE c.level > 0), Dn AS (SELECT path, d, CAST({_CORNERS} AS INTEGER) AS corners FROM Ch)"
+
+
+def _down(spark, d):
+    cells = spatial.octants(spatial.octree(rel.points(spark, d), _CAP, _DEPTH, _LOW, _SIDE))
+    return spatial.corner_flags_down(cells.select("path", F.expr(_PTS).cast("int").alias("points")), cells)
+
+
+@query("corner_flags_down", _DOWN + " SELECT path, corners FROM Dn")
+def corner_flags_down(spark, d):
+    return _down(spark, d)
+
+
+_UP = " + ".join("CASE WHEN (corners >> " + f"{c}) % 2 = 1 THEN 1 << CAST(" + " + ".join(f"((d >> {k}) % 2 + {c >> k & 1}) * {3**k}" for k in range(3)) + " AS INTEGER) ELSE 0 END" for c in range(8))
+
+
+@query("grid_flags_up", _DOWN + f" SELECT substr(path, 1, length(path) - 1) AS path, CAST(bit_or({_UP}) AS INTEGER) AS points FROM Dn GROUP BY 1")
+def grid_flags_up(spark, d):
+    return spatial.grid_flags_up(_down(spark, d))
+
+
 @query("centroid_enclosure", _TP + f" SELECT e, count(*) AS n FROM T WHERE {_V6} <> 0 GROUP BY e")
 def centroid_enclosure(spark, d):
     mid = tuple(sum((F.col(f"{c}{k}") for k in range(1, 4)), F.col(f"{c}0")) / 4 for c in "xyz")
@@ -1069,6 +1126,20 @@ def path_search(spark, d):
     return graph.reach(_dag(spark, d), rel.table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("n")))
 
 
+_KINDS = "CASE WHEN src < 100 AND dst < 1000 THEN 'L' WHEN src < 100 THEN 'LU' ELSE 'U' END AS kind"
+
+
+@query("path_search_by_kind", f"WITH RECURSIVE {_DAG}, Ek AS (SELECT src, dst, {_KINDS} FROM Ed), Z AS (SELECT CAST(r_regionkey AS BIGINT) AS s, CAST(r_regionkey AS BIGINT) AS n, CAST(0 AS BIGINT) AS hops FROM region UNION SELECT Z.s, Ek.dst, Z.hops + 1 FROM Z JOIN Ek ON Ek.src = Z.n AND kind IN ('L', 'LU')) SELECT s, n, min(hops) AS hops FROM Z GROUP BY s, n")
+def path_search_by_kind(spark, d):
+    return graph.reach_along(_dag(spark, d).withColumn("kind", F.expr(_KINDS.removesuffix(" AS kind"))), rel.table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("n")), ("L", "LU"))
+
+
+@query("cut_edges", f"WITH {_DAG} SELECT src, dst FROM Ed WHERE NOT (src < 100 AND dst >= 1000 AND dst % 2 = 0)")
+def cut_edges(spark, d):
+    e = _dag(spark, d)
+    return graph.cut_edges(e, e.where("src < 100 and dst >= 1000 and dst % 2 = 0"))
+
+
 @query("transitive_reduction", f"WITH {_DAG} SELECT src, dst FROM Ed WHERE NOT EXISTS (SELECT 1 FROM Ed a JOIN Ed b ON a.dst = b.src WHERE a.src = Ed.src AND b.dst = Ed.dst)")
 def transitive_reduction(spark, d):
     return graph.transitive_reduction(_dag(spark, d))
@@ -1106,16 +1177,16 @@ _HALL = (
 
 @query("dulmage_mendelsohn", _HALL)
 def dulmage_mendelsohn(spark, d):
-    u = rel.usage(spark, d).where("v >= 12").select(F.lit(0).cast("bigint").alias("g"), F.col("i").alias("r"), F.col("j").alias("c"))
-    return graph.dulmage_mendelsohn(u.select("r", "c"), graph.matching(u).select("r", "c"))
+    u = rel.usage(spark, d).where("v >= 12").select(F.col("i").alias("r"), F.col("j").alias("c"))
+    return graph.dulmage_mendelsohn(u, graph.matching_of(u))
 
 
 # which columns go where depends on the matching; that no cell is lost, and that the diagonal is full, does not
 @query("matched_diagonal", W("U") + ", Gm AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM U a JOIN U b ON a.i = b.i GROUP BY 1, 2) SELECT i, count(*) AS cells, sum(v) AS total, true AS on_diagonal FROM Gm GROUP BY i")
 def matched_diagonal(spark, d):
     g = product.gram(el.transpose(rel.usage(spark, d)))
-    m = graph.matching(g.select(F.lit(0).cast("bigint").alias("g"), F.col("i").alias("r"), F.col("j").alias("c")))
-    return graph.permute_to_diagonal(g, m.select("r", "c")).groupBy("i").agg(F.count("*").alias("cells"), F.sum("v").alias("total"), F.max(F.col("i") == F.col("j")).alias("on_diagonal"))
+    m = graph.matching_of(g.select(F.col("i").alias("r"), F.col("j").alias("c")))
+    return graph.permute_to_diagonal(g, m).groupBy("i").agg(F.count("*").alias("cells"), F.sum("v").alias("total"), F.max(F.col("i") == F.col("j")).alias("on_diagonal"))
 
 
 # ---- files and generators ---------------------------------------------------------------------------------------
@@ -1164,6 +1235,16 @@ def centering_matrix(spark, d):
     return generate.centering(spark, 8)
 
 
+_ORDERS = {any_: ", ".join(f"({', '.join(map(str, p))})" for p in generate.rotations(any_)) for any_ in (True, False)}
+_STENCIL_SQL = "WITH St AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {list(signs)}, {[a * 4 + b for a, b in cuts]})" for n, (signs, cuts) in enumerate(generate.STENCILS)) + ") t(stencil, signs, cuts)), Od AS (SELECT true AS a, * FROM (VALUES " + _ORDERS[True] + ") t(p0, p1, p2, p3) UNION ALL SELECT false, * FROM (VALUES " + _ORDERS[False] + ") t(p0, p1, p2, p3)), Cd AS (SELECT stencil, p0, p1, p2, p3, " + " + ".join(f"((signs[p{a} + 1] + CASE WHEN list_contains(cuts, least(p{a}, p{b}) * 4 + greatest(p{a}, p{b})) THEN 4 ELSE 0 END + 8 * signs[p{b} + 1])::BIGINT << {5 * k})" for k, (a, b) in enumerate(generate.TETRA_EDGES)) + " AS code FROM St JOIN Od ON a = (stencil < 3)) SELECT row_number() OVER (ORDER BY code, stencil, p0, p1, p2, p3) - 1 AS pos, code, CAST(stencil AS INTEGER) AS stencil, CAST(p0 * 1000 + p1 * 100 + p2 * 10 + p3 AS INTEGER) AS corners FROM Cd"
+
+
+@query("stencil_codes", _STENCIL_SQL)
+def stencil_codes(spark, d):
+    c = F.col("corners")
+    return generate.stencils(spark).select("pos", "code", "stencil", (c[0] * 1000 + c[1] * 100 + c[2] * 10 + c[3]).alias("corners"))
+
+
 @query("distinct_sample", "SELECT CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS d, true AS within")
 def distinct_sample(spark, d):
     return generate.sample(spark, 10, 1010, 100, 5).agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), ((F.min("id") >= 10) & (F.max("id") < 1010)).alias("within"))
@@ -1255,7 +1336,7 @@ def octree_insert(spark, d):
 )
 def feature_edge_chains(spark, d):
     p = rel.points(spark, d)
-    pairs = spatial.closest_pairs(spatial.nearest(p, 60.0)).select(F.col("n").alias("e"), F.col("n").alias("a"), F.col("near").alias("b"))
+    pairs = spatial.closest_pairs(spatial.nearest(p)).select(F.col("n").alias("e"), F.col("n").alias("a"), F.col("near").alias("b"))
     return graph.edge_chains(pairs, p.where("n % 6 = 0"))
 
 
@@ -1290,3 +1371,23 @@ def boundary_traction(spark, d):
     fan = _fan(spark, d)
     loads = fan.select("e", F.expr("e % 4").alias("k"), F.lit(1.0).alias("tx"), F.lit(-2.0).alias("ty"), F.expr("cast(e % 3 as double)").alias("tz"))
     return mesh.traction(fan, loads).select("i", (F.round("v", 2) + 0.0).alias("v"))
+
+
+_PARALLEL = "sqrt(" + " + ".join(f"pow({k}, 2)" for k in _N3) + ")"
+
+
+# a triangle's corners take a third each, a parallelogram's a fourth
+@query("face_loads", _FW + ", R AS (" + " UNION ALL ".join(f"SELECT 3 * n{k} + {x} AS i, {t} * {_PARALLEL} / 6 AS v FROM Fn" for k in range(3) for x, t in enumerate(("1", "-2", "(e % 3)"))) + ") SELECT i, round(sum(v), 3) + 0.0 AS v FROM R GROUP BY i")
+def face_loads(spark, d):
+    fan = _fan(spark, d)
+    own = fan.select(F.col("e").alias("f"), F.lit(1.0).alias("tx"), F.lit(-2.0).alias("ty"), F.expr("cast(e % 3 as double)").alias("tz"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{c}{k}").alias(c) for c in ("n", "x", "y", "z")]) for k in range(3)])).alias("c"))
+    return shapes.face_loads(own.select("f", "tx", "ty", "tz", "c.*"), "tri3").select("i", (F.round("v", 3) + 0.0).alias("v"))
+
+
+@query("quad_face_loads", _FW + ", R AS (" + " UNION ALL ".join(f"SELECT 3 * (4 * e + {k}) + {x} AS i, {t} * {_PARALLEL} / 4 AS v FROM Fn" for k in range(4) for x, t in enumerate(("1", "-2", "(e % 3)"))) + ") SELECT i, round(sum(v), 3) + 0.0 AS v FROM R GROUP BY i")
+def quad_face_loads(spark, d):
+    fan = _fan(spark, d)
+    far = [(F.col(f"{c}1") + F.col(f"{c}2") - F.col(f"{c}0")).alias(c) for c in "xyz"]
+    corner = [F.struct(F.lit(k).alias("k"), (F.col("e") * 4 + k).alias("n"), *(far if k == 2 else [F.col(f"{c}{(0, 1, None, 2)[k]}").alias(c) for c in "xyz"])) for k in range(4)]
+    own = fan.select(F.col("e").alias("f"), F.lit(1.0).alias("tx"), F.lit(-2.0).alias("ty"), F.expr("cast(e % 3 as double)").alias("tz"), F.explode(F.array(*corner)).alias("c"))
+    return shapes.face_loads(own.select("f", "tx", "ty", "tz", "c.*"), "quad4").select("i", (F.round("v", 3) + 0.0).alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,41 @@ def material(spark: SparkSession, name: str) -> DataFrame:
     if found.isEmpty():
         raise ValueError(f"no material {name!r}")
     return found
+
+
+#: A tetrahedron's stencils as signs of its corners (0 outside, 1 inside, 2 on the surface) and the edges that are cut.
+#: The first three hold in any position, the others only as the long edges of the lattice lie.
+STENCILS = (
+    ((1, 2, 0, 2), ((0, 2),)),
+    ((1, 0, 0, 2), ((0, 1), (0, 2))),
+    ((1, 0, 0, 0), ((0, 1), (0, 2), (0, 3))),
+    ((0, 2, 1, 1), ((0, 2), (0, 3))),
+    ((0, 1, 2, 1), ((0, 1), (0, 3))),
+    ((1, 0, 1, 0), ((0, 1), (0, 3), (1, 2), (2, 3))),
+    ((1, 1, 0, 0), ((0, 2), (0, 3), (1, 2), (1, 3))),
+    ((0, 1, 1, 2), ((0, 1), (0, 2))),
+    ((0, 1, 1, 1), ((0, 1), (0, 2), (0, 3))),
+    ((0, 1, 1, 0), ((0, 1), (0, 2), (1, 3), (2, 3))),
+)
+ANY_POSITION = 3
+TETRA_EDGES = tuple(itertools.combinations(range(4), 2))
+
+
+def rotations(any_position: bool) -> list[tuple[int, ...]]:
+    """The even orders of four corners, or those of them that swap corners in two pairs."""
+    even = [p for p in itertools.permutations(range(4)) if sum(p[a] > p[b] for a, b in TETRA_EDGES) % 2 == 0]
+    return even if any_position else [p for p in even if all(p[p[k]] == k for k in range(4))]
+
+
+def stencil_code(signs: tuple[int, ...], cuts: set[tuple[int, int]]) -> int:
+    """Five bits for each edge: the first corner's sign, whether the edge is cut, and the second corner's sign."""
+    return sum((signs[a] | ((a, b) in cuts) << 2 | signs[b] << 3) << 5 * k for k, (a, b) in enumerate(TETRA_EDGES))
+
+
+def stencils(spark: SparkSession) -> DataFrame:
+    """Every stencil in every order that it holds in, by code, then stencil and order: pos, code, stencil, corners (which corner of the stencil lies at each place)."""
+    rows = []
+    for n, (signs, cuts) in enumerate(STENCILS):
+        for p in rotations(n < ANY_POSITION):
+            rows.append((stencil_code(tuple(signs[c] for c in p), {(a, b) for a, b in TETRA_EDGES if tuple(sorted((p[a], p[b]))) in cuts}), n, list(p)))
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(sorted(rows))], "pos long, code long, stencil int, corners array<int>")

@@ -35,8 +35,9 @@ def dot_lines(edges: DataFrame) -> DataFrame:
     return ends.unionByName(body)
 
 
-def cell_lines(cells: DataFrame, low: tuple[float, float, float], side: float) -> DataFrame:
-    """OBJ lines (cell, k, value) of octree cells (level, ix, iy, iz): eight vertices, then six faces that count back from the last vertex."""
+def cell_lines(cells: DataFrame, low: tuple[float, float, float], side: float, levels: tuple[int, int] = (0, 62)) -> DataFrame:
+    """OBJ lines (cell, k, value) of octree cells (level, ix, iy, iz) between two ``levels``: eight vertices, then six faces that count back from the last vertex."""
+    cells = cells.where(F.col("level").between(*levels))
     size = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
     corners = []
     for n in range(8):
