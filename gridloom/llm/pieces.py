@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import bounded_batches, returning
 
 #: Words whose pieces, and pairs of pieces whose verdict, a generation of a worker's memory holds at most; it keeps two.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 600_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
 #: Bytes of texts (one at least) whose words are cut, and share a trie, at once.
 TEXTS = 8 << 20
 MARK = "▁"

@@ -28,7 +28,7 @@ SLICES = 256
 #: Sets of a group that meet in one task; WORDS shingles count as one set more. Larger groups go in parts.
 GROUP, WORDS = 512, 8192
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 
 
 def _pieces(raw: bytes) -> Iterator[list[bytes]]:
