@@ -5,8 +5,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gridloom.functions import shapes
 from gridloom.operators import elementwise as el
-from gridloom.operators import graph, kernels, mesh, product, reduce, spatial
+from gridloom.operators import fronts, graph, kernels, mesh, product, reduce, spatial
 from gridloom.sources import generate, matrix_market, obj
 
 D5 = np.array([[1.0, 2, 3], [0, 2, 1], [2, 1, 3]])
@@ -264,3 +265,60 @@ def test_text_sinks(spark):
     c = spark.createDataFrame([(1, 0, 1, 0)], "level int, ix long, iy long, iz long")
     lines = [r["value"] for r in text.cell_lines(c, (0.0, 0.0, 0.0), 4.0).orderBy("k").collect()]
     assert len(lines) == 14 and lines[0] == "v  0.0 2.0 0.0" and lines[7] == "v  2.0 4.0 2.0"
+
+
+def test_fronts_of_sparse_systems(spark):
+    rng, rows, want = np.random.default_rng(40), [], {}
+    for mat in range(8):
+        n = int(rng.integers(1, 30))
+        while True:
+            a = np.where(rng.random((n, n)) < min(1, 2.5 / n), rng.integers(-5, 6, (n, n)), 0).astype(float)
+            a[np.arange(n), rng.permutation(n)] = rng.integers(1, 6, n)
+            if abs(np.linalg.det(a)) > 0.5:
+                break
+        x = rng.integers(-4, 5, (n, 2)).astype(float)
+        b = a @ x
+        rows += [(mat, i, j, a[i, j]) for i in range(n) for j in range(n) if a[i, j]] + [(mat, i, n + k, b[i, k]) for i in range(n) for k in range(2)]
+        want |= {(mat, i, k): x[i, k] for i in range(n) for k in range(2)}
+    systems = spark.createDataFrame([(m, i, j, float(v)) for m, i, j, v in rows], "mat long, i long, j long, v double")
+    tree = fronts.supernodes(systems)
+    upper, levels = fronts.factorise(systems, tree)
+    node = {(r["mat"], r["c"]): r["node"] for r in tree.collect()}
+    left = [r for r in upper.select("mat", "node", "col").distinct().collect() if node[r["mat"], r["col"]] != r["node"]]
+    assert left and levels > 1  # some pivots were left to parents
+    got = {(r["mat"], r["i"], r["k"]): r["x"] for r in fronts.solve(systems).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+@pytest.mark.parametrize("kind", ["tri3", "tri6", "quad4", "quad8"])
+def test_face_loads_add_up_to_the_area(kind):
+    rng = np.random.default_rng(41)
+    p = rng.normal(size=(3, 3))
+    corners = p if kind.startswith("tri") else np.stack([p[0], p[1], p[1] + p[2] - p[0], p[2]])
+    nodes = np.concatenate([corners, [(corners[a] + corners[b]) / 2 for a, b in shapes.EDGES.get(kind, ())]]) if kind in shapes.EDGES else corners
+    area = np.linalg.norm(np.cross(p[1] - p[0], p[2] - p[0])) / (2 if kind.startswith("tri") else 1)
+    share = shapes.face_load(kind, nodes)
+    assert len(share) == shapes.NODES[kind] and np.isclose(share.sum(), area)
+    assert np.allclose(share @ nodes, area * corners.mean(axis=0))
+    for at in rng.random((5, 2)) / 2:
+        values, grads = shapes.shape(kind, at)
+        step = np.array([shapes.shape(kind, at + h)[0] - shapes.shape(kind, at - h)[0] for h in np.eye(2) * 1e-6]).T / 2e-6
+        assert np.isclose(values.sum(), 1) and np.allclose(step, grads, atol=1e-6)
+
+
+def test_running_sums_and_last_values(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "RUN", 7)
+    rows = [(i, i % 5, "s%d" % i if i % 11 == 3 else None) for i in range(100)]
+    got = reduce.running(spark.createDataFrame(rows, "i long, v long, s string").repartition(3), ["i"], sums=("v",), lasts=("s",)).collect()
+    total, last = 0, None
+    for r in sorted(got, key=lambda r: r["i"]):
+        total, last = total + r["v"], r["s"] or last
+        assert (r["gl_n"], r["sum_v"], r["last_s"]) == (r["i"], total, last)
+    assert len(got) == 100 and reduce.running(spark.createDataFrame([], "i long, v long"), ["i"], sums=("v",)).count() == 0
+
+
+def test_obj_indices_that_count_back(spark, tmp_path):
+    (tmp_path / "a.obj").write_text("v  0 0 0\nv  1 0 0\nv  0 1 0\ns 1\nf -3 -2 -1\nv  0 0 1\ns off\nf 1//1 2//2 -1\n")
+    nodes, corners = obj.read(spark, str(tmp_path / "a.obj"))
+    assert sorted(r["n"] for r in nodes.collect()) == [0, 1, 2, 3]
+    assert sorted(map(tuple, corners.select("p", "k", "n", "patch").collect())) == [(0, 0, 0, "1"), (0, 1, 1, "1"), (0, 2, 2, "1"), (1, 0, 0, "off"), (1, 1, 1, "off"), (1, 2, 3, "off")]
