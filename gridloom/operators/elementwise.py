@@ -39,6 +39,11 @@ def put(m: DataFrame, cells: DataFrame) -> DataFrame:
     return m.join(cells, ["i", "j"], "left_anti").unionByName(drop_zeros(cells))
 
 
+def remove(m: DataFrame, cells: DataFrame) -> DataFrame:
+    """``m`` without the cells (i, j)."""
+    return m.join(cells, ["i", "j"], "left_anti")
+
+
 def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("j").alias("i"), F.col("i").alias("j"), *[c for c in m.columns if c not in "ij"])
 
@@ -114,6 +119,21 @@ def support_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return odd.agg(F.count("*").alias("unmatched")).select("unmatched", (F.col("unmatched") == 0).alias("equal"))
 
 
+def set_bits(s: DataFrame, cells: DataFrame) -> DataFrame:
+    """A support (i, j) with the cells (i, j) set."""
+    return s.select("i", "j").unionAll(cells.select("i", "j")).distinct()
+
+
+def clear_bits(s: DataFrame, cells: DataFrame) -> DataFrame:
+    """A support (i, j) with the cells (i, j) cleared."""
+    return remove(s.select("i", "j"), cells)
+
+
+def bits_at(s: DataFrame, cells: DataFrame) -> DataFrame:
+    """Whether each of the asked ``cells`` (i, j) is set, as ``bit``."""
+    return cells.select("i", "j").join(s.select("i", "j").distinct().withColumn("bit", F.lit(True)), ["i", "j"], "left").select("i", "j", F.coalesce("bit", F.lit(False)).alias("bit"))
+
+
 def compact(m: DataFrame, mask: DataFrame) -> DataFrame:
     """The cells under a mask (i, j), numbered along rows; each row is numbered in a task of its own."""
     return m.join(mask, ["i", "j"], "left_semi").select("i", "j", "v", F.expr("row_number() over (partition by i order by j)").cast("bigint").alias("k"))

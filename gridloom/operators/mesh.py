@@ -29,6 +29,26 @@ def facet_neighbours(tets: DataFrame) -> DataFrame:
     return pairs.select(F.col("s")[0]["e"].alias("a"), F.col("s")[1]["e"].alias("b"), F.col("s")[0]["k"].alias("ka"), F.col("s")[1]["k"].alias("kb"))
 
 
+def polygon_neighbours(facets: DataFrame) -> DataFrame:
+    """(f, g, shared, edge, same_patch): the neighbours g of each facet f, of triangles (f, n0..n2, patch).
+
+    ``shared`` is the number of nodes in common: 2 at an edge, 1 at a corner.
+    ``edge`` is f's edge (0: n0 n1, 1: n1 n2, 2: n2 n0; -1 at a corner). Of
+    facets over the same three nodes only the one of the least id takes part.
+    """
+    row = F.struct("f", "n0", "n1", "n2", "patch")
+    once = facets.groupBy(F.array_sort(F.array("n0", "n1", "n2")).alias("key")).agg(F.min(row).alias("t")).select("t.*")
+    at = once.select("f", "patch", F.explode(F.array(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(1 << k).alias("m")) for k in range(3)])).alias("c")).select("f", "patch", "c.n", "c.m")
+    other = at.select(F.col("f").alias("g"), F.col("patch").alias("q"), "n")
+    pairs = at.join(other, "n").where("f <> g").groupBy("f", "g").agg(F.count("*").alias("shared"), F.bit_or("m").alias("m"), F.first(F.col("patch").eqNullSafe(F.col("q"))).alias("same_patch"))
+    return pairs.select("f", "g", "shared", F.when(F.col("m") == 3, 0).when(F.col("m") == 6, 1).when(F.col("m") == 5, 2).otherwise(-1).alias("edge"), "same_patch")
+
+
+def border_polygons(neighbours: DataFrame) -> DataFrame:
+    """Facets (f, edges) of :func:`polygon_neighbours` at the border of their patch, and how many neighbours they have over it by an edge."""
+    return neighbours.where("shared = 2 and not same_patch").groupBy("f").agg(F.count("*").alias("edges"))
+
+
 def shared_nodes(corner: DataFrame) -> DataFrame:
     """How many nodes each pair of elements a < b has in common (1 corner, 2 edge, 3 facet), counted by node."""
     c = corner.groupBy("n").agg(F.sort_array(F.collect_set("e")).alias("es")).where(F.size("es") > 1)

@@ -155,6 +155,17 @@ def running(df: DataFrame, order: list[str], sums: tuple[str, ...] = (), lasts:
     return met.drop("gl_run", *[f"s_{c}" for c in sums], *[f"l_{c}" for c in lasts])
 
 
+def compressed_rows(m: DataFrame) -> DataFrame:
+    """(i, start, js, vs): each row that has cells, its columns in order with their values, and how many cells lie before it."""
+    rows = m.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("c")).select("i", F.size("c").cast("bigint").alias("n"), "c.j", "c.v")
+    return running(rows, ["i"], sums=("n",)).select("i", (F.col("sum_n") - F.col("n")).alias("start"), F.col("j").alias("js"), F.col("v").alias("vs"))
+
+
+def expanded_rows(rows: DataFrame) -> DataFrame:
+    """The cells (i, j, v) of :func:`compressed_rows`."""
+    return rows.select("i", F.explode(F.arrays_zip("js", "vs")).alias("c")).select("i", F.col("c.js").alias("j"), F.col("c.vs").alias("v"))
+
+
 def piecewise_fit(df: DataFrame, length: int, order: list[str]) -> DataFrame:
     """Lines fitted to consecutive runs of ``length`` rows in order; the last may be shorter. center: the mean of the run's first and last x."""
     seg = numbered(df, order).withColumn("seg", F.floor(F.col("gl_n") / length).cast("bigint"))

@@ -80,6 +80,26 @@ def value_upsert(spark, d):
     return el.put(rel.supply(spark, d), cells)
 
 
+@query("value_remove", W("S") + " SELECT i, j, v FROM S WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_linenumber = 2 AND l_suppkey = i AND l_partkey = j)")
+def value_remove(spark, d):
+    cells = rel.table(spark, d, "lineitem").where("l_linenumber = 2").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"))
+    return el.remove(rel.supply(spark, d), cells)
+
+
+_CSR = W("S") + ", R AS (SELECT i, count(*) AS n, min(j) AS first_j, arg_max(v, j) AS last_v FROM S GROUP BY i)"
+
+
+@query("compressed_rows", _CSR + " SELECT i, CAST(sum(n) OVER (ORDER BY i) - n AS BIGINT) AS start, n, first_j, last_v FROM R")
+def compressed_rows(spark, d):
+    rows = reduce.compressed_rows(rel.supply(spark, d))
+    return rows.select("i", "start", F.size("js").cast("bigint").alias("n"), F.col("js")[0].alias("first_j"), F.element_at("vs", -1).alias("last_v"))
+
+
+@query("compressed_round_trip", W("S") + " SELECT i, j, v FROM S")
+def compressed_round_trip(spark, d):
+    return reduce.expanded_rows(reduce.compressed_rows(rel.supply(spark, d)))
+
+
 @query("transpose", W("S") + " SELECT j AS i, i AS j, v FROM S")
 def transpose(spark, d):
     return el.transpose(rel.supply(spark, d))
@@ -171,6 +191,26 @@ def support_equality(spark, d):
     return el.support_equal(*_supports(spark, d))
 
 
+_EDIT = _SUP + ", E AS ((SELECT * FROM A UNION SELECT s_suppkey, s_suppkey FROM supplier) EXCEPT SELECT i, j FROM S WHERE v = 30)"
+
+
+def _edited(spark, d):
+    a = _supports(spark, d)[0]
+    diagonal = rel.table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("j"))
+    return el.clear_bits(el.set_bits(a, diagonal), rel.supply(spark, d).where("v = 30")), diagonal
+
+
+@query("support_edit", _EDIT + " SELECT CASE j WHEN 2 THEN 7 WHEN 7 THEN 2 ELSE j END AS i, i AS j FROM E")
+def support_edit(spark, d):
+    return el.swap(el.transpose(_edited(spark, d)[0]), "i", 2, 7)
+
+
+@query("support_test", _EDIT + ", Q AS (SELECT s_suppkey AS i, s_suppkey + k AS j FROM supplier, range(0, 3) r(k)) SELECT i, j, EXISTS (SELECT 1 FROM E WHERE E.i = Q.i AND E.j = Q.j) AS bit FROM Q")
+def support_test(spark, d):
+    edited, diagonal = _edited(spark, d)
+    return el.bits_at(edited, diagonal.select("i", F.explode(F.array(*[F.col("j") + k for k in range(3)])).alias("j")))
+
+
 @query("masked_compact", _SUP + " SELECT S.i, S.j, v, row_number() OVER (PARTITION BY S.i ORDER BY S.j) AS k FROM S SEMI JOIN A ON S.i = A.i AND S.j = A.j")
 def masked_compact(spark, d):
     s = rel.supply(spark, d)
@@ -677,6 +717,26 @@ def node_support(spark, d):
     return s.select("n", F.size("es").cast("bigint").alias("k"), F.col("es")[0].alias("first_e"), F.element_at("es", -1).alias("last_e"))
 
 
+# triangles that meet at edges and corners, some of them twins, some of these turned round
+_TRI = "WITH F0 AS (SELECT p_partkey AS f, p_partkey // 2 AS n0, 10000000 + p_partkey // 3 AS n1, 20000000 + p_partkey // 5 AS n2, p_partkey // 7 AS patch FROM part), F1 AS (SELECT * FROM F0 UNION ALL SELECT f + 30000000, n2, n1, n0, patch FROM F0 WHERE f % 10 = 3), F2 AS (SELECT * FROM F1 WHERE f IN (SELECT min(f) FROM F1 GROUP BY list_sort([n0, n1, n2]))), C AS (" + " UNION ALL ".join(f"SELECT f, patch, n{k} AS n, {k} AS k FROM F2" for k in range(3)) + "), N AS (SELECT a.f, b.f AS g, count(*) AS shared, CASE WHEN count(*) = 1 THEN -1 WHEN sum(a.k) = 1 THEN 0 WHEN sum(a.k) = 3 THEN 1 ELSE 2 END AS edge, any_value(a.patch = b.patch) AS same_patch FROM C a JOIN C b ON a.n = b.n AND a.f <> b.f GROUP BY a.f, b.f)"
+
+
+def _triangles(spark, d):
+    part = lambda k: F.floor(F.col("p_partkey") / k).cast("bigint")
+    f = rel.table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("f"), part(2).alias("n0"), (part(3) + 10000000).alias("n1"), (part(5) + 20000000).alias("n2"), part(7).alias("patch"))
+    return f.unionAll(f.where("f % 10 = 3").select(F.col("f") + 30000000, "n2", "n1", "n0", "patch"))
+
+
+@query("polygon_neighbours", _TRI + " SELECT * FROM N")
+def polygon_neighbours(spark, d):
+    return mesh.polygon_neighbours(_triangles(spark, d))
+
+
+@query("border_polygons", _TRI + " SELECT f, count(*) AS edges FROM N WHERE shared = 2 AND NOT same_patch GROUP BY f")
+def border_polygons(spark, d):
+    return mesh.border_polygons(mesh.polygon_neighbours(_triangles(spark, d)))
+
+
 @query("facet_neighbours", _FW + " SELECT a.e AS a, b.e AS b FROM Fn a JOIN Fn b ON b.e = a.e + 1")
 def facet_neighbours(spark, d):
     return mesh.facet_neighbours(_fan(spark, d)).select("a", "b")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from gridloom.operators.reduce import running
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str, first_object: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (n, x, y, z) and polygon corners (p, k, n, patch) of an OBJ file, zero-based.
 
     Faces may be ``a``, ``a//n`` or ``a/t/n``; a negative index counts back from
     the last vertex before the face. A polygon's patch is the smoothing group
     in force at its line (null: none yet). Numbers follow the file's order.
+    ``first_object`` stops at the first vertex after a face, where the next
+    object begins.
     """
     # the order of a folder's files is that of their names
     at = F.concat_ws("|", "_metadata.file_path", F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
@@ -21,6 +23,9 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     kinds = lines.select("at", F.substring("t", 1, 1).alias("kind"), F.split("t", r"\s+").alias("p"))
     one = lambda kind: F.when(F.col("kind") == kind, 1).otherwise(0)
     laid = running(kinds.withColumns({"v": one("v"), "f": one("f"), "s": F.when(F.col("kind") == "s", F.col("p")[1])}), ["at"], sums=("v", "f"), lasts=("s",))
+    if first_object:
+        end = laid.where("kind = 'v' and sum_f > 0").agg(F.min("gl_n")).first()[0]
+        laid = laid if end is None else laid.where(F.col("gl_n") < end)
     nodes = laid.where("kind = 'v'").select((F.col("sum_v") - 1).cast("bigint").alias("n"), *[F.col("p")[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")])
     faces = laid.where("kind = 'f'").select((F.col("sum_f") - 1).cast("bigint").alias("p"), "sum_v", F.posexplode(F.expr("slice(p, 2, size(p) - 1)")).alias("k", "c"), F.col("last_s").alias("patch"))
     index = F.substring_index("c", "/", 1).cast("bigint")

@@ -322,3 +322,13 @@ def test_obj_indices_that_count_back(spark, tmp_path):
     nodes, corners = obj.read(spark, str(tmp_path / "a.obj"))
     assert sorted(r["n"] for r in nodes.collect()) == [0, 1, 2, 3]
     assert sorted(map(tuple, corners.select("p", "k", "n", "patch").collect())) == [(0, 0, 0, "1"), (0, 1, 1, "1"), (0, 2, 2, "1"), (1, 0, 0, "off"), (1, 1, 1, "off"), (1, 2, 3, "off")]
+
+
+def test_obj_first_object(spark, tmp_path):
+    """The first object ends at the first vertex after a face; later objects count their vertices on."""
+    (tmp_path / "two.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\nf -1 -2 -3\nv 5 5 5\nv 6 5 5\nv 5 6 5\nf 4 5 6\n")
+    (tmp_path / "one.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\n")
+    shape = lambda name, first: tuple(t.count() for t in obj.read(spark, str(tmp_path / name), first))
+    assert shape("two.obj", True) == (3, 6)
+    assert shape("two.obj", False) == (6, 9)
+    assert shape("one.obj", True) == (3, 3)
