@@ -65,6 +65,19 @@ def supernodes(systems: DataFrame) -> DataFrame:
     return pattern.groupBy("mat").applyInPandas(run, "mat long, c long, node long, parent long, level int")
 
 
+def supernode_edges(systems: DataFrame, tree: DataFrame) -> DataFrame:
+    """The task graph's edges (mat, src, dst, kind) between the supernodes of ``tree`` (mat, c, node).
+
+    src needs dst, which is before it: for a row of its own that has a cell
+    there (L), a column (U), or both (LU). Cells of the matrix count, fill does
+    not; an edge is formed where cells are, by two joins and one sum.
+    """
+    of = lambda c: tree.select("mat", F.col("c").alias(c), F.col("node").alias(f"n{c}"))
+    met = systems.where(F.abs("v") > 0).select("mat", "i", "j").join(of("i"), ["mat", "i"]).join(of("j"), ["mat", "j"]).where("ni <> nj")
+    bits = met.groupBy("mat", F.greatest("ni", "nj").alias("src"), F.least("ni", "nj").alias("dst")).agg(F.bit_or(F.when(F.col("ni") > F.col("nj"), 1).otherwise(2)).alias("b"))
+    return bits.select("mat", "src", "dst", F.element_at(F.array(F.lit("L"), F.lit("U"), F.lit("LU")), F.col("b")).alias("kind"))
+
+
 def eliminate(rows: np.ndarray, cols: np.ndarray, f: np.ndarray, own_r: np.ndarray, own_c: np.ndarray, last: bool, floor: float) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Pivots (places of row and column, in order) of a front, and the front once they are eliminated.
 

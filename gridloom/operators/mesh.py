@@ -129,6 +129,16 @@ def patch_labels(facets: DataFrame, angle: float) -> DataFrame:
     return facets.select("f").join(found, "f", "left").select("f", F.coalesce("root", "f").alias("patch"))
 
 
+def surface(nodes: DataFrame, corners: DataFrame, angle: float = 24.0) -> DataFrame:
+    """Triangles (f, n0..n2, x0..z2, patch) of nodes and polygon corners as an OBJ file gives them, labelled anew by ``patch_labels``.
+
+    Polygons with more or fewer corners than three are left out.
+    """
+    at = corners.select("p", "k", "n").join(nodes, "n").groupBy(F.col("p").alias("f")).agg(F.sort_array(F.collect_list(F.struct("k", "n", "x", "y", "z"))).alias("s")).where(F.size("s") == 3)
+    facets = at.select("f", *[F.get("s", F.lit(k))[c].alias(f"{c}{k}") for k in range(3) for c in ("n", "x", "y", "z")])
+    return facets.join(patch_labels(facets, angle), "f")
+
+
 def worst(elements: DataFrame, quality: str, good: float, k: int) -> DataFrame:
     """The ``k`` elements of least quality below ``good``, ties by id."""
     return elements.where(F.col(quality) < good).orderBy(quality, "e").limit(k)

@@ -1218,6 +1218,14 @@ def task_dag_edges(spark, d):
     return graph.unite_kinds(graph.task_edges(u).unionAll(more))
 
 
+@query("supernode_edges", "WITH M AS (SELECT DISTINCT l_orderkey % 3 AS mat, l_suppkey AS i, l_partkey % 100 AS j FROM lineitem WHERE l_linenumber = 1), N AS (SELECT mat, i // 8 * 8 AS a, j // 8 * 8 AS b FROM M) SELECT mat, greatest(a, b) AS src, least(a, b) AS dst, CASE WHEN bool_or(a > b) AND bool_or(a < b) THEN 'LU' WHEN bool_or(a > b) THEN 'L' ELSE 'U' END AS kind FROM N WHERE a <> b GROUP BY ALL")
+def supernode_edges(spark, d):
+    at = rel.table(spark, d, "lineitem").where("l_linenumber = 1")
+    m = at.select((F.col("l_orderkey") % 3).alias("mat"), F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 100).alias("j"), F.lit(1.0).alias("v"))
+    cells = m.select("mat", F.explode(F.array("i", "j")).alias("c")).distinct()
+    return fronts.supernode_edges(m, cells.withColumn("node", F.floor(F.col("c") / 8).cast("bigint") * 8))
+
+
 def _bipartite(spark, d):
     s = rel.table(spark, d, "supplier").select(F.col("s_suppkey"), F.col("s_nationkey").cast("bigint").alias("g"))
     return rel.supply(spark, d).join(s, F.col("i") == F.col("s_suppkey")).select("g", F.col("i").alias("r"), F.col("j").alias("c"))
@@ -1282,6 +1290,23 @@ def obj_soup_round_trip(spark, d):
     return obj.tetrahedra_of_soup(obj.read(spark, path)[1]).select("e", "n0", "n3")
 
 
+# the four faces of an element are far apart
+@query("obj_loose_faces", _TP + " SELECT n0 AS e, n0, n1, n2, n3 FROM T")
+def obj_loose_faces(spark, d):
+    faces = F.array(*[F.array(*[F.col(f"n{i}") for i in range(4) if i != k]) for k in range(4)])
+    c = rel.tetrahedra(spark, d).select("e", F.posexplode(faces).alias("f", "ns")).select((F.col("e") + F.col("f").cast("bigint") * 1000000000).alias("p"), F.posexplode("ns").alias("k", "n"))
+    return obj.tetrahedra_of_faces(c)
+
+
+@query("obj_surface_patches", ORACLES["patch_labels"])
+def obj_surface_patches(spark, d):
+    p, path = rel.points(spark, d), _scratch(spark)
+    c = p.select(F.explode(F.array(*[F.struct((F.col("n") - k).alias("p"), F.lit(k).alias("k")) for k in range(3)])).alias("c"), "n").select("c.p", "c.k", "n")
+    whole = c.groupBy("p").agg(F.collect_list(F.struct("k", "n")).alias("s")).where(F.size("s") == 3).select("p", F.explode("s").alias("c")).select("p", "c.k", "c.n")
+    obj.lines_of(p, whole).repartitionByRange(4, "ord").sortWithinPartitions("ord").select("value").write.text(path)
+    return mesh.surface(*obj.read(spark, path, first_object=True), 60.0).select("f", "patch")
+
+
 @query("obj_write_round_trip", W("P", "T") + ", Nb AS (SELECT *, row_number() OVER (ORDER BY e) - 1 AS r FROM T) SELECT r AS e, 4 * r AS n0, 4 * r + 1 AS n1, 4 * r + 2 AS n2, 4 * r + 3 AS n3, x0, z3 FROM Nb")
 def obj_write_round_trip(spark, d):
     path = _scratch(spark)

@@ -38,6 +38,19 @@ def tetrahedra_of_soup(corners: DataFrame) -> DataFrame:
     return runs.select("e", *[F.col("ns")[k].alias(f"n{k}") for k in range(4)])
 
 
+def tetrahedra_of_faces(corners: DataFrame) -> DataFrame:
+    """(e, n0..n3) of a soup whose faces come in any order; e: the least node.
+
+    Tetrahedra have four nodes of their own, so every node is on a face with
+    its tetrahedron's least one: two sums by key, no search. What does not
+    come to four nodes is left out.
+    """
+    faces = corners.groupBy("p").agg(F.min("n").alias("least"), F.collect_list("n").alias("ns"))
+    own = faces.select(F.explode("ns").alias("n"), "least").groupBy("n").agg(F.min("least").alias("e"))
+    met = own.groupBy("e").agg(F.sort_array(F.collect_list("n")).alias("ns")).where(F.size("ns") == 4)
+    return met.select("e", *[F.get("ns", F.lit(k)).alias(f"n{k}") for k in range(4)])
+
+
 def write_tetrahedra(tets: DataFrame, path: str) -> None:
     """Write tetrahedra (e, x0..z3) as OBJ text: per element four vertices, then four faces that count back from the last vertex."""
     corner = lambda k: F.concat_ws(" ", F.lit("v "), *[F.col(f"{c}{k}").cast("string") for c in "xyz"])

@@ -332,3 +332,21 @@ def test_obj_first_object(spark, tmp_path):
     assert shape("two.obj", True) == (3, 6)
     assert shape("two.obj", False) == (6, 9)
     assert shape("one.obj", True) == (3, 3)
+
+
+def test_obj_loose_faces_leave_out_what_is_no_tetrahedron(spark):
+    faces = [(9, (4, 5, 6)), (2, (0, 1, 2)), (7, (0, 2, 3)), (1, (0, 1, 3)), (5, (1, 2, 3))]
+    c = spark.createDataFrame([(p, k, n) for p, ns in faces for k, n in enumerate(ns)], "p long, k int, n long")
+    assert [tuple(r) for r in obj.tetrahedra_of_faces(c).collect()] == [(0, 0, 1, 2, 3)]
+    assert obj.tetrahedra_of_faces(c.limit(0)).count() == 0
+
+
+def test_supernode_edges_follow_the_tree(spark):
+    from gridloom.operators import fronts
+
+    cells = [(0, 0), (1, 1), (2, 2), (3, 3), (0, 1), (1, 0), (3, 1), (2, 3), (0, 4)]
+    m = spark.createDataFrame([(5, i, j, 1.0) for i, j in cells], "mat long, i long, j long, v double")
+    tree = spark.createDataFrame([(5, 0, 0), (5, 1, 0), (5, 2, 2), (5, 3, 3)], "mat long, c long, node long")
+    assert sorted(tuple(r) for r in fronts.supernode_edges(m, tree).collect()) == [(5, 3, 0, "L"), (5, 3, 2, "U")]
+    own = fronts.supernode_edges(m, fronts.supernodes(m)).collect()
+    assert all(r["src"] > r["dst"] for r in own)
