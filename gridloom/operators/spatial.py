@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import cross, crosses, dot, encloses, point, sub
-from gridloom.operators.reduce import bounding_box
+from gridloom.operators import crossings
+from gridloom.operators.reduce import bounding_box, numbered
 from gridloom.plans.loops import stored
 
 AXES = "xyz"
@@ -194,19 +196,83 @@ def points_in_tetrahedra(probes: DataFrame, tets: DataFrame, cell: float | None
     return met.where(encloses((F.col("x"), F.col("y"), F.col("z")), tuple(point(k) for k in range(4)))).select("p", "e")
 
 
-def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float, top: float, axis: str = "z") -> DataFrame:
-    """Crossings (ray, f, t, k) of rays (ray, x, y, z from) along +x, +y or +z with triangles (f, x0..z2), up to the coordinate ``top``, in order along each ray.
+#: Rays of a block.
+RAYS = 2_048
+#: Blocks are dealt to so many tasks at most.
+TASKS = 4_096
 
-    Such a ray stays in one cell of the two other axes, so the join is on these.
+
+def _in_blocks(items: DataFrame, each: int) -> DataFrame:
+    """``items`` with ``gl_b``: blocks of ``each`` rows that lie together, by the places of their middles (gl_x, gl_y, gl_z) on a Z-order curve."""
+    box = items.agg(*[f(f"gl_{c}").alias(f"{c}{s}") for c in AXES for f, s in ((F.min, "m"), (F.max, "p"))]).first()
+    z = F.lit(0).cast("bigint")
+    for k, c in enumerate(AXES):
+        low, side = box[f"{c}m"], (box[f"{c}p"] or 0) - (box[f"{c}m"] or 0)
+        at = F.floor((F.col(f"gl_{c}") - low) / side * 1023).cast("bigint") if side > 0 else F.lit(0).cast("bigint")
+        for bit in range(10):
+            z += F.call_function("shiftright", at, F.lit(bit)).bitwiseAND(1) * (1 << (3 * bit + k))
+    placed = numbered(items.withColumn("gl_z", z).drop("gl_x", "gl_y"), ["gl_z"])
+    return placed.withColumn("gl_b", F.floor(F.col("gl_n") / each).cast("bigint")).drop("gl_n", "gl_z")
+
+
+def _dealt(triangles: DataFrame, blocks: DataFrame, axes: str) -> DataFrame:
+    """Triangles with each block (gl_b, xm..zp) whose box theirs overlaps along ``axes``.
+
+    Both are dealt to cells, about as many as there are blocks, over the room
+    that the blocks take; a pair is reported by the cell of its overlap's lower
+    corner.
+    """
+    room = blocks.agg(F.count("*").alias("n"), *[F.min(f"{c}m").alias(f"{c}m") for c in axes], *[F.max(f"{c}p").alias(f"{c}p") for c in axes]).first()
+    per = math.ceil(room["n"] ** (1 / len(axes)))
+    own = {c: ([F.col(f"{c}{k}") for k in range(3)]) for c in axes}
+    t = triangles.withColumns({f"gl_{c}m": F.least(*own[c]) for c in axes} | {f"gl_{c}p": F.greatest(*own[c]) for c in axes})
+    for c in axes:
+        low, high = room[f"{c}m"], room[f"{c}p"]
+        cell = lambda v, low=low, high=high: F.greatest(F.lit(0), F.least(F.lit(per - 1), F.floor((v - low) / (high - low) * per))) if low is not None and high > low else F.lit(0)
+        t = t.where((F.col(f"gl_{c}p") >= F.lit(low)) & (F.col(f"gl_{c}m") <= F.lit(high))).withColumn(f"gl_c{c}", F.explode(F.sequence(cell(F.col(f"gl_{c}m")), cell(F.col(f"gl_{c}p")))))
+        blocks = blocks.withColumn(f"gl_c{c}", F.explode(F.sequence(cell(F.col(f"{c}m")), cell(F.col(f"{c}p"))))).withColumn(f"gl_f{c}", cell(F.col(f"{c}m")))
+        t = t.withColumn(f"gl_g{c}", cell(F.col(f"gl_{c}m")))
+    met = t.join(blocks, [f"gl_c{c}" for c in axes])
+    for c in axes:
+        met = met.where((F.col(f"gl_{c}m") <= F.col(f"{c}p")) & (F.col(f"{c}m") <= F.col(f"gl_{c}p"))).where(F.greatest(f"gl_f{c}", f"gl_g{c}") == F.col(f"gl_c{c}"))
+    return met.drop(*[f"gl_{k}{c}" for c in axes for k in "cfg"], *[f"gl_{c}{k}" for c in axes for k in "mp"])
+
+
+def _met(items: DataFrame, triangles: DataFrame, bounds: list[tuple[Column, Column]], axes: str, kernel: Callable, schema: str) -> DataFrame:
+    """What ``kernel`` makes of each block of ``items`` with the triangles (f, x0..z2) that its box overlaps along ``axes``; ``bounds`` are an item's."""
+    n = items.agg(F.max("gl_b")).first()[0]
+    if n is None:
+        return items.sparkSession.createDataFrame([], schema)
+    tasks = min(TASKS, n + 1)
+    blocks = items.groupBy("gl_b").agg(*[g(v).alias(f"{c}{s}") for c, b in zip(AXES, bounds, strict=True) for g, s, v in ((F.min, "m", b[0]), (F.max, "p", b[1]))])
+    dealt = _dealt(triangles.select(F.col("f").cast("bigint").alias("f"), *[F.col(f"{c}{k}").cast("double").alias(f"{c}{k}") for k in range(3) for c in AXES]), blocks, axes)
+    dealt = dealt.select(F.col("gl_b").alias("gl_at"), "f", *[f"{c}{k}" for k in range(3) for c in AXES])
+    return items.repartition(tasks, "gl_b").groupBy("gl_b").cogroup(dealt.repartition(tasks, "gl_at").groupBy("gl_at")).applyInArrow(kernel, schema)
+
+
+def _ray_blocks(rays: DataFrame, triangles: DataFrame, axis: str, kernel: Callable, schema: str) -> DataFrame:
+    k = AXES.index(axis)
+    axes = AXES[(k + 1) % 3], AXES[(k + 2) % 3], axis
+    at = [F.col(c).cast("double") for c in AXES]
+    items = _in_blocks(rays.select(F.col("ray").cast("bigint").alias("ray"), *[v.alias(f"p{c}") for c, v in zip(AXES, at, strict=True)], *[v.alias(f"gl_{c}") for c, v in zip(AXES, at, strict=True)]), RAYS)
+    return _met(items, triangles, [(F.col(f"p{c}"),) * 2 for c in AXES], "".join(axes[:2]), kernel(axes), schema)
+
+
+def ray_hits(rays: DataFrame, triangles: DataFrame, axis: str = "z") -> DataFrame:
+    """Crossings (ray, f, t, k) of rays (ray, x, y, z from) along +x, +y or +z with triangles (f, x0..z2), in order along each ray; t is the place along the axis.
+
+    A ray crosses a triangle whose inside it passes through beyond its start;
+    edges are no inside. Rays stay in their block, to which the triangles come.
+    """
+    return _ray_blocks(rays, triangles, axis, crossings.ray_hits, "ray long, f long, t double, k long")
+
+
+def ray_counts(rays: DataFrame, triangles: DataFrame, axis: str = "z") -> DataFrame:
+    """How many triangles each ray that meets some crosses (ray, hits), as :func:`ray_hits` has them.
+
+    A triangle that all rays of a part of a block cross is counted for them at once.
     """
-    t, flat = triangles, [c for c in AXES if c != axis]
-    for c in flat:
-        own = [F.col(f"{c}{k}") for k in range(3)]
-        t = t.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.least(*own) / cell), F.floor(F.greatest(*own) / cell))))
-    met = rays.select("ray", "x", "y", "z", *[F.floor(F.col(c) / cell).alias(f"c{c}") for c in flat]).join(t, [f"c{c}" for c in flat])
-    a, b = tuple(F.col(c) for c in AXES), tuple(F.lit(top) if c == axis else F.col(c) for c in AXES)
-    met = met.withColumn("t", crosses(a, b, point(0), point(1), point(2))).where("t is not null")
-    return met.select("ray", "f", "t", F.expr("row_number() over (partition by ray order by t, f)").cast("bigint").alias("k"))
+    return _ray_blocks(rays, triangles, axis, crossings.ray_counts, "ray long, hits long").groupBy("ray").agg(F.sum("hits").alias("hits"))
 
 
 def segment_hits(segments: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
@@ -226,9 +292,9 @@ def segment_hits(segments: DataFrame, triangles: DataFrame, cell: float | None =
     return met.select("id", "f", "t", F.when(along > 0, 2).otherwise(-2).alias("status"), F.expr("row_number() over (partition by id order by t, f)").cast("bigint").alias("k"))
 
 
-def inside_by_parity(hits: DataFrame) -> DataFrame:
-    """Rays whose start is inside a closed surface: an odd number of crossings."""
-    return hits.groupBy("ray").agg((F.count("*") % 2 == 1).alias("inside"))
+def inside_by_parity(counts: DataFrame) -> DataFrame:
+    """Rays (of :func:`ray_counts`) whose start is inside a closed surface: an odd number of crossings."""
+    return counts.select("ray", (F.col("hits") % 2 == 1).alias("inside"))
 
 
 def level_for(side: float, granularity: float) -> int:
@@ -338,13 +404,12 @@ def find_nodes(nodes: DataFrame, x: float, y: float, z: float, err: float, most:
     return nodes.where(near).orderBy("n").limit(most)
 
 
-def lattice_inside(triangles: DataFrame, low: tuple[float, float, float], step: float, n: tuple[int, int, int], cell: float) -> DataFrame:
-    """Points (id, x, y, z) of a lattice that are inside a closed surface, by the parity of upward rays."""
+def lattice_inside(triangles: DataFrame, low: tuple[float, float, float], step: float, n: tuple[int, int, int], cell: float | None = None) -> DataFrame:
+    """Points (id, x, y, z) of a lattice that are inside a closed surface, by the parity of upward rays. ``cell`` is no longer needed: blocks follow the rays."""
     nx, ny, nz = n
     i = F.col("id")
     grid = triangles.sparkSession.range(nx * ny * nz).select("id", (low[0] + step * (i % nx)).alias("x"), (low[1] + step * (F.floor(i / nx) % ny)).alias("y"), (low[2] + step * F.floor(i / (nx * ny))).alias("z"))
-    hits = ray_hits(grid.withColumnRenamed("id", "ray"), triangles, cell, low[2] + step * (nz + 1) * 1000)
-    inside = inside_by_parity(hits).where("inside").select(F.col("ray").alias("id"))
+    inside = inside_by_parity(ray_counts(grid.withColumnRenamed("id", "ray"), triangles)).where("inside").select(F.col("ray").alias("id"))
     return grid.join(inside, "id", "left_semi")
 
 

@@ -350,3 +350,41 @@ def test_supernode_edges_follow_the_tree(spark):
     assert sorted(tuple(r) for r in fronts.supernode_edges(m, tree).collect()) == [(5, 3, 0, "L"), (5, 3, 2, "U")]
     own = fronts.supernode_edges(m, fronts.supernodes(m)).collect()
     assert all(r["src"] > r["dst"] for r in own)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("axis", ["x", "y", "z"])
+def test_ray_counts_against_each_pair(spark, axis, monkeypatch):
+    from gridloom.operators import crossings
+
+    monkeypatch.setattr(spatial, "RAYS", 60)
+    monkeypatch.setattr(crossings, "LEAF", 8)
+    rng = np.random.default_rng(5)
+    rays, tris = rng.integers(-50, 50, (150, 3)).astype(float), rng.integers(-60, 60, (90, 3, 3)).astype(float)
+    tris[0, :, "xyz".index(axis)] = 9000.0  # far up is a crossing too
+    u, v, w = (("xyz".index(axis) + k) % 3 for k in (1, 2, 3))
+    want = {}
+    for n, q in enumerate(rays):
+        for f, t in enumerate(tris):
+            s = [(t[b][u] - t[a][u]) * (q[v] - t[a][v]) - (t[b][v] - t[a][v]) * (q[u] - t[a][u]) for a, b in ((0, 1), (1, 2), (2, 0))]
+            if min(s) > 0 or max(s) < 0:
+                h = (t[0][w] * s[1] + t[1][w] * s[2] + t[2][w] * s[0]) / sum(s)
+                if h > q[w]:
+                    want.setdefault(n, []).append((h, f))
+    r = spark.createDataFrame([(n, *map(float, q)) for n, q in enumerate(rays)], "ray long, x double, y double, z double")
+    t = spark.createDataFrame([(f, *map(float, t.ravel())) for f, t in enumerate(tris)], "f long, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz"))
+    counted = spatial.ray_counts(r, t, axis)
+    assert {x["ray"]: x["hits"] for x in counted.collect()} == {n: len(h) for n, h in want.items()}
+    assert "Window" not in _plan(counted)
+    hits = [(x["ray"], x["f"], x["t"], x["k"]) for x in spatial.ray_hits(r, t, axis).collect()]
+    assert sorted(hits) == sorted((n, f, h, k) for n, l in want.items() for k, (h, f) in enumerate(sorted(l), 1))
+    assert spatial.ray_counts(r, t.limit(0), axis).count() == 0 and spatial.ray_counts(r.limit(0), t, axis).count() == 0
+
+
+def test_rays_on_an_edge_or_the_plane_do_not_cross(spark):
+    t = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 4.0, 0.0, 1.0, 0.0, 4.0, 1.0)], "f long, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz"))
+    r = spark.createDataFrame([(0, 2.0, 0.0, 0.0), (1, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 0.0)], "ray long, x double, y double, z double")
+    assert [tuple(x) for x in spatial.ray_counts(r, t).collect()] == [(2, 1)]
