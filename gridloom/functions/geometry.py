@@ -178,12 +178,13 @@ def crosses(p: Point, q: Point, a: Point, b: Point, c: Point) -> Column:
     return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= 1), t)
 
 
-#: The share of each corner that is not free in the centroid of a tetrahedron with one free corner, and with two.
-BIAS_ONE, BIAS_TWO = 0.31, 0.40
+#: The share of each corner that is not free in the centroid of a tetrahedron with one free corner, and with two; and the share of a free one
+#: (written out: 1 - 3 * 0.31 is not 0.07 in doubles, and a centroid may lie on a facet's plane).
+BIAS_ONE, BIAS_TWO, FREE_ONE, FREE_TWO = 0.31, 0.40, 0.07, 0.1
 
 
 def biased_centroid(ps: tuple[Point, Point, Point, Point], free: tuple[Column, Column, Column, Column]) -> Point:
     """The centroid, drawn towards the corners on the surface: one or two ``free`` corners share what the others leave; else all weigh alike."""
     n = sum((f.cast("int") for f in free[1:]), free[0].cast("int"))
-    weights = [F.when(n == 1, F.when(f, 1 - 3 * BIAS_ONE).otherwise(BIAS_ONE)).when(n == 2, F.when(f, (1 - 2 * BIAS_TWO) / 2).otherwise(BIAS_TWO)).otherwise(0.25) for f in free]
+    weights = [F.when(n == 1, F.when(f, FREE_ONE).otherwise(BIAS_ONE)).when(n == 2, F.when(f, FREE_TWO).otherwise(BIAS_TWO)).otherwise(0.25) for f in free]
     return tuple(sum((p[c] * w for p, w in zip(ps[1:], weights[1:], strict=True)), ps[0][c] * weights[0]) for c in range(3))

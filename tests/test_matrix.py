@@ -388,3 +388,14 @@ def test_rays_on_an_edge_or_the_plane_do_not_cross(spark):
     t = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 4.0, 0.0, 1.0, 0.0, 4.0, 1.0)], "f long, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz"))
     r = spark.createDataFrame([(0, 2.0, 0.0, 0.0), (1, 1.0, 1.0, 1.0), (2, 1.0, 1.0, 0.0)], "ray long, x double, y double, z double")
     assert [tuple(x) for x in spatial.ray_counts(r, t).collect()] == [(2, 1)]
+
+
+def test_biased_centroid_weighs_as_written(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.functions import geometry as geo
+
+    ps = tuple((F.lit(100.0 if k == 0 else 0.0),) * 3 for k in range(4))
+    flags = lambda n: tuple(F.lit(k < n) for k in range(4))
+    got = spark.range(1).select(geo.biased_centroid(ps, flags(1))[0].alias("a"), geo.biased_centroid(ps, flags(2))[0].alias("b")).first()
+    assert (got["a"], got["b"]) == (100 * 0.07, 100 * 0.1)
