@@ -127,3 +127,35 @@ def ray_hits(axes: tuple[str, str, str]) -> Callable[[pa.Table, pa.Table], pa.Ta
             return _ordered(schema, found())
 
     return kernel
+
+
+def _six(u: tuple, v: tuple, w: tuple) -> np.ndarray:
+    return u[0] * (v[1] * w[2] - v[2] * w[1]) + u[1] * (v[2] * w[0] - v[0] * w[2]) + u[2] * (v[0] * w[1] - v[1] * w[0])
+
+
+def segment_hits() -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Kernel: a block's segments (id, px..qz) and its triangles to each crossing (id, f, t, status, k)."""
+    schema = pa.schema([("id", pa.int64()), ("f", pa.int64()), ("t", pa.float64()), ("status", pa.int32()), ("k", pa.int64())])
+
+    def kernel(segments: pa.Table, triangles: pa.Table) -> pa.Table:
+        segments, triangles = _whole(segments), _whole(triangles).sort_by("f")
+
+        def found() -> Iterator[tuple]:
+            a, b, c = _corners(triangles, ("x", "y", "z"))
+            f, ids = triangles["f"].to_numpy(), segments["id"].to_numpy()
+            ends = [np.array([segments[f"{e}{x}"].to_numpy() for x in "xyz"]).T for e in "pq"]
+            u, v = b - a, c - a
+            for k, one in enumerate(ids):
+                p, q = ends[0][k], ends[1][k]
+                vp, vq = _six(u, v, p[:, None] - a), _six(u, v, q[:, None] - a)
+                on = np.flatnonzero((vp * vq <= 0) & (vp != vq))
+                d, (pa_, pb, pc) = q - p, (x[:, on] - p[:, None] for x in (a, b, c))
+                s = [_six(d, pa_, pb), _six(d, pb, pc), _six(d, pc, pa_)]
+                through = ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
+                on = on[through]
+                if on.size:
+                    yield one, f[on], vp[on] / (vp[on] - vq[on]), (np.where(vq[on] > vp[on], 2, -2),)
+
+        return _ordered(schema, found()) if triangles.num_rows else schema.empty_table()
+
+    return kernel

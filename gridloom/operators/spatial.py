@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import cross, crosses, dot, encloses, point, sub
+from gridloom.functions.geometry import encloses, point
 from gridloom.operators import crossings
 from gridloom.operators.reduce import bounding_box, numbered
 from gridloom.plans.loops import stored
@@ -196,8 +196,8 @@ def points_in_tetrahedra(probes: DataFrame, tets: DataFrame, cell: float | None
     return met.where(encloses((F.col("x"), F.col("y"), F.col("z")), tuple(point(k) for k in range(4)))).select("p", "e")
 
 
-#: Rays of a block.
-RAYS = 2_048
+#: Rays of a block; pairs of a segment and a triangle that a block of segments meets, and segments of a block at most.
+RAYS, PAIRS, SEGMENTS = 2_048, 1 << 24, 1_024
 #: Blocks are dealt to so many tasks at most.
 TASKS = 4_096
 
@@ -275,21 +275,19 @@ def ray_counts(rays: DataFrame, triangles: DataFrame, axis: str = "z") -> DataFr
     return _ray_blocks(rays, triangles, axis, crossings.ray_counts, "ray long, hits long").groupBy("ray").agg(F.sum("hits").alias("hits"))
 
 
-def segment_hits(segments: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
+def segment_hits(segments: DataFrame, triangles: DataFrame) -> DataFrame:
     """Crossings (id, f, t, status, k) of segments (id, px..qz) with triangles (f, x0..z2), in order along each segment.
 
-    Candidates are pairs of overlapping boxes. status is 2 where the segment
-    goes along the triangle's normal, -2 where it goes against it.
+    Ends on the plane and edges count. status is 2 where the segment goes along
+    the triangle's normal, -2 where it goes against it. Segments stay in their
+    block, to which the triangles come, so crossings are put in order where
+    they are found and never move.
     """
-    one = segments.select("id", *[F.least(f"p{c}", f"q{c}").alias(f"{c}m") for c in AXES], *[F.greatest(f"p{c}", f"q{c}").alias(f"{c}p") for c in AXES])
-    two = triangles.select(F.col("f").alias("id"), *[g(*[f"{c}{k}" for k in range(3)]).alias(f"{c}{s}") for c in AXES for g, s in ((F.least, "m"), (F.greatest, "p"))])
-    pairs = boxes_overlapping(one, two, cell).select(F.col("a").alias("id"), F.col("b").alias("f"))
-    met = pairs.join(segments, "id").join(triangles, "f")
-    p, q = (tuple(F.col(f"{e}{c}") for c in AXES) for e in "pq")
-    corners = point(0), point(1), point(2)
-    along = dot(sub(q, p), cross(sub(corners[1], corners[0]), sub(corners[2], corners[0])))
-    met = met.withColumn("t", crosses(p, q, *corners)).where("t is not null")
-    return met.select("id", "f", "t", F.when(along > 0, 2).otherwise(-2).alias("status"), F.expr("row_number() over (partition by id order by t, f)").cast("bigint").alias("k"))
+    each = max(1, min(SEGMENTS, PAIRS // max(1, triangles.count())))
+    ends = [F.col(f"{e}{c}").cast("double").alias(f"{e}{c}") for e in "pq" for c in AXES]
+    items = _in_blocks(segments.select(F.col("id").cast("bigint").alias("id"), *ends, *[((F.col(f"p{c}") + F.col(f"q{c}")) / 2).alias(f"gl_{c}") for c in AXES]), each)
+    bounds = [(F.least(f"p{c}", f"q{c}"), F.greatest(f"p{c}", f"q{c}")) for c in AXES]
+    return _met(items, triangles, bounds, AXES, crossings.segment_hits(), "id long, f long, t double, status int, k long")
 
 
 def inside_by_parity(counts: DataFrame) -> DataFrame:

@@ -399,3 +399,24 @@ def test_biased_centroid_weighs_as_written(spark):
     flags = lambda n: tuple(F.lit(k < n) for k in range(4))
     got = spark.range(1).select(geo.biased_centroid(ps, flags(1))[0].alias("a"), geo.biased_centroid(ps, flags(2))[0].alias("b")).first()
     assert (got["a"], got["b"]) == (100 * 0.07, 100 * 0.1)
+
+
+def test_segment_hits_stay_where_they_are_found(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS", 1500)  # blocks of 25 segments
+    rng = np.random.default_rng(6)
+    ends, tris = rng.integers(-9, 9, (90, 2, 3)).astype(float), rng.integers(-9, 9, (60, 3, 3)).astype(float)
+    six = lambda a, b, c, d: float(np.dot(b - a, np.cross(c - a, d - a)))
+    want = []
+    for n, (p, q) in enumerate(ends):
+        own = []
+        for f, (a, b, c) in enumerate(tris):
+            vp, vq = six(a, b, c, p), six(a, b, c, q)
+            s = [six(p, q, a, b), six(p, q, b, c), six(p, q, c, a)]
+            if vp != vq and vp * vq <= 0 and (min(s) >= 0 or max(s) <= 0):
+                own.append((vp / (vp - vq), f, 2 if vq > vp else -2))
+        want += [(n, f, t, status, k) for k, (t, f, status) in enumerate(sorted(own), 1)]
+    seg = spark.createDataFrame([(n, *map(float, e.ravel())) for n, e in enumerate(ends)], "id long, px double, py double, pz double, qx double, qy double, qz double")
+    t = spark.createDataFrame([(f, *map(float, t.ravel())) for f, t in enumerate(tris)], "f long, " + ", ".join(f"{c}{k} double" for k in range(3) for c in "xyz"))
+    got = spatial.segment_hits(seg, t)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 100
+    assert "Window" not in _plan(got)
