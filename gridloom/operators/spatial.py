@@ -95,21 +95,31 @@ def within(nodes: DataFrame, precision: float) -> DataFrame:
 
 
 def unique_nodes(nodes: DataFrame, precision: float) -> DataFrame:
-    """Each node's representative: the least earlier node within ``precision`` that is its own, else itself. Settled in rounds of ids."""
-    pairs = stored(within(nodes, precision))
-    undecided, reps, out = stored(nodes.select("n")), None, None
+    """Each node's representative (n, rep): the least earlier node within ``precision`` that is its own, else itself.
+
+    Nodes of one place share what the first of them has, so only first ones
+    are paired. In each round, whoever has no open earlier neighbour is its
+    own, and its later neighbours are closed at once: none can be its own.
+    The rounds are the longest chain of such decisions, few unless ids follow
+    places along a line.
+    """
+    known = F.lit(True)
+    for c in AXES:
+        known &= F.col(c).isNotNull() & ~F.isnan(c)
+    first = stored(nodes.where(known).groupBy(*AXES).agg(F.min("n").alias("n")))
+    pairs = stored(within(first, precision))
+    left, live, own = first.select("n"), pairs, None
     while True:
-        # whoever has no undecided earlier neighbour, and no representative near, is one; whoever has one near follows it
-        waiting = pairs.join(undecided.select(F.col("n").alias("a")), "a").join(undecided.select(F.col("n").alias("b")), "b").select(F.col("b").alias("n")).distinct()
-        free = undecided.join(waiting, "n", "left_anti")
-        near = pairs.join(reps.select(F.col("n").alias("a")), "a").groupBy(F.col("b").alias("n")).agg(F.min("a").alias("rep")) if reps is not None else None
-        own = free.select("n", F.col("n").alias("rep")) if near is None else free.join(near, "n", "left").select("n", F.coalesce("rep", "n").alias("rep"))
-        own = stored(own)
-        out = own if out is None else stored(out.unionByName(own))
-        reps = out.where("n = rep").select("n")
-        undecided = stored(undecided.join(own.select("n"), "n", "left_anti"))
-        if undecided.isEmpty():
-            return out
+        free = stored(left.join(live.select(F.col("b").alias("n")).distinct(), "n", "left_anti"))
+        own = free if own is None else stored(own.unionByName(free))
+        met = live.join(free.select(F.col("n").alias("a")), "a", "left_semi").select(F.col("b").alias("n")).distinct()
+        left = stored(left.join(free, "n", "left_anti").join(met, "n", "left_anti"))
+        if left.isEmpty():
+            break
+        live = stored(live.join(left.select(F.col("n").alias("a")), "a", "left_semi").join(left.select(F.col("n").alias("b")), "b", "left_semi").select("a", "b"))
+    near = pairs.join(own.select(F.col("n").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("n")).agg(F.min("a").alias("rep"))
+    reps = first.join(near, "n", "left").select(*AXES, F.coalesce("rep", "n").alias("rep"))
+    return nodes.where(known).join(reps, [*AXES]).select("n", "rep").unionByName(nodes.where(~known).select("n", F.col("n").alias("rep")))
 
 
 def octree(nodes: DataFrame, cap: int, max_level: int, low: tuple[float, float, float], side: float) -> DataFrame:

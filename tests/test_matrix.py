@@ -420,3 +420,14 @@ def test_segment_hits_stay_where_they_are_found(spark, monkeypatch):
     got = spatial.segment_hits(seg, t)
     assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 100
     assert "Window" not in _plan(got)
+
+
+def test_unique_nodes_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(spatial, "stored", lambda df, keep=spatial.stored: rounds.append(1) or keep(df))
+    # a chain of close nodes all near the first, copies of a place, and nodes without a place
+    at = [(float(k) / 40, 0.0, 0.0) for k in range(40)] + [(0.5, 0.0, 0.0), (1.75, 0.0, 0.0), (1.75, 0.0, 0.0), (None, 0.0, 0.0), (None, 0.0, 0.0), (float("nan"), 0.0, 0.0), (float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame([(n, *p) for n, p in enumerate(at)], "n long, x double, y double, z double")
+    got = {r["n"]: r["rep"] for r in spatial.unique_nodes(df, 1.0).collect()}
+    assert got == {k: 0 for k in range(41)} | {41: 41, 42: 41} | {k: k for k in range(43, 47)}
+    assert len(rounds) < 20
